@@ -39,11 +39,12 @@ def keyword_match(text: Column, keywords) -> Column:
 
     ``text`` is expected lower-case already (signal text is); keywords are
     lower-cased here, so the case-insensitive word test is a plain match.
+    A whole-word hit implies a substring hit, so each word regex runs only
+    behind a cheap ``contains`` test (rare keywords cost one byte scan).
     """
     phrases, words = split_keywords(keywords)
     preds = [text.contains(p) for p in phrases]
-    if words:
-        preds.append(text.rlike(word_pattern(words)))
+    preds += [text.contains(w) & text.rlike(word_pattern([w])) for w in words]
     if not preds:
         return F.lit(False)
     out = preds[0]

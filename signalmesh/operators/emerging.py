@@ -25,6 +25,9 @@ executor recomputes at most one round.
 
 from __future__ import annotations
 
+import logging
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from signalmesh.config import ThemesConfig
 from signalmesh.functions.text import ngrams, tokens
 from signalmesh.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 UNDECIDED, ACCEPTED, REJECTED = 0, 1, -1
 
 
@@ -59,14 +64,22 @@ def ngram_stats(occ: DataFrame, min_frequency: int) -> DataFrame:
     return g.withColumn("rk", F.struct((-F.col("df")).alias("neg_df"), F.col("first_seen").alias("first_seen")))
 
 
+def _round_table(spark, base: str, rnd: int, df: DataFrame) -> DataFrame:
+    """Write one round's state to the shared checkpoint folder and read it back:
+    one job per round, lineage cut, survives executor loss."""
+    path = f"{base}/round-{rnd:05d}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 10_000) -> DataFrame:
     """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``."""
     spark = postings.sparkSession
-    ensure_checkpoint_dir(spark)
-    state = postings.select("ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emerging-{uuid.uuid4().hex}"
+    state = postings.select("ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt"))
     accepted = []
     by_signal = Window.partitionBy("ord")
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
         s = (state.withColumn("claimed", F.max(F.col("st") == ACCEPTED).over(by_signal))
              .withColumn("m", F.min(F.when(F.col("st") == UNDECIDED, F.col("rk"))).over(by_signal))
              .filter((F.col("st") == UNDECIDED) & ~F.col("claimed")))
@@ -78,11 +91,12 @@ def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 10_0
             F.when(F.col("cnt") < F.lit(min_frequency), F.lit(REJECTED))
             .when(F.col("ok") == 1, F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)).alias("st"),
         ).filter(F.col("st") != REJECTED)
-        nxt = s.select("ngram", "rk", "ord").join(decision, "ngram").checkpoint(eager=True)
+        nxt = _round_table(spark, base, rnd, s.select("ngram", "rk", "ord").join(decision, "ngram"))
         accepted.append(nxt.filter(F.col("st") == ACCEPTED).select("ngram", "rk", "ord", "cnt"))
         if nxt.filter(F.col("st") == UNDECIDED).isEmpty():
+            log.info("emerging themes decided in %d rounds", rnd + 1)
             break
-        state = nxt.select("ngram", "rk", "ord", "st")
+        state = nxt
     else:
         raise RuntimeError("emerging-theme rounds did not converge")
     out = accepted[0]

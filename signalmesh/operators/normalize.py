@@ -131,7 +131,7 @@ def request_ord() -> Column:
 
 
 SIGNAL_COLUMNS = ("id", "source", "title", "text", "created_at", "tags", "thread_count", "votes",
-                  "comments_count", "portal", "ord", "quote")
+                  "comments_count", "portal", "ord", "quote", "pii")
 
 
 def ticket_signals(tc: DataFrame) -> DataFrame:
@@ -149,6 +149,7 @@ def ticket_signals(tc: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("portal"),
         ticket_ord().alias("ord"),
         ticket_quote(F.get(F.col("customer_messages"), 0), F.col("subject")).alias("quote"),
+        F.col("pii"),
     )
 
 
@@ -168,6 +169,7 @@ def request_signals(rc: DataFrame) -> DataFrame:
         F.col("portal"),
         request_ord().alias("ord"),
         request_quote(F.col("comments"), F.col("title"), F.col("votes_count")).alias("quote"),
+        F.col("pii"),
     )
 
 

@@ -26,14 +26,25 @@ def matched_theme_array(cfg: ThemesConfig, text: str = "text"):
     return F.filter(arr, lambda x: x.isNotNull())
 
 
-def theme_points(signals: DataFrame, cfg: ThemesConfig) -> DataFrame:
+def tag_signals(signals: DataFrame, cfg: ThemesConfig) -> DataFrame:
+    """J1 predicate side: ``theme_idxs`` = matching theme indices per signal."""
+    return signals.withColumn("theme_idxs", matched_theme_array(cfg))
+
+
+POINT_COLUMNS = ("id", "source", "title", "created_at", "tags", "thread_count", "votes", "comments_count",
+                 "portal", "ord")
+
+
+def theme_points(tagged: DataFrame) -> DataFrame:
     """One row per (theme, matching signal); many-to-many."""
-    return signals.select("*", F.explode(matched_theme_array(cfg)).alias("theme_idx"))
+    return tagged.select(*POINT_COLUMNS, F.explode("theme_idxs").alias("theme_idx"))
 
 
-def unmatched_signals(signals: DataFrame, points: DataFrame) -> DataFrame:
-    """Signals whose id matched no theme (by id, not by row)."""
-    return signals.join(points.select("id").distinct(), "id", "left_anti")
+def unmatched_signals(tagged: DataFrame) -> DataFrame:
+    """Signals whose id matched no theme -- by id, not by row: a row with no
+    hit still counts as matched when another row with its id hit."""
+    hit_ids = tagged.filter(F.size("theme_idxs") > 0).select("id").distinct()
+    return tagged.filter(F.size("theme_idxs") == 0).join(hit_ids, "id", "left_anti")
 
 
 def theme_aggregates(points: DataFrame, p: Params) -> DataFrame:

@@ -86,7 +86,7 @@ class Analysis:
         return th.run_summary(self.signals, self.scores, self.unmatched, self.cfg)
 
     def pii_categories(self) -> DataFrame:
-        return nz.pii_run_categories(self.tickets, self.requests)
+        return nz.pii_run_categories(self.signals)
 
     def data_sources(self) -> DataFrame:
         """Feeds that contributed at least one signal (neutral names)."""
@@ -107,11 +107,13 @@ def analyze(feeds: Feeds, cfg: ThemesConfig, p: Params, persist: bool = True) ->
     spark = feeds.tickets.sparkSession
     tickets = clean_tickets(feeds, p)
     requests = clean_requests(feeds, p)
-    signals = nz.all_signals(nz.ticket_signals(tickets), nz.request_signals(requests))
+    # J1 predicates are evaluated once, while the signals are built and cached;
+    # every consumer (A1, J2, J3, W4, W5, A8) reads the cached table.
+    signals = th.tag_signals(nz.all_signals(nz.ticket_signals(tickets), nz.request_signals(requests)), cfg)
     if persist:
         signals = signals.persist(StorageLevel.MEMORY_AND_DISK)
-    points = th.theme_points(signals, cfg)
+    points = th.theme_points(signals)
     themes = themes_frame(spark, cfg)
     scores = th.theme_ranking(th.theme_scores(points, themes, p))
-    unmatched = th.unmatched_signals(signals, points)
+    unmatched = th.unmatched_signals(signals)
     return Analysis(p, cfg, tickets, requests, signals, points, scores, unmatched, themes)
