@@ -87,21 +87,26 @@ def card_redact(x: str) -> str:
     return f"(CASE WHEN regexp_matches({x}, '[0-9](?:[-{WS}]?[0-9]){{12}}') THEN {body} ELSE {{'t': {x}, 'h': false}} END)"
 
 
-def scrub_cols(src: str, name: str) -> list[str]:
-    """SELECT-list items (lateral aliases) producing ``{name}`` and ``{name}_pii``."""
-    n = name
-    return [
-        f"coalesce({src}, '') AS {n}__0",
-        f"regexp_replace({n}__0, {lit(SSN)}, '[SSN REDACTED]', 'g') AS {n}__1",
-        f"{card_redact(n + '__1')} AS {n}__c",
-        f"struct_extract({n}__c, 't') AS {n}__2",
-        f"CASE WHEN position('@' IN {n}__2) > 0 THEN regexp_replace({n}__2, {lit(EMAIL)}, '[EMAIL REDACTED]', 'g')"
-        f" ELSE {n}__2 END AS {n}__3",
-        f"regexp_replace({n}__3, {lit(PHONE)}, '[PHONE REDACTED]', 'g') AS {n}",
-        f"list_filter([CASE WHEN {n}__1 <> {n}__0 THEN 'ssn' END, CASE WHEN struct_extract({n}__c, 'h') THEN 'credit_card' END,"
-        f" CASE WHEN {n}__3 <> {n}__2 THEN 'email' END, CASE WHEN {n} <> {n}__3 THEN 'phone' END],"
-        f" lambda nn_: nn_ IS NOT NULL) AS {n}_pii",
+def scrub_from(source: str, fields: list[tuple[str, str]]) -> str:
+    """``SELECT *`` over ``source`` plus, per ``(src, name)``, the scrubbed
+    ``name`` and its categories ``name_pii``; one subquery level per step so
+    every pass runs once per row."""
+    q = f"(SELECT * FROM {source})"
+    steps = [
+        lambda s, n: f"coalesce({s}, '') AS {n}__0",
+        lambda s, n: f"regexp_replace({n}__0, {lit(SSN)}, '[SSN REDACTED]', 'g') AS {n}__1",
+        lambda s, n: f"{card_redact(n + '__1')} AS {n}__c",
+        lambda s, n: f"struct_extract({n}__c, 't') AS {n}__2, struct_extract({n}__c, 'h') AS {n}__h",
+        lambda s, n: (f"CASE WHEN position('@' IN {n}__2) > 0 THEN regexp_replace({n}__2, {lit(EMAIL)},"
+                      f" '[EMAIL REDACTED]', 'g') ELSE {n}__2 END AS {n}__3"),
+        lambda s, n: f"regexp_replace({n}__3, {lit(PHONE)}, '[PHONE REDACTED]', 'g') AS {n}",
+        lambda s, n: (f"list_filter([CASE WHEN {n}__1 <> {n}__0 THEN 'ssn' END, CASE WHEN {n}__h THEN 'credit_card' END,"
+                      f" CASE WHEN {n}__3 <> {n}__2 THEN 'email' END, CASE WHEN {n} <> {n}__3 THEN 'phone' END],"
+                      f" lambda nn_: nn_ IS NOT NULL) AS {n}_pii"),
     ]
+    for step in steps:
+        q = f"(SELECT *, {', '.join(step(src, name) for src, name in fields)} FROM {q})"
+    return q
 
 
 def scrub_expr(x: str) -> str:
@@ -209,10 +214,9 @@ def tickets_win(days: int = 30, mailbox_id: int | None = None) -> str:
 
 
 TICKETS_CLEAN = ("tickets_clean AS (SELECT id, mailbox_id, created_at, tags, CAST(threads AS INTEGER) AS thread_count, "
-                 + ", ".join(scrub_cols("subject", "subject_s") + scrub_cols("preview", "preview_s"))
-                 + ", CASE WHEN coalesce(preview, '') <> '' THEN [preview_s] ELSE []::VARCHAR[] END AS messages"
-                 + ", list_sort(list_distinct(list_concat(subject_s_pii, preview_s_pii))) AS pii"
-                 + " FROM tickets_win)")
+                 "subject_s, preview_s, CASE WHEN coalesce(preview, '') <> '' THEN [preview_s] ELSE []::VARCHAR[] END"
+                 " AS messages, list_sort(list_distinct(list_concat(subject_s_pii, preview_s_pii))) AS pii FROM "
+                 + scrub_from("tickets_win", [("subject", "subject_s"), ("preview", "preview_s")]) + ")")
 
 
 def posts_sel(days: int = 30, limit: int = 50, portal: str | None = None) -> str:
@@ -232,8 +236,8 @@ posts_sel AS (
 
 
 REQUESTS_CLEAN = ("requests_clean AS (SELECT id, portal, status, votes_count, comments_count, created_at, grp, k1, k2, "
-                  + ", ".join(scrub_cols("title", "title_s") + scrub_cols("description", "desc_s"))
-                  + ", list_sort(list_distinct(list_concat(title_s_pii, desc_s_pii))) AS pii FROM posts_sel)")
+                  "title_s, desc_s, list_sort(list_distinct(list_concat(title_s_pii, desc_s_pii))) AS pii FROM "
+                  + scrub_from("posts_sel", [("title", "title_s"), ("description", "desc_s")]) + ")")
 
 TICKET_QUOTE = (
     "CASE WHEN {m} <> '' AND NOT {am} THEN '[Support ticket] \"' || {cm} || '\"' "

@@ -60,7 +60,7 @@ def AQ(select: str) -> str:
 
 
 def docs_scrub(cols: str) -> str:
-    return (f"WITH s AS (SELECT doc_id, {', '.join(d.scrub_cols('text', 'x'))} FROM documents)\n"
+    return (f"WITH s AS (SELECT * FROM {d.scrub_from('documents', [('text', 'x')])})\n"
             f"SELECT CAST(doc_id AS BIGINT) AS doc_id, {cols} FROM s")
 
 
@@ -118,9 +118,9 @@ FROM ranked r LEFT JOIN quotes_joined q ON q.theme_idx = r.theme_idx WHERE r.ran
 
 def build() -> dict[str, str]:
     fr_sql = (f"WITH {d.POSTS_RAW}, {d.COMMENTS}, p AS (SELECT * FROM posts_raw WHERE lower(status) = 'open'), "
-              f"s AS (SELECT id, status, portal, votes_count, comments_count, "
-              f"{', '.join(d.scrub_cols('title', 'title_s') + d.scrub_cols('description', 'desc_s'))}, "
-              f"list_sort(list_distinct(list_concat(title_s_pii, desc_s_pii))) AS pii FROM p), "
+              f"s AS (SELECT id, status, portal, votes_count, comments_count, title_s, desc_s, "
+              f"list_sort(list_distinct(list_concat(title_s_pii, desc_s_pii))) AS pii "
+              f"FROM {d.scrub_from('p', [('title', 'title_s'), ('description', 'desc_s')])}), "
               f"c AS (SELECT post_id, count(*) AS n FROM comments GROUP BY post_id) "
               f"SELECT CAST(s.id AS BIGINT) AS id, title_s AS title, desc_s AS description, status, portal, "
               f"CAST(votes_count AS BIGINT) AS votes_count, CAST(comments_count AS BIGINT) AS comments_count, "
@@ -140,6 +140,15 @@ def build() -> dict[str, str]:
                           " FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN comments m ON m.post_id = c.conv_id"
                           " GROUP BY c.conv_id"),
         "portal_label": f"WITH {d.POSTS_RAW} SELECT CAST(id AS BIGINT) AS id, portal FROM posts_raw",
+        "ticket_pages": (f"WITH {d.TICKETS_RAW} SELECT CAST(id AS BIGINT) AS id, CAST(mailbox_id AS BIGINT) AS mailbox_id,"
+                         " subject, array_to_string(tags, '|') AS tags, CAST(threads AS BIGINT) AS threads,"
+                         " strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM tickets_raw"),
+        "mailbox_pages": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region",
+        "post_pages": (f"WITH {d.POSTS_RAW} SELECT CAST(id AS BIGINT) AS id, portal, title, status,"
+                       " CAST(votes_count AS BIGINT) AS votes_count FROM posts_raw"),
+        "source_status": ("SELECT 'support_tickets' AS source, true AS ok, CAST(NULL AS VARCHAR) AS warning"
+                          " FROM (SELECT count(*) FROM documents) UNION ALL SELECT 'feature_votes', true, NULL"
+                          " FROM (SELECT count(*) FROM conversations)"),
         # filters
         "tickets_in_window": (f"WITH {d.TICKETS_RAW}, {d.tickets_win()} SELECT CAST(id AS BIGINT) AS id,"
                               f" CAST(mailbox_id AS BIGINT) AS mailbox_id, {TS.format(c='created_at')} AS created_at FROM tickets_win"),
@@ -162,8 +171,8 @@ def build() -> dict[str, str]:
         "agent_text_flag": (f"SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, {d.agent('text')}"
                             " AS is_agent FROM conversations"),
         "include_comments": (f"WITH {d.POSTS_RAW}, {d.COMMENTS}, "
-                             f"s AS (SELECT id, {', '.join(d.scrub_cols('title', 'title_s') + d.scrub_cols('description', 'desc_s'))}"
-                             f" FROM posts_raw), "
+                             f"s AS (SELECT id, title_s, desc_s FROM"
+                             f" {d.scrub_from('posts_raw', [('title', 'title_s'), ('description', 'desc_s')])}), "
                              f"c AS (SELECT post_id, count(*) AS n, string_agg(({d.scrub_expr('comment')}).text, ' ' ORDER BY pos) AS t"
                              f" FROM comments GROUP BY post_id) "
                              f"SELECT CAST(s.id AS BIGINT) AS id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_comments,"

@@ -24,6 +24,7 @@ from signalmesh.params import Params
 from signalmesh.plans import analysis as an
 from signalmesh.plans import jobs
 from signalmesh.sources import fixtures as fx
+from signalmesh.sources import pages as pg
 
 SEP = "|"
 _CACHE: dict = {}
@@ -75,6 +76,66 @@ def q_portal_label(spark, sf):
     return fx.posts(spark, sf).select(F.col("id").cast("bigint").alias("id"), "portal")
 
 
+def _page_json(df: DataFrame, page: Column, body) -> DataFrame:
+    """Land rows as JSON page envelopes (a page holds a bounded run of ids)."""
+    g = df.groupBy(page.alias("page_no")).agg(F.collect_list(F.struct(*df.columns)).alias("items"))
+    return g.select("page_no", F.to_json(body(F.col("items"))).alias("json"))
+
+
+def q_ticket_pages(spark, sf):
+    """Tickets landed as 50-per-page envelopes, parsed back with the declared schema."""
+    t = fx.tickets(spark, sf).select(
+        "id", "number", "subject", "status", F.lit("published").alias("state"), F.col("mailbox_id").alias("mailboxId"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"),
+        F.lit(None).cast("string").alias("closedAt"),
+        F.transform("tags", lambda x: F.struct(F.lit(0).cast("bigint").alias("id"), x.alias("tag"))).alias("tags"),
+        F.struct(F.lit(None).cast("string").alias("email")).alias("primaryCustomer"), "preview", "threads")
+    landed = _page_json(t, F.floor(F.col("id") / 50), lambda items: F.struct(
+        F.struct(items.alias("conversations")).alias("_embedded"),
+        F.struct(F.size(items).cast("bigint").alias("size")).alias("page")))
+    parsed = landed.select("page_no", F.from_json("json", pg.TICKET_PAGE).alias("p"))
+    rows = pg.ticket_rows(parsed, F.col("page_no"))
+    return rows.select(F.col("id").cast("bigint").alias("id"), F.col("mailbox_id").cast("bigint").alias("mailbox_id"),
+                       "subject", F.array_join(F.transform("tags", lambda x: x["tag"]), SEP).alias("tags"),
+                       F.col("threads").cast("bigint").alias("threads"), "created_at")
+
+
+def q_mailbox_pages(spark, sf):
+    """S3: mailboxes landed two per page and parsed back."""
+    m = fx.mailboxes(spark, sf).select("id", "name")
+    landed = _page_json(m, F.floor(F.col("id") / 2), lambda items: F.struct(
+        F.struct(items.alias("mailboxes")).alias("_embedded")))
+    parsed = landed.select("page_no", F.from_json("json", pg.MAILBOX_PAGE).alias("p"))
+    return pg.mailbox_rows(parsed).select(F.col("id").cast("bigint").alias("id"), "name")
+
+
+def q_post_pages(spark, sf):
+    """Posts landed as skip/limit pages (bounded id ranges per portal), parsed back."""
+    p = fx.posts(spark, sf)
+    items = p.select("portal", F.floor(F.col("id") / 30).alias("page_no"), F.col("id").cast("string").alias("id"),
+                     "title", "description",
+                     F.struct(F.lit(0).cast("bigint").alias("id"), F.col("status").alias("name"),
+                              F.lit("").alias("color")).alias("status"),
+                     F.lit(None).cast("struct<id:bigint,name:string,color:string>").alias("category"),
+                     "votes_count", "comments_count",
+                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+                     F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), "url")
+    g = items.groupBy("portal", "page_no").agg(
+        F.collect_list(F.struct(*[c for c in items.columns if c not in ("portal", "page_no")])).alias("data"))
+    landed = g.select("portal", F.to_json(F.struct(F.col("data"), (F.col("page_no") * 30).cast("bigint").alias("skip"),
+                                                   F.lit(10).cast("bigint").alias("limit"))).alias("json"))
+    parsed = landed.select("portal", F.from_json("json", pg.POST_PAGE).alias("p"))
+    rows = pg.post_rows(parsed, F.col("portal"))
+    return rows.select(F.col("id").cast("bigint").alias("id"), "portal", "title", F.col("status.name").alias("status"),
+                       F.col("votes_count").cast("bigint").alias("votes_count"))
+
+
+def q_source_status(spark, sf):
+    """Per-source load status (both feeds present -> two ok rows)."""
+    return pg.source_status(spark, {"support_tickets": lambda: fx.tickets(spark, sf),
+                                    "feature_votes": lambda: fx.posts(spark, sf)})
+
+
 # ---------------------------------------------------------------- filters
 
 def q_tickets_in_window(spark, sf):
