@@ -18,9 +18,9 @@ greedy-MIS argument of Blelloch, Fineman and Shun, SPAA 2012):
 
 Every round the globally smallest undecided n-gram is decided, and an
 accepted n-gram shares no live signal with any smaller undecided one, so the
-result equals the sequential walk.  Each round's state is checkpointed to the
-reliable checkpoint folder, so lineage stays one round deep and a lost
-executor recomputes at most one round.
+result equals the sequential walk.  Each round's state is written to the
+reliable checkpoint folder and read back, so lineage stays one round deep and
+a lost executor recomputes at most one round.
 """
 
 from __future__ import annotations
@@ -65,15 +65,18 @@ def ngram_stats(occ: DataFrame, min_frequency: int) -> DataFrame:
 
 
 def _round_table(spark, base: str, rnd: int, df: DataFrame) -> DataFrame:
-    """Write one round's state to the shared checkpoint folder and read it back:
-    one job per round, lineage cut, survives executor loss."""
-    path = f"{base}/round-{rnd:05d}"
+    """Write a round's state to the shared checkpoint folder and read it back."""
+    path = f"{base}/round-{rnd:05d}" if rnd >= 0 else f"{base}/accepted"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 10_000) -> DataFrame:
-    """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``."""
+def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000) -> DataFrame:
+    """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``.
+
+    Every round's state is written to the reliable checkpoint folder and read
+    back: one write job per round, lineage one round deep.
+    """
     spark = postings.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emerging-{uuid.uuid4().hex}"
     state = postings.select("ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt"))

@@ -1,10 +1,10 @@
 """The analysis job behind ``synthesize_feedback`` and ``product_plan``.
 
-Dataflow (one Spark plan per output table, sharing one persisted signals
+Dataflow (one Spark plan per output table, sharing one materialised signals
 table):
 
   tickets --F1/F3--> F6 scrub --F8--+
-                                    +--U1--> signals (persisted)
+                                    +--U1--> signals (written once)
   posts --F4--W2/W3--> F7 scrub -F9-+            |
                                    J1 explode -> theme_points -> A1..A6 -> W1
                                    J2 left-anti -> A8 -> A9 rounds -> emerging
@@ -26,6 +26,7 @@ from signalmesh.operators import quotes as qt
 from signalmesh.operators import selection as sel
 from signalmesh.operators import themes as th
 from signalmesh.params import Params
+from signalmesh.session import materialize
 from signalmesh.sources import fixtures
 
 
@@ -61,13 +62,22 @@ class Analysis:
     cfg: ThemesConfig
     tickets: DataFrame       # F6 output
     requests: DataFrame      # F7 output
-    signals: DataFrame       # U1, persisted
+    signals: DataFrame       # U1, materialised
     points: DataFrame        # J1/A10 long table
     scores: DataFrame        # A1-A6 + W1 rank
     unmatched: DataFrame     # J2
     themes: DataFrame        # dimension
 
     _emerging: tuple[DataFrame, DataFrame] | None = None
+    _small: dict | None = None
+
+    def _once(self, name: str, build) -> DataFrame:
+        """Config-bounded results (per theme / one row) are computed once and cached."""
+        if self._small is None:
+            self._small = {}
+        if name not in self._small:
+            self._small[name] = materialize(build(), name)
+        return self._small[name]
 
     @property
     def emerging(self) -> DataFrame:
@@ -79,22 +89,24 @@ class Analysis:
 
     def _emerging_pair(self) -> tuple[DataFrame, DataFrame]:
         if self._emerging is None:
-            self._emerging = em.emerging_themes(self.unmatched, self.cfg)
+            e, pts = em.emerging_themes(self.unmatched, self.cfg)
+            self._emerging = (materialize(e, "emerging"), materialize(pts, "emerging_points"))
         return self._emerging
 
     def summary(self) -> DataFrame:
-        return th.run_summary(self.signals, self.scores, self.unmatched, self.cfg)
+        return self._once("summary", lambda: th.run_summary(self.signals, self.scores, self.unmatched, self.cfg))
 
     def pii_categories(self) -> DataFrame:
         return nz.pii_run_categories(self.signals)
 
     def data_sources(self) -> DataFrame:
         """Feeds that contributed at least one signal (neutral names)."""
-        return self.signals.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(
-            F.when(F.col("source") == "REACTIVE", "support_tickets").otherwise("feature_votes").alias("data_source"))
+        return self._once("data_sources", lambda: self.signals.groupBy("source").agg(
+            F.count(F.lit(1)).alias("n")).select(
+            F.when(F.col("source") == "REACTIVE", "support_tickets").otherwise("feature_votes").alias("data_source")))
 
     def quotes(self) -> DataFrame:
-        return qt.theme_quotes(self.points, self.signals)
+        return self._once("quotes", lambda: qt.theme_quotes(self.points, self.signals))
 
     def titles(self) -> DataFrame:
         return qt.theme_titles(self.points)
@@ -103,6 +115,7 @@ class Analysis:
         self.signals.unpersist()
 
 
+
 def analyze(feeds: Feeds, cfg: ThemesConfig, p: Params, persist: bool = True) -> Analysis:
     spark = feeds.tickets.sparkSession
     tickets = clean_tickets(feeds, p)
@@ -111,9 +124,13 @@ def analyze(feeds: Feeds, cfg: ThemesConfig, p: Params, persist: bool = True) ->
     # every consumer (A1, J2, J3, W4, W5, A8) reads the cached table.
     signals = th.tag_signals(nz.all_signals(nz.ticket_signals(tickets), nz.request_signals(requests)), cfg)
     if persist:
-        signals = signals.persist(StorageLevel.MEMORY_AND_DISK)
+        # written once to the reliable checkpoint folder: downstream plans are
+        # shallow file scans and an executor loss never re-runs the redaction
+        signals = materialize(signals, "signals")
     points = th.theme_points(signals)
     themes = themes_frame(spark, cfg)
     scores = th.theme_ranking(th.theme_scores(points, themes, p))
+    if persist:
+        scores = materialize(scores, "scores")  # <= one row per configured theme
     unmatched = th.unmatched_signals(signals)
     return Analysis(p, cfg, tickets, requests, signals, points, scores, unmatched, themes)

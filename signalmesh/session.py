@@ -54,3 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="signalmesh-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
+
+
+def materialize(df, name: str):
+    """Write ``df`` under the reliable checkpoint folder and read it back.
+
+    The result is a plain file scan: lineage is cut (an executor loss re-reads
+    the files) and later plans built on it stay shallow.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
