@@ -149,6 +149,16 @@ def ticket_quote(first_message: Column, subject: Column) -> Column:
     )
 
 
+def request_quote_text(first_comment: Column, title: Column, votes: Column) -> Column:
+    """X17, request side, given the first non-admin comment's text (or null)."""
+    head = F.concat(F.lit("[Feature request, "), F.coalesce(votes, F.lit(0)).cast("string"), F.lit(' votes] "'))
+    return (
+        F.when(first_comment.isNotNull() & ~is_agent_text(first_comment),
+               F.concat(head, cut200(collapse_ws(first_comment)), F.lit('"')))
+        .otherwise(F.concat(head, F.coalesce(title, F.lit("")), F.lit('"')))
+    )
+
+
 def request_quote(comments: Column, title: Column, votes: Column) -> Column:
     """X17, request side: first non-admin comment unless agent text, else title."""
     first = F.get(F.filter(F.coalesce(comments, F.array().cast("array<struct<role:string,comment:string,created_at:string>>")),

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from signalmesh.config import ThemesConfig
 from signalmesh.functions.text import ngrams, tokens
+from signalmesh.operators.normalize import with_text
 from signalmesh.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
@@ -48,7 +49,7 @@ def ngram_occurrences(unmatched: DataFrame, stop_words) -> DataFrame:
     """
     # tokens first as a column: a lambda body re-evaluates an inlined expression
     # per element, so ngrams() must reference an attribute, not the tokenizer.
-    toks = unmatched.select("ord", tokens(F.col("text"), stop_words).alias("toks"))
+    toks = with_text(unmatched).select("ord", tokens(F.col("text"), stop_words).alias("toks"))
     grams = F.array_distinct(ngrams(F.col("toks")))
     return toks.select("ord", F.posexplode(grams).alias("pos", "ngram"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalmesh.functions import pii
-from signalmesh.functions.text import request_quote, ticket_quote
+from signalmesh.functions.text import request_quote_text, ticket_quote
 
 COMMENT_TYPE = "array<struct<role:string,comment:string,created_at:string>>"
 
@@ -130,17 +130,38 @@ def request_ord() -> Column:
                     F.col("k1").cast("bigint").alias("k1"), F.col("k2").cast("bigint").alias("k2"))
 
 
-SIGNAL_COLUMNS = ("id", "source", "title", "text", "created_at", "tags", "thread_count", "votes",
-                  "comments_count", "portal", "ord", "quote", "pii")
+SIGNAL_COLUMNS = ("id", "source", "title", "body", "msg_dup", "msgs", "first_comment", "created_at", "tags",
+                  "thread_count", "votes", "comments_count", "portal", "ord", "pii")
+
+
+def signal_text() -> Column:
+    """F8/F9 text: lower(title, body, messages) -- a ticket's preview appears twice
+    (it is also its only customer message), a request's comments all follow."""
+    return F.lower(F.concat_ws(" ", F.col("title"), F.col("body"),
+                               F.when(F.col("msg_dup"), F.col("body")), F.col("msgs")))
+
+
+def with_text(signals: DataFrame) -> DataFrame:
+    return signals if "text" in signals.columns else signals.withColumn("text", signal_text())
+
+
+def signal_quote() -> Column:
+    """X17 for any signal (evaluated only where a quote is needed)."""
+    first_msg = F.when(F.col("msg_dup"), F.col("body"))
+    return F.when(F.col("source") == "REACTIVE", ticket_quote(first_msg, F.col("title"))).otherwise(
+        request_quote_text(F.col("first_comment"), F.col("title"), F.col("votes")))
 
 
 def ticket_signals(tc: DataFrame) -> DataFrame:
-    """F8: id ``hs-<id>``; text = lower(subject, preview, messages) -- preview twice."""
+    """F8: id ``hs-<id>``; the text is derived by :func:`signal_text`."""
     return tc.select(
         F.concat(F.lit("hs-"), F.col("id").cast("string")).alias("id"),
         F.lit("REACTIVE").alias("source"),
         F.col("subject").alias("title"),
-        F.lower(F.concat_ws(" ", F.col("subject"), F.col("preview"), F.col("customer_messages"))).alias("text"),
+        F.col("preview").alias("body"),
+        (F.size("customer_messages") > 0).alias("msg_dup"),
+        F.lit(None).cast("array<string>").alias("msgs"),
+        F.lit(None).cast("string").alias("first_comment"),
         F.col("created_at"),
         F.col("tags"),
         F.col("thread_count"),
@@ -148,19 +169,21 @@ def ticket_signals(tc: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("comments_count"),
         F.lit(None).cast("string").alias("portal"),
         ticket_ord().alias("ord"),
-        ticket_quote(F.get(F.col("customer_messages"), 0), F.col("subject")).alias("quote"),
         F.col("pii"),
     )
 
 
 def request_signals(rc: DataFrame) -> DataFrame:
-    """id ``pl-<id>``; text = lower(title, description, every comment)."""
+    """id ``pl-<id>``; text over title, description and every comment."""
+    first = F.get(F.filter("comments", lambda c: ~F.coalesce(c["role"] == "admin", F.lit(False))), 0)
     return rc.select(
         F.concat(F.lit("pl-"), F.col("id").cast("string")).alias("id"),
         F.lit("PROACTIVE").alias("source"),
         F.col("title"),
-        F.lower(F.concat_ws(" ", F.col("title"), F.col("description"),
-                            F.transform("comments", lambda c: c["comment"]))).alias("text"),
+        F.col("description").alias("body"),
+        F.lit(False).alias("msg_dup"),
+        F.transform("comments", lambda c: c["comment"]).alias("msgs"),
+        first["comment"].alias("first_comment"),
         F.col("created_at"),
         F.lit(None).cast("array<string>").alias("tags"),
         F.lit(None).cast("int").alias("thread_count"),
@@ -168,7 +191,6 @@ def request_signals(rc: DataFrame) -> DataFrame:
         F.col("comments_count"),
         F.col("portal"),
         request_ord().alias("ord"),
-        request_quote(F.col("comments"), F.col("title"), F.col("votes_count")).alias("quote"),
         F.col("pii"),
     )
 

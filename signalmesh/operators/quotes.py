@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalmesh.operators.normalize import signal_quote
+
 # Caps and the sentinel quote.
 MAX_QUOTES = 3
 MAX_TITLES = 50
@@ -18,20 +20,43 @@ NO_QUOTE = "No direct customer quote available"
 
 def quote_lookup(signals: DataFrame) -> DataFrame:
     """J3 lookup side: per prefixed id the quote of the *last* record (by ord)."""
-    return signals.groupBy("id").agg(F.max_by("quote", "ord").alias("quote"))
+    last = signals.groupBy("id").agg(F.max_by(F.struct(*QUOTE_INPUTS), "ord").alias("r"))
+    return last.select("id", F.col("r.*")).select("id", signal_quote().alias("quote"))
+
+
+QUOTE_INPUTS = ("source", "title", "body", "msg_dup", "first_comment", "votes")
+PROBE = 8
 
 
-def theme_quotes(points: DataFrame, signals: DataFrame, key: str = "theme_idx", k: int = MAX_QUOTES) -> DataFrame:
+def theme_quotes(points: DataFrame, signals: DataFrame, key: str = "theme_idx", k: int = MAX_QUOTES,
+                 probe: int = PROBE) -> DataFrame:
     """First ``k`` usable quotes per theme in point order -> ``(key, quote_rank, quote)``.
 
-    Themes with no usable quote get the sentinel as their only quote.
+    Quotes (an agent-pattern scan of whole texts) are evaluated lazily: first
+    for the ``probe`` earliest points of every theme (a per-theme top-k, so at
+    most themes x probe rows); only a theme that finds fewer than ``k`` usable
+    quotes there *and* has more points falls back to all of its points.  The
+    first ``k`` usable quotes are the same either way.  Themes with none get
+    the sentinel.
     """
-    looked = points.select(key, "id", "ord").join(quote_lookup(signals), "id").filter(F.col("quote").isNotNull())
     w = Window.partitionBy(key).orderBy("ord")
-    got = looked.withColumn("quote_rank", F.row_number().over(w)).filter(F.col("quote_rank") <= k)
-    got = got.select(key, F.col("quote_rank").cast("bigint"), "quote")
-    keys = points.select(key).distinct()
-    missing = keys.join(got.select(key).distinct(), key, "left_anti").select(
+    first = points.select(key, "id", "ord").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= probe)
+    # bounded by themes x probe rows: safe to broadcast
+    probe_ids = F.broadcast(first.select("id").distinct())
+    probed = first.join(quote_lookup(signals.join(probe_ids, "id", "left_semi")), "id")
+    usable = probed.filter(F.col("quote").isNotNull())
+    totals = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = usable.groupBy(key).agg(F.count(F.lit(1)).alias("got"))
+    short = (totals.join(found, key, "left").filter((F.coalesce("got", F.lit(0)) < k) & (F.col("n") > probe))
+             .select(key))
+    # themes whose probe came up short: every point (rare; unbounded, so no broadcast hint)
+    rest_pts = points.select(key, "id", "ord").join(short, key, "left_semi")
+    rest = rest_pts.join(quote_lookup(signals.join(rest_pts.select("id").distinct(), "id", "left_semi")), "id")
+    cands = (usable.join(short, key, "left_anti").select(key, "ord", "quote")
+             .unionByName(rest.filter(F.col("quote").isNotNull()).select(key, "ord", "quote")))
+    got = (cands.withColumn("quote_rank", F.row_number().over(w)).filter(F.col("quote_rank") <= k)
+           .select(key, F.col("quote_rank").cast("bigint"), "quote"))
+    missing = totals.select(key).join(got.select(key).distinct(), key, "left_anti").select(
         key, F.lit(1).cast("bigint").alias("quote_rank"), F.lit(NO_QUOTE).alias("quote"))
     return got.unionByName(missing)
 

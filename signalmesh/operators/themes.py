@@ -27,8 +27,17 @@ def matched_theme_array(cfg: ThemesConfig, text: str = "text"):
 
 
 def tag_signals(signals: DataFrame, cfg: ThemesConfig) -> DataFrame:
-    """J1 predicate side: ``theme_idxs`` = matching theme indices per signal."""
-    return signals.withColumn("theme_idxs", matched_theme_array(cfg))
+    """J1 predicate side: ``theme_idxs`` = matching theme indices per signal.
+
+    The lower-cased text is built, matched and dropped in one projection; it
+    is re-derived only for the (few) signals that reach the n-gram stage.
+    """
+    from signalmesh.operators.normalize import signal_text
+
+    if "text" in signals.columns:
+        return signals.withColumn("theme_idxs", matched_theme_array(cfg))
+    return (signals.withColumn("text", signal_text()).withColumn("theme_idxs", matched_theme_array(cfg))
+            .drop("text"))
 
 
 POINT_COLUMNS = ("id", "source", "title", "created_at", "tags", "thread_count", "votes", "comments_count",

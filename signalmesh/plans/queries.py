@@ -180,7 +180,7 @@ def q_requests_clean(spark, sf):
 
 
 def _signal_cols(df):
-    return df.select("id", "source", "title", "text")
+    return nz.with_text(df).select("id", "source", "title", "text")
 
 
 def q_ticket_signals(spark, sf):
@@ -477,7 +477,7 @@ def q_evidence_summary(spark, sf):
 
 
 def q_quote_text(spark, sf):
-    return analysis(spark, sf).signals.select("id", "quote")
+    return analysis(spark, sf).signals.select("id", nz.signal_quote().alias("quote"))
 
 
 def q_detail_projection(spark, sf):

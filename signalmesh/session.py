@@ -34,6 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def configure(spark: SparkSession) -> None:
     """Session settings the operators rely on; safe to call on any session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # plan strings are rebuilt on every adaptive re-plan; the redaction and
+    # theme patterns make them long, so cap their size (debug output only)
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     ensure_checkpoint_dir(spark)
 
 

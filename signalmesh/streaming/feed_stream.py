@@ -46,7 +46,8 @@ def tickets_from_documents(docs: DataFrame) -> DataFrame:
 def tagged_ticket_stream(docs: DataFrame, cfg: ThemesConfig) -> DataFrame:
     """Scrubbed, normalised and theme-tagged ticket signals, one row in -> one row out."""
     signals = nz.ticket_signals(nz.tickets_clean(tickets_from_documents(docs)))
-    return th.tag_signals(signals, cfg).select("id", "source", "title", "created_at", "theme_idxs", "pii", "quote")
+    return th.tag_signals(signals, cfg).select("id", "source", "title", "created_at", "theme_idxs", "pii",
+                                               nz.signal_quote().alias("quote"))
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str):

@@ -39,7 +39,7 @@ def test_keyword_match(spark, text, kws, want):
 
 
 def run(spark, tickets=(), posts=(), cfg=CFG):
-    return analyze(feeds(spark, tickets, posts), cfg, Params(), persist=False)
+    return analyze(feeds(spark, tickets, posts), cfg, Params())
 
 
 def scores(a):

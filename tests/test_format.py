@@ -65,11 +65,11 @@ def test_quotes(spark):
 
 
 def test_titles_cap_and_summary(spark):
-    a = analyze(feeds(spark, [ticket(i, f"billing issue {i}") for i in range(60)]), CFG, Params(), persist=False)
+    a = analyze(feeds(spark, [ticket(i, f"billing issue {i}") for i in range(60)]), CFG, Params())
     tot = qt.title_totals(a.points).first()
     assert tot.data_points_total == 60 and tot.data_point_titles_truncated is True
     assert qt.theme_titles(a.points).count() == 50
-    two = analyze(feeds(spark, [ticket(1, "billing a")], [post(1, "billing b")]), CFG, Params(), persist=False)
+    two = analyze(feeds(spark, [ticket(1, "billing a")], [post(1, "billing b")]), CFG, Params())
     v = jobs.themes_view(two, "summary").first()
     assert "2 signals" in v.evidence_summary and "frequency_score" not in v.asDict()
     s = jobs.themes_view(two, "standard").first()
@@ -83,8 +83,21 @@ def test_js_number(spark):
 
 def test_markdown_shape(spark):
     a = analyze(feeds(spark, [ticket(1, "billing a", preview="the invoice is wrong")],
-                      [post(1, "billing b", votes=3)]), CFG, Params(), persist=False)
+                      [post(1, "billing b", votes=3)]), CFG, Params())
     text = jobs.plan_markdown_text(a, Params(fmt="markdown", kpi_context="churn 3%")).first().markdown
     assert text.startswith("# Product Plan — 30-day window\n")
     assert "## Priorities" in text and "| 1 | Billing |" in text and "## Business context (KPI)" in text
     assert text.endswith("churn 3%\n") and not text.endswith("\n\n")
+
+
+def test_quote_probe_fallback(spark):
+    # the first ten tickets (newest first) are agent text on both fields, so the
+    # probe finds nothing and the theme falls back to all of its points
+    from feeds import days_ago
+    agent = [ticket(i, "Let me know if billing works", preview="Happy to help with billing", created=days_ago(0.01 * i))
+             for i in range(1, 11)]
+    real = [ticket(20 + i, f"billing broken {i}", preview=f"my invoice {i} is wrong", created=days_ago(1 + i))
+            for i in range(4)]
+    a = analyze(feeds(spark, agent + real), CFG, Params())
+    got = [r.quote for r in a.quotes().orderBy("quote_rank").collect()]
+    assert got == [f'[Support ticket] "my invoice {i} is wrong"' for i in range(3)]
