@@ -94,10 +94,10 @@ def read_themes_config(spark: SparkSession, path: str) -> ThemesConfig:
     df = spark.read.option("multiLine", True).json(path)
     if "themes" not in df.columns or not isinstance(df.schema["themes"].dataType, T.ArrayType):
         raise ValueError('Invalid themes config: "themes" must be an array of theme definitions.')
-    row = df.limit(1).collect()
-    if not row:
+    first = df.toJSON().first()
+    if first is None:
         raise ValueError(f"Failed to load themes config ({path}): empty file")
-    return ThemesConfig.from_dict(json.loads(df.limit(1).toJSON().first()))
+    return ThemesConfig.from_dict(json.loads(first))
 
 
 # The default theme catalogue (version, themes with keywords and
@@ -105,56 +105,72 @@ def read_themes_config(spark: SparkSession, path: str) -> ThemesConfig:
 DEFAULT_THEMES = ThemesConfig.from_dict({
     "version": 2,
     "themes": [
-        {"id": "booking-scheduling", "label": "Booking & Scheduling", "category": "core",
+        {"id": "booking-scheduling", "label": "Booking & Scheduling",
          "keywords": ["booking", "bookings", "schedule", "scheduling", "appointment", "availability", "time slot",
                       "reschedule", "rescheduling", "recurring", "booking type", "booking types", "booking page",
-                      "cancellation", "cancel booking", "no show", "buffer time", "date range"]},
-        {"id": "billing-payment", "label": "Billing & Payment", "category": "billing",
+                      "cancellation", "cancel booking", "no show", "buffer time", "date range"],
+         "category": "core"},
+        {"id": "billing-payment", "label": "Billing & Payment",
          "keywords": ["billing", "payment", "invoice", "charge", "refund", "subscription", "pricing", "upgrade",
-                      "downgrade", "credit card", "receipt", "coupon", "discount", "stripe", "pay per"]},
-        {"id": "email-smtp", "label": "Email & Delivery", "category": "communication",
+                      "downgrade", "credit card", "receipt", "coupon", "discount", "stripe", "pay per"],
+         "category": "billing"},
+        {"id": "email-smtp", "label": "Email & Delivery",
          "keywords": ["smtp", "email delivery", "email sending", "campaign", "unsubscribe", "email template",
                       "sender", "deliverability", "confirmation email", "reminder email", "bounce", "spam",
-                      "opt-in", "double opt"]},
-        {"id": "notifications", "label": "Notifications & Reminders", "category": "communication",
+                      "opt-in", "double opt"],
+         "category": "communication"},
+        {"id": "notifications", "label": "Notifications & Reminders",
          "keywords": ["notification", "notifications", "reminder", "reminders", "email notification",
-                      "sms reminder", "alert", "notify", "push notification", "whatsapp"]},
-        {"id": "whitelabel-branding", "label": "Whitelabel & Branding", "category": "customization",
+                      "sms reminder", "alert", "notify", "push notification", "whatsapp"],
+         "category": "communication"},
+        {"id": "whitelabel-branding", "label": "Whitelabel & Branding",
          "keywords": ["whitelabel", "white label", "cname", "custom domain", "branding", "powered by",
-                      "remove logo", "embed", "embedded", "logo", "brand", "custom url"]},
-        {"id": "account-licensing", "label": "Account & Licensing", "category": "account",
+                      "remove logo", "embed", "embedded", "logo", "brand", "custom url"],
+         "category": "customization"},
+        {"id": "account-licensing", "label": "Account & Licensing",
          "keywords": ["account", "license", "tier", "plan", "upgrade", "downgrade", "cancel account", "lifetime",
-                      "agency plan", "individual plan", "free tier", "credits"]},
-        {"id": "calendar-sync", "label": "Calendar Sync", "category": "integration",
+                      "agency plan", "individual plan", "free tier", "credits"],
+         "category": "account"},
+        {"id": "calendar-sync", "label": "Calendar Sync",
          "keywords": ["calendar sync", "google calendar", "outlook calendar", "ical", "calendar integration",
                       "sync calendar", "calendar connect", "google meet", "zoom", "teams meeting", "caldav",
-                      "double booking"]},
-        {"id": "integrations", "label": "Integrations", "category": "integration",
+                      "double booking"],
+         "category": "integration"},
+        {"id": "integrations", "label": "Integrations",
          "keywords": ["zapier", "pabbly", "make.com", "integration", "integrate", "crm", "hubspot", "google drive",
-                      "connect", "third party", "workflow"]},
-        {"id": "api-webhooks", "label": "API & Webhooks", "category": "integration",
+                      "connect", "third party", "workflow"],
+         "category": "integration"},
+        {"id": "api-webhooks", "label": "API & Webhooks",
          "keywords": ["api", "webhook", "webhooks", "api access", "api endpoint", "rest api", "api key",
-                      "developer"]},
-        {"id": "templates-editor", "label": "Templates & Editor", "category": "product",
+                      "developer"],
+         "category": "integration"},
+        {"id": "templates-editor", "label": "Templates & Editor",
          "keywords": ["template", "templates", "editor", "wysiwyg", "document", "pdf", "form field",
-                      "content block", "signature field", "reusable", "duplicate", "fields"]},
-        {"id": "team-collaboration", "label": "Team & Collaboration", "category": "account",
+                      "content block", "signature field", "reusable", "duplicate", "fields"],
+         "category": "product"},
+        {"id": "team-collaboration", "label": "Team & Collaboration",
          "keywords": ["team", "agency", "member", "collaborator", "workspace", "permission", "round robin",
-                      "team member", "multi user", "shared", "staff access"]},
-        {"id": "login-auth", "label": "Login & Auth", "category": "auth",
+                      "team member", "multi user", "shared", "staff access"],
+         "category": "account"},
+        {"id": "login-auth", "label": "Login & Auth",
          "keywords": ["login", "sign in", "sign up", "password", "authentication", "sso", "two factor", "2fa",
-                      "reset password", "locked out", "cant login", "access denied", "change email"]},
-        {"id": "compliance-security", "label": "Compliance & Security", "category": "trust",
+                      "reset password", "locked out", "cant login", "access denied", "change email"],
+         "category": "auth"},
+        {"id": "compliance-security", "label": "Compliance & Security",
          "keywords": ["gdpr", "hipaa", "compliance", "security", "pci", "data protection", "privacy", "dpa",
-                      "encryption", "audit trail"]},
-        {"id": "customization", "label": "Customization", "category": "customization",
+                      "encryption", "audit trail"],
+         "category": "trust"},
+        {"id": "customization", "label": "Customization",
          "keywords": ["customize", "customization", "custom field", "font", "style", "color", "css", "theme",
-                      "design", "layout", "custom cta", "redirect url"]},
-        {"id": "mobile-app", "label": "Mobile App", "category": "platform",
-         "keywords": ["mobile app", "mobile version", "ios app", "android app", "mobile friendly", "phone app"]},
-        {"id": "performance", "label": "Performance & Bugs", "category": "reliability",
+                      "design", "layout", "custom cta", "redirect url"],
+         "category": "customization"},
+        {"id": "mobile-app", "label": "Mobile App",
+         "keywords": ["mobile app", "mobile version", "ios app", "android app", "mobile friendly", "phone app"],
+         "category": "platform"},
+        {"id": "performance", "label": "Performance & Bugs",
          "keywords": ["slow", "loading", "speed", "performance", "timeout", "lag", "page load", "crashes", "bug",
-                      "error", "broken", "not working", "500 error"]},
+                      "error", "broken", "not working", "500 error"],
+         "category": "reliability"},
     ],
     "stop_words": [
         "the", "a", "an", "is", "are", "was", "were", "be", "been", "being",

@@ -28,7 +28,7 @@ from __future__ import annotations
 import logging
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from signalmesh.config import ThemesConfig
@@ -95,9 +95,13 @@ def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_
             F.when(F.col("cnt") < F.lit(min_frequency), F.lit(REJECTED))
             .when(F.col("ok") == 1, F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)).alias("st"),
         ).filter(F.col("st") != REJECTED)
-        nxt = _round_table(spark, base, rnd, s.select("ngram", "rk", "ord").join(decision, "ngram"))
+        # the undecided count rides along the write job as an observed metric
+        obs = Observation(f"emerging-{uuid.uuid4().hex[:12]}-{rnd}")
+        joined = s.select("ngram", "rk", "ord").join(decision, "ngram").observe(
+            obs, F.count(F.when(F.col("st") == UNDECIDED, 1)).alias("undecided"))
+        nxt = _round_table(spark, base, rnd, joined)
         accepted.append(nxt.filter(F.col("st") == ACCEPTED).select("ngram", "rk", "ord", "cnt"))
-        if nxt.filter(F.col("st") == UNDECIDED).isEmpty():
+        if obs.get["undecided"] == 0:
             log.info("emerging themes decided in %d rounds", rnd + 1)
             break
         state = nxt

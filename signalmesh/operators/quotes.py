@@ -44,19 +44,17 @@ def theme_quotes(points: DataFrame, signals: DataFrame, key: str = "theme_idx",
     # bounded by themes x probe rows: safe to broadcast
     probe_ids = F.broadcast(first.select("id").distinct())
     probed = first.join(quote_lookup(signals.join(probe_ids, "id", "left_semi")), "id")
-    usable = probed.filter(F.col("quote").isNotNull())
-    totals = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    found = usable.groupBy(key).agg(F.count(F.lit(1)).alias("got"))
-    short = (totals.join(found, key, "left").filter((F.coalesce("got", F.lit(0)) < k) & (F.col("n") > probe))
-             .select(key))
-    # themes whose probe came up short: every point (rare; unbounded, so no broadcast hint)
+    per_theme = probed.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
+                                        F.count("quote").alias("got"))
+    # short: fewer than k usable among a *full* probe -> the theme may hold more
+    short = F.broadcast(per_theme.filter((F.col("got") < k) & (F.col("n") >= probe)).select(key))
     rest_pts = points.select(key, "id", "ord").join(short, key, "left_semi")
     rest = rest_pts.join(quote_lookup(signals.join(rest_pts.select("id").distinct(), "id", "left_semi")), "id")
-    cands = (usable.join(short, key, "left_anti").select(key, "ord", "quote")
-             .unionByName(rest.filter(F.col("quote").isNotNull()).select(key, "ord", "quote")))
+    cands = (probed.join(short, key, "left_anti").select(key, "ord", "quote")
+             .unionByName(rest.select(key, "ord", "quote"))).filter(F.col("quote").isNotNull())
     got = (cands.withColumn("quote_rank", F.row_number().over(w)).filter(F.col("quote_rank") <= k)
            .select(key, F.col("quote_rank").cast("bigint"), "quote"))
-    missing = totals.select(key).join(got.select(key).distinct(), key, "left_anti").select(
+    missing = per_theme.select(key).join(got.select(key).distinct(), key, "left_anti").select(
         key, F.lit(1).cast("bigint").alias("quote_rank"), F.lit(NO_QUOTE).alias("quote"))
     return got.unionByName(missing)
 

@@ -252,3 +252,58 @@ def write_synthesis(a, level: str, path: str) -> None:
 
 def dry_run_json() -> str:
     return json.dumps(FIELDS, indent=2)
+
+
+def kpi_block(p: Params):
+    """business context carried verbatim (never scrubbed), with its note."""
+    if p.kpi_context:
+        return F.struct(F.lit(True).alias("provided"), F.lit(KPI_NOTE_GIVEN).alias("note"),
+                        F.lit(p.kpi_context).alias("metrics"))
+    return F.struct(F.lit(False).alias("provided"), F.lit(KPI_NOTE_NONE).alias("note"))
+
+
+def plan_document(a, p: Params) -> DataFrame:
+    """S9 for the plan: one JSON row assembled from config-bounded parts
+    (<= 10 priorities x 3 quotes / 50 titles, 3 emerging x 2 samples)."""
+    pr = plan_priorities(a, p)
+    quotes = a.quotes().join(a.scores.select("theme_idx", "rank"), "theme_idx")
+    qarr = quotes.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("quote_rank", "quote"))),
+                                                  lambda s: s["quote"]).alias("customer_quotes_arr"))
+    pr = pr.join(qarr, "rank", "left")
+    ev = [F.col("total_data_points"), F.col("support_tickets"), F.col("feature_requests")]
+    if p.detail_level != "summary":
+        ev += [F.col("frequency_score"), F.col("severity_score"), F.col("vote_momentum_score")]
+        tarr = a.titles().join(a.scores.select("theme_idx", "rank"), "theme_idx").groupBy("rank").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("title_rank", "title"))), lambda s: s["title"])
+            .alias("data_point_titles"))
+        pr = pr.join(tarr, "rank", "left").join(
+            qt.title_totals(a.points).join(a.scores.select("theme_idx", "rank"), "theme_idx")
+            .select("rank", "data_points_total", "data_point_titles_truncated"), "rank", "left")
+    item = [F.col("rank"), F.col("theme"), F.col("theme_id"), F.col("category"), F.col("signal_type"),
+            F.col("priority_score"), F.col("convergent"), F.struct(*ev).alias("evidence"),
+            F.col("evidence_summary"), F.col("customer_quotes_arr").alias("customer_quotes")]
+    if p.detail_level != "summary":
+        item += [F.col("data_points_total"), F.col("data_point_titles"), F.col("data_point_titles_truncated")]
+    prios = pr.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("_k"), F.struct(*item).alias("v")))),
+                               lambda s: s["v"]).alias("priorities"))
+    em = qt.emerging_top(a.emerging, 3)
+    samples = qt.emerging_samples(a.emerging_points, 2).groupBy("ngram").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "title"))), lambda s: s["title"])
+        .alias("sample_titles"))
+    emj = em.join(samples, "ngram", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        F.col("rk").alias("_k"), F.struct(F.col("ngram").alias("pattern"), "frequency", "sample_titles").alias("v")))),
+        lambda s: s["v"]).alias("emerging_themes"))
+    s = a.summary()
+    summary = F.struct(F.col("total_data_points").alias("total_signals_analyzed"),
+                       F.col("reactive_count").alias("reactive_signals"),
+                       F.col("proactive_count").alias("proactive_signals"), "themes_detected", "convergent_themes",
+                       F.col("unmatched_count").alias("unmatched_signals"))
+    src = a.data_sources().agg(F.array_sort(F.collect_list("data_source")).alias("data_sources"))
+    pii = a.pii_categories().agg(F.array_sort(F.collect_list("category")).alias("pii_categories_redacted"))
+    doc = s.crossJoin(src).crossJoin(pii).crossJoin(prios).crossJoin(emj).select(F.struct(
+        F.lit(_generated_at(p)).alias("generated_at"), F.lit(METHODOLOGY_VERSION).alias("methodology_version"),
+        F.lit(METHODOLOGY_RESOURCE).alias("methodology_resource"), F.lit(p.detail_level).alias("detail_level"),
+        F.lit(p.timeframe_days).alias("timeframe_days"), "data_sources", F.lit(True).alias("pii_scrubbing_applied"),
+        "pii_categories_redacted", summary.alias("summary"), "priorities", "emerging_themes",
+        kpi_block(p).alias("kpi_context")).alias("plan"))
+    return doc.select(F.to_json("plan").alias("plan_json"))

@@ -498,6 +498,11 @@ def q_plan_markdown(spark, sf):
     return jobs.plan_markdown(analysis(spark, sf), Params(fmt="markdown"))
 
 
+def q_plan_json(spark, sf):
+    """The plan document (JSON) with the KPI pass-through block."""
+    return jobs.plan_document(analysis(spark, sf), Params(kpi_context="churn 4.1% in EU; trial conversion flat"))
+
+
 def q_feature_requests(spark, sf):
     return jobs.feature_requests(spark, sf, Params(status="open"))
 

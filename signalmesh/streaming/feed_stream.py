@@ -21,8 +21,9 @@ from signalmesh.params import FIXTURE_AS_OF
 def document_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """Documents as a file stream (schema taken from the batch table)."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    # a file stream watches a folder: the glob makes the table's folder the base path
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(f"{sf_dir}/documents.parquet"))
+            .parquet(f"{sf_dir}/documents*.parquet"))
 
 
 def tickets_from_documents(docs: DataFrame) -> DataFrame:

@@ -101,3 +101,24 @@ def test_quote_probe_fallback(spark):
     a = analyze(feeds(spark, agent + real), CFG, Params())
     got = [r.quote for r in a.quotes().orderBy("quote_rank").collect()]
     assert got == [f'[Support ticket] "my invoice {i} is wrong"' for i in range(3)]
+
+
+def test_plan_document_and_config(spark, tmp_path):
+    import json as _json
+    from signalmesh.config import load_themes_config, read_themes_config, DEFAULT_THEMES
+    a = analyze(feeds(spark, [ticket(1, "billing a", preview="the invoice is wrong")],
+                      [post(1, "billing b", votes=3)]), CFG, Params())
+    doc = _json.loads(jobs.plan_document(a, Params(kpi_context="churn 3%")).first().plan_json)
+    assert doc["kpi_context"] == {"provided": True, "note": jobs.KPI_NOTE_GIVEN, "metrics": "churn 3%"}
+    assert doc["priorities"][0]["rank"] == 1 and doc["summary"]["total_signals_analyzed"] == 2
+    none = _json.loads(jobs.plan_document(a, Params()).first().plan_json)["kpi_context"]
+    assert none == {"provided": False, "note": jobs.KPI_NOTE_NONE}
+    path = tmp_path / "themes.json"
+    path.write_text(_json.dumps(DEFAULT_THEMES.to_dict()))
+    assert load_themes_config(path) == DEFAULT_THEMES
+    assert read_themes_config(spark, str(path)) == DEFAULT_THEMES
+    bad = tmp_path / "bad.json"
+    bad.write_text('{"themes": {}}')
+    import pytest as _pytest
+    with _pytest.raises(ValueError):
+        load_themes_config(bad)

@@ -18,7 +18,8 @@ SF = "/root/testdata/sf0.001"
 def test_stream_equals_batch(spark):
     ck = tempfile.mkdtemp(prefix="sm-stream-")
     got = fs.run_to_table(fs.tagged_ticket_stream(fs.document_stream(spark, SF), FIXTURE_THEMES), "sm_stream", ck)
-    batch = th.tag_signals(nz.ticket_signals(nz.tickets_clean(fx.tickets(spark, SF))), FIXTURE_THEMES)
+    batch = th.tag_signals(nz.ticket_signals(nz.tickets_clean(fx.tickets(spark, SF))), FIXTURE_THEMES).withColumn(
+        "quote", nz.signal_quote())
     a = sorted((r.id, tuple(r.theme_idxs), tuple(r.pii), r.quote) for r in got.collect())
     b = sorted((r.id, tuple(r.theme_idxs), tuple(r.pii), r.quote) for r in batch.collect())
     assert a == b and len(a) > 0
