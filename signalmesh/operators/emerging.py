@@ -18,14 +18,16 @@ greedy-MIS argument of Blelloch, Fineman and Shun, SPAA 2012):
 
 Every round the globally smallest undecided n-gram is decided, and an
 accepted n-gram shares no live signal with any smaller undecided one, so the
-result equals the sequential walk.  Each round's state is written to the
-reliable checkpoint folder and read back, so lineage stays one round deep and
-a lost executor recomputes at most one round.
+result equals the sequential walk.  Rounds are chained a few at a time; the
+state after each group is written to the reliable checkpoint folder and read
+back, so lineage stays a few rounds deep and a lost executor recomputes at
+most one group.
 """
 
 from __future__ import annotations
 
 import logging
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -38,7 +40,7 @@ from signalmesh.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
-UNDECIDED, ACCEPTED, REJECTED = 0, 1, -1
+UNDECIDED, ACCEPTED, REJECTED, FINAL = 0, 1, -1, 2
 
 
 def ngram_occurrences(unmatched: DataFrame, stop_words) -> DataFrame:
@@ -67,50 +69,67 @@ def ngram_stats(occ: DataFrame, min_frequency: int) -> DataFrame:
 
 def _round_table(spark, base: str, rnd: int, df: DataFrame) -> DataFrame:
     """Write a round's state to the shared checkpoint folder and read it back."""
-    path = f"{base}/round-{rnd:05d}" if rnd >= 0 else f"{base}/accepted"
+    path = f"{base}/round-{rnd:05d}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000) -> DataFrame:
+def claim_round(state: DataFrame, min_frequency: int) -> DataFrame:
+    """One round on ``(ngram, rk, ord, st, cnt)``; returns the next state.
+
+    Rows accepted in the previous round claim their signals and then become
+    FINAL; FINAL rows (at most one per signal -- a signal is claimed once) are
+    carried along unchanged, so the latest state holds the whole result.
+    """
+    final = state.filter(F.col("st").isin(ACCEPTED, FINAL)).withColumn("st", F.lit(FINAL))
+    by_signal = Window.partitionBy("ord")
+    s = (state.filter(F.col("st") != FINAL)
+         .withColumn("claimed", F.max(F.col("st") == ACCEPTED).over(by_signal))
+         .withColumn("m", F.min(F.when(F.col("st") == UNDECIDED, F.col("rk"))).over(by_signal))
+         .filter((F.col("st") == UNDECIDED) & ~F.col("claimed")))
+    decision = s.groupBy("ngram").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.min((F.col("rk") == F.col("m")).cast("int")).alias("ok"),
+    ).select(
+        "ngram", "cnt",
+        F.when(F.col("cnt") < F.lit(min_frequency), F.lit(REJECTED))
+        .when(F.col("ok") == 1, F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)).alias("st"),
+    ).filter(F.col("st") != REJECTED)
+    nxt = s.select("ngram", "rk", "ord").join(decision, "ngram").select("ngram", "rk", "ord", "st", "cnt")
+    return nxt.unionByName(final)
+
+
+def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000,
+                 rounds_per_write: int = 3) -> DataFrame:
     """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``.
 
-    Every round's state is written to the reliable checkpoint folder and read
-    back: one write job per round, lineage one round deep.
+    Rounds are chained ``rounds_per_write`` at a time into one job whose final
+    state is written to the reliable checkpoint folder and read back: lineage
+    never spans more than that many rounds, and an executor loss recomputes
+    at most those.  The undecided count rides along the write as an observed
+    metric, so termination costs no extra job.
     """
     spark = postings.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emerging-{uuid.uuid4().hex}"
-    state = postings.select("ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt"))
-    accepted = []
-    by_signal = Window.partitionBy("ord")
-    for rnd in range(max_rounds):
-        s = (state.withColumn("claimed", F.max(F.col("st") == ACCEPTED).over(by_signal))
-             .withColumn("m", F.min(F.when(F.col("st") == UNDECIDED, F.col("rk"))).over(by_signal))
-             .filter((F.col("st") == UNDECIDED) & ~F.col("claimed")))
-        decision = s.groupBy("ngram").agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.min((F.col("rk") == F.col("m")).cast("int")).alias("ok"),
-        ).select(
-            "ngram", "cnt",
-            F.when(F.col("cnt") < F.lit(min_frequency), F.lit(REJECTED))
-            .when(F.col("ok") == 1, F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)).alias("st"),
-        ).filter(F.col("st") != REJECTED)
-        # the undecided count rides along the write job as an observed metric
+    state = _round_table(spark, base, 0, postings.select(
+        "ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt")))
+    rnd = 0
+    while rnd < max_rounds:
+        t_group = time.perf_counter()
+        for _ in range(rounds_per_write):
+            state = claim_round(state, min_frequency)
+            rnd += 1
         obs = Observation(f"emerging-{uuid.uuid4().hex[:12]}-{rnd}")
-        joined = s.select("ngram", "rk", "ord").join(decision, "ngram").observe(
-            obs, F.count(F.when(F.col("st") == UNDECIDED, 1)).alias("undecided"))
-        nxt = _round_table(spark, base, rnd, joined)
-        accepted.append(nxt.filter(F.col("st") == ACCEPTED).select("ngram", "rk", "ord", "cnt"))
-        if obs.get["undecided"] == 0:
-            log.info("emerging themes decided in %d rounds", rnd + 1)
+        state = _round_table(spark, base, rnd, state.observe(
+            obs, F.count(F.when(F.col("st") == UNDECIDED, 1)).alias("undecided")))
+        undecided = obs.get["undecided"]
+        log.debug("emerging rounds ..%d: %d undecided postings, %.2fs", rnd, undecided, time.perf_counter() - t_group)
+        if undecided == 0:
+            log.info("emerging themes decided within %d rounds", rnd)
             break
-        state = nxt
     else:
         raise RuntimeError("emerging-theme rounds did not converge")
-    out = accepted[0]
-    for part in accepted[1:]:
-        out = out.unionByName(part)
-    return out
+    return state.filter(F.col("st").isin(ACCEPTED, FINAL)).select("ngram", "rk", "ord", "cnt")
 
 
 def emerging_themes(unmatched: DataFrame, cfg: ThemesConfig) -> tuple[DataFrame, DataFrame]:

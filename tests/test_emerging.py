@@ -41,3 +41,21 @@ def test_claiming_drops_later_ngram(spark):
     texts = ["red blue green", "red blue green", "red blue", "blue green", "blue green"]
     pts = [{"id": f"p{i}", "text": t} for i, t in enumerate(texts)]
     assert _distributed(spark, texts, 2) == sequential_emerging(pts, (), 2)
+
+
+def test_fixture_tables_equal_sequential_walk(spark):
+    """A9 over the real unmatched signals of the sf0.01 tables vs brute force."""
+    from signalmesh.config import FIXTURE_THEMES
+    from signalmesh.operators.normalize import with_text
+    from signalmesh.params import Params
+    from signalmesh.plans.analysis import analyze, fixture_feeds
+
+    a = analyze(fixture_feeds(spark, "/root/testdata/sf0.01"), FIXTURE_THEMES, Params())
+    pts = [{"id": r.id, "text": r.text} for r in with_text(a.unmatched).orderBy("ord").select("id", "text").collect()]
+    want = sequential_emerging(pts, FIXTURE_THEMES.stop_words, FIXTURE_THEMES.emerging_theme_min_frequency)
+    order = [r.ngram for r in a.emerging.orderBy("rk").collect()]
+    freq = {r.ngram: r.frequency for r in a.emerging.collect()}
+    members = {}
+    for r in a.emerging_points.orderBy("ord").collect():
+        members.setdefault(r.ngram, []).append(r.id)
+    assert [(g, freq[g], members[g]) for g in order] == want and len(want) > 0
