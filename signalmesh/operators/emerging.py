@@ -30,6 +30,7 @@ import logging
 import time
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def claim_round(state: DataFrame, min_frequency: int) -> DataFrame:
 
 
 def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000,
-                 rounds_per_write: int = 3) -> DataFrame:
+                 rounds_per_write: int = 3, on_start=None) -> DataFrame:
     """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``.
 
     Rounds are chained ``rounds_per_write`` at a time into one job whose final
@@ -113,6 +114,8 @@ def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emerging-{uuid.uuid4().hex}"
     state = _round_table(spark, base, 0, postings.select(
         "ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt")))
+    if on_start is not None:
+        on_start()  # the postings are written: inputs cached for them can go
     rnd = 0
     while rnd < max_rounds:
         t_group = time.perf_counter()
@@ -136,10 +139,15 @@ def emerging_themes(unmatched: DataFrame, cfg: ThemesConfig) -> tuple[DataFrame,
     """``emerging(ngram, frequency, rk)`` and ``emerging_points(ngram, rk,
     id, source, title, ord)``; order both by ``rk`` (claim order) and ``ord``."""
     minf = cfg.emerging_theme_min_frequency
-    occ = ngram_occurrences(unmatched, cfg.stop_words)
+    # two consumers (df aggregate, postings join): tokenize once; the lineage
+    # behind it is one projection over the written signals table
+    occ = ngram_occurrences(unmatched, cfg.stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     stats = ngram_stats(occ, minf).select("ngram", "rk")
     postings = occ.select("ngram", "ord").join(stats, "ngram")
-    won = greedy_claim(postings, minf)
+    try:
+        won = greedy_claim(postings, minf, on_start=occ.unpersist)
+    finally:
+        occ.unpersist()
     emerging = won.groupBy("ngram", "rk").agg(F.max("cnt").cast("bigint").alias("frequency"))
     pts = won.select("ngram", "rk", "ord").join(unmatched.select("ord", "id", "source", "title"), "ord")
     return emerging, pts

@@ -16,6 +16,7 @@ from signalmesh.config import ThemesConfig
 from signalmesh.functions.scoring import recency_boost, round2, tag_boost, thread_score
 from signalmesh.functions.text import keyword_match
 from signalmesh.params import Params
+from signalmesh.session import attach_row
 
 
 def matched_theme_array(cfg: ThemesConfig, text: str = "text"):
@@ -92,7 +93,7 @@ def theme_scores(points: DataFrame, themes: DataFrame, p: Params) -> DataFrame:
         F.greatest(F.coalesce(F.col("max_points").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("max_points"),
         F.greatest(F.coalesce(F.col("max_momentum"), F.lit(0.0)), F.lit(1.0)).alias("max_momentum"),
     )
-    s = agg.crossJoin(F.broadcast(maxes)).join(F.broadcast(themes.drop("keywords")), "theme_idx")
+    s = attach_row(agg, maxes).join(F.broadcast(themes.drop("keywords")), "theme_idx")
     convergent = (F.col("reactive_count") > 0) & (F.col("proactive_count") > 0)
     freq = F.col("points").cast("double") / F.col("max_points") * F.lit(100.0)
     sev = F.when(F.col("reactive_count") > 0,
@@ -129,18 +130,20 @@ def theme_ranking(scores: DataFrame) -> DataFrame:
 
 
 def run_summary(signals: DataFrame, scores: DataFrame, unmatched: DataFrame, cfg: ThemesConfig) -> DataFrame:
-    """One row of run counts."""
-    sig = signals.agg(
-        F.count(F.lit(1)).alias("total_data_points"),
-        F.count(F.when(F.col("source") == "REACTIVE", 1)).alias("reactive_count"),
-        F.count(F.when(F.col("source") == "PROACTIVE", 1)).alias("proactive_count"),
-    )
-    th = scores.agg(F.count(F.lit(1)).alias("themes_detected"),
-                    F.count(F.when(F.col("convergent"), 1)).alias("convergent_themes"))
-    um = unmatched.agg(F.count(F.lit(1)).alias("unmatched_count"))
-    return sig.crossJoin(th).crossJoin(um).select(
+    """One row of run counts -- a single aggregate over the three inputs."""
+    parts = (signals.select(F.lit("signal").alias("kind"), "source", F.lit(False).alias("convergent"))
+             .unionByName(scores.select(F.lit("theme").alias("kind"), F.lit(None).cast("string").alias("source"),
+                                        "convergent"))
+             .unionByName(unmatched.select(F.lit("unmatched").alias("kind"), "source",
+                                           F.lit(False).alias("convergent"))))
+    k = F.col("kind")
+    return parts.agg(
         F.lit(cfg.version).cast("bigint").alias("config_version"),
         F.lit(len(cfg.themes)).cast("bigint").alias("known_themes_count"),
-        *[F.col(c).cast("bigint").alias(c) for c in ("total_data_points", "reactive_count", "proactive_count",
-                                                      "themes_detected", "convergent_themes", "unmatched_count")],
+        F.count(F.when(k == "signal", 1)).cast("bigint").alias("total_data_points"),
+        F.count(F.when((k == "signal") & (F.col("source") == "REACTIVE"), 1)).cast("bigint").alias("reactive_count"),
+        F.count(F.when((k == "signal") & (F.col("source") == "PROACTIVE"), 1)).cast("bigint").alias("proactive_count"),
+        F.count(F.when(k == "theme", 1)).cast("bigint").alias("themes_detected"),
+        F.count(F.when((k == "theme") & F.col("convergent"), 1)).cast("bigint").alias("convergent_themes"),
+        F.count(F.when(k == "unmatched", 1)).cast("bigint").alias("unmatched_count"),
     )

@@ -20,6 +20,7 @@ from signalmesh.operators import normalize as nz
 from signalmesh.operators import quotes as qt
 from signalmesh.operators import selection as sel
 from signalmesh.params import Params
+from signalmesh.session import attach_row
 from signalmesh.sources import fixtures as fx
 
 # Methodology version, resource name and KPI notes of the plan.
@@ -97,7 +98,7 @@ def plan_markdown(a, p: Params) -> DataFrame:
     spark = a.signals.sparkSession
     summ = a.summary()
     sources = a.data_sources().agg(F.array_join(F.array_sort(F.collect_list("data_source")), ", ").alias("src"))
-    head = summ.crossJoin(sources).select(F.posexplode(F.array(
+    head = attach_row(summ, sources).select(F.posexplode(F.array(
         F.concat(F.lit(f"# Product Plan — {p.timeframe_days}-day window")),
         F.lit(""),
         F.concat(F.lit(f"_Generated {_generated_at(p)} · methodology v{METHODOLOGY_VERSION} · sources: "),
@@ -157,7 +158,7 @@ def plan_markdown(a, p: Params) -> DataFrame:
     numbered = allp.withColumn("line_no", F.row_number().over(w).cast("bigint"))
     # trimEnd: drop trailing empty lines
     last = numbered.filter(F.col("line") != "").agg(F.max("line_no").alias("last"))
-    return numbered.crossJoin(last).filter(F.col("line_no") <= F.col("last")).select("line_no", "line")
+    return attach_row(numbered, last).filter(F.col("line_no") <= F.col("last")).select("line_no", "line")
 
 
 def plan_markdown_text(a, p: Params) -> DataFrame:
@@ -227,8 +228,8 @@ def write_synthesis(a, level: str, path: str) -> None:
     """S9 sink: run metadata + bounded per-theme view as JSON; for ``full`` the
     member lists are written as long JSON-lines tables in parallel."""
     p = a.params
-    meta = a.summary().crossJoin(
-        a.pii_categories().agg(F.sort_array(F.collect_list("category")).alias("pii_categories_redacted")))
+    meta = attach_row(a.summary(),
+                      a.pii_categories().agg(F.sort_array(F.collect_list("category")).alias("pii_categories_redacted")))
     meta = meta.select("*", F.lit(p.timeframe_days).alias("timeframe_days"), F.lit(level).alias("detail_level"),
                        F.lit(p.top_voted_limit).alias("top_voted_limit"),
                        F.lit(p.portal_name or "all").alias("portal_name"), F.lit(True).alias("pii_scrubbing_applied"))
@@ -300,7 +301,7 @@ def plan_document(a, p: Params) -> DataFrame:
                        F.col("unmatched_count").alias("unmatched_signals"))
     src = a.data_sources().agg(F.array_sort(F.collect_list("data_source")).alias("data_sources"))
     pii = a.pii_categories().agg(F.array_sort(F.collect_list("category")).alias("pii_categories_redacted"))
-    doc = s.crossJoin(src).crossJoin(pii).crossJoin(prios).crossJoin(emj).select(F.struct(
+    doc = attach_row(attach_row(attach_row(attach_row(s, src), pii), prios), emj).select(F.struct(
         F.lit(_generated_at(p)).alias("generated_at"), F.lit(METHODOLOGY_VERSION).alias("methodology_version"),
         F.lit(METHODOLOGY_RESOURCE).alias("methodology_resource"), F.lit(p.detail_level).alias("detail_level"),
         F.lit(p.timeframe_days).alias("timeframe_days"), "data_sources", F.lit(True).alias("pii_scrubbing_applied"),

@@ -71,3 +71,15 @@ def materialize(df, name: str):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def attach_row(df, one_row):
+    """Attach the columns of a single-row frame to every row of ``df``.
+
+    A broadcast equi-join on a constant key; only for ``one_row`` frames that
+    are global aggregates (exactly one row by construction).
+    """
+    from pyspark.sql import functions as F
+
+    return df.withColumn("__one", F.lit(0)).join(F.broadcast(one_row.withColumn("__one", F.lit(0))), "__one").drop(
+        "__one")
