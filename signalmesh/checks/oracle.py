@@ -134,9 +134,10 @@ def build() -> dict[str, str]:
                          " portal, 'https://' || portal || '.example.invalid' FROM posts_raw"),
         "data_sources": A("SELECT DISTINCT CASE WHEN source = 'REACTIVE' THEN 'support_tickets' ELSE 'feature_votes' END"
                           " AS data_source FROM signals"),
-        "post_comments": (f"WITH {d.COMMENTS} SELECT CAST(c.conv_id AS BIGINT) AS post_id, CAST(count(m.pos) AS BIGINT) AS n_comments,"
-                          " coalesce(string_agg(m.role, '|' ORDER BY m.pos), '') AS roles,"
-                          " coalesce(string_agg(m.comment, '|' ORDER BY m.pos), '') AS texts"
+        "post_comments": (f"WITH {d.COMMENTS} SELECT CAST(c.conv_id AS BIGINT) AS post_id,"
+                          " CAST(count(m.pos) AS BIGINT) AS n_comments,"
+                          " CAST(count(m.pos) FILTER (WHERE m.role = 'admin') AS BIGINT) AS n_admin,"
+                          " arg_min(m.comment, m.pos) AS first_comment, arg_max(m.comment, m.pos) AS last_comment"
                           " FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN comments m ON m.post_id = c.conv_id"
                           " GROUP BY c.conv_id"),
         "portal_label": f"WITH {d.POSTS_RAW} SELECT CAST(id AS BIGINT) AS id, portal FROM posts_raw",

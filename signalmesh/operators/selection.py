@@ -114,8 +114,10 @@ def selected_posts(posts: DataFrame, p: Params) -> DataFrame:
 def attach_comment_list(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """S5/J4 (array form): ``comments`` ordered by position; none -> empty list.
 
-    For report sizes only -- a post's comment list becomes one row.  Jobs that
-    must scale with comment volume use :func:`request_comment_rows`.
+    Report-size helper: a post's whole comment list becomes one row, so use it
+    only where posts are known to be small (tests, single-post views).  Jobs
+    that scale with comment volume use :func:`request_comment_rows` (long
+    form) or per-post aggregates.
     """
     grouped = comments.groupBy("post_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "role", "comment", "created_at"))).alias("__c"))

@@ -23,10 +23,11 @@ from signalmesh.params import Params
 from signalmesh.session import attach_row
 from signalmesh.sources import fixtures as fx
 
-# Methodology version, resource name and KPI notes of the plan.
+# Methodology version and KPI notes of the plan (the resource
+# name is this library's own).
 METHODOLOGY_VERSION = "2.1"
-METHODOLOGY_RESOURCE = "pm-copilot://methodology"
-KPI_NOTE_GIVEN = ("Business metrics provided below. Use the methodology at pm-copilot://methodology "
+METHODOLOGY_RESOURCE = "signalmesh://methodology"
+KPI_NOTE_GIVEN = ("Business metrics provided below. Use the methodology at signalmesh://methodology "
                   "to determine how these metrics should adjust the priority ranking above.")
 KPI_NOTE_NONE = ("No business metrics provided. Priorities are based on customer signals only. "
                  "For stronger prioritization, provide churn data, traffic trends, or revenue "

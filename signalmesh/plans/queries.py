@@ -62,13 +62,20 @@ def q_data_sources(spark, sf):
 
 
 def q_post_comments(spark, sf):
-    """Comments per post in position order (count, roles, texts)."""
-    posts = fx.posts(spark, sf)
-    cm = sel.attach_comment_list(posts.select("id"), fx.comments(spark, sf))
-    return cm.select(F.col("id").cast("bigint").alias("post_id"),
-                     F.size("comments").cast("bigint").alias("n_comments"),
-                     joined(F.transform("comments", lambda c: c["role"])).alias("roles"),
-                     joined(F.transform("comments", lambda c: c["comment"])).alias("texts"))
+    """Comments attached per post (left join; none -> zero), as bounded
+    per-post aggregates -- the comment list itself stays a long table (J4)."""
+    posts = fx.posts(spark, sf).select("id")
+    c = fx.comments(spark, sf)
+    per_post = c.groupBy("post_id").agg(
+        F.count(F.lit(1)).alias("n_comments"),
+        F.count(F.when(F.col("role") == "admin", 1)).alias("n_admin"),
+        F.min_by("comment", "pos").alias("first_comment"),
+        F.max_by("comment", "pos").alias("last_comment"))
+    out = posts.join(per_post, posts["id"] == per_post["post_id"], "left")
+    return out.select(F.col("id").cast("bigint").alias("post_id"),
+                      F.coalesce("n_comments", F.lit(0)).cast("bigint").alias("n_comments"),
+                      F.coalesce("n_admin", F.lit(0)).cast("bigint").alias("n_admin"),
+                      "first_comment", "last_comment")
 
 
 def q_portal_label(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def sequential_emerging(points: list[dict], stop_words, min_frequency: int) -> list[tuple[str, int, list[str]]]:
-    """Plain-Python transcription of the greedy walk, for tests on small fixtures.
+    """Brute-force sequential greedy walk (test oracle for small fixtures).
 
     ``points`` are dicts with ``id`` and ``text`` in signal order.
     """
