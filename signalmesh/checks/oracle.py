@@ -205,9 +205,9 @@ def build() -> dict[str, str]:
         "ngram_rank": with_ngrams("SELECT ngram, CAST(df AS BIGINT) AS df, CAST(fs[1] AS BIGINT) AS seen_src,"
                                   " fs[2] AS seen_portal, CAST(fs[3] AS BIGINT) AS seen_grp, CAST(fs[4] AS BIGINT) AS seen_k1,"
                                   " CAST(fs[5] AS BIGINT) AS seen_k2, CAST(fs[6] AS BIGINT) AS seen_pos FROM stats"),
-        "theme_points": A("SELECT t.theme_id, CAST(row_number() OVER (PARTITION BY p.theme_idx ORDER BY p.o_src, p.o_portal,"
-                          " p.o_grp, p.o_k1, p.o_k2) AS BIGINT) AS pos, p.id, p.source, p.title"
-                          " FROM points p JOIN themes t ON t.theme_idx = p.theme_idx"),
+        "theme_points": A("SELECT t.theme_id, p.id, p.source, p.title, CAST(p.o_src AS BIGINT) AS ord_src,"
+                          " p.o_portal AS ord_portal, CAST(p.o_grp AS BIGINT) AS ord_grp, p.o_k1 AS ord_k1,"
+                          " p.o_k2 AS ord_k2 FROM points p JOIN themes t ON t.theme_idx = p.theme_idx"),
         # windows / top-k
         "theme_ranking": A("SELECT theme_id, rank, priority_score FROM ranked"),
         "top_voted_posts": (f"WITH {d.POSTS_RAW} SELECT portal, CAST(id AS BIGINT) AS id, CAST(vote_rank AS BIGINT) AS vote_rank"

@@ -308,11 +308,13 @@ def q_emerging_themes(spark, sf):
 
 
 def q_theme_points(spark, sf):
+    """A10: each theme's members with their order key (no per-theme sort: a theme
+    may hold a large share of all points; ``ord`` orders them wherever needed)."""
     a = analysis(spark, sf)
-    w = Window.partitionBy("theme_idx").orderBy("ord")
-    return (a.points.withColumn("pos", F.row_number().over(w).cast("bigint"))
-            .join(F.broadcast(a.themes.select("theme_idx", "theme_id")), "theme_idx")
-            .select("theme_id", "pos", "id", "source", "title"))
+    o = F.col("ord")
+    return a.points.join(F.broadcast(a.themes.select("theme_idx", "theme_id")), "theme_idx").select(
+        "theme_id", "id", "source", "title", o["src"].cast("bigint").alias("ord_src"), o["portal"].alias("ord_portal"),
+        o["grp"].cast("bigint").alias("ord_grp"), o["k1"].alias("ord_k1"), o["k2"].alias("ord_k2"))
 
 
 # ---------------------------------------------------------------- windows / top-k
