@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from signalmesh.llm.common import documents, table, with_rid
 
 CHAIN, BITS = 64, 17
-TRAIN_DOCS, TRAIN_LINES, EPOCHS = 300, 2500, 30
+TRAIN_DOCS, TRAIN_LINES, EPOCHS = 300, 1500, 20
+#: A text of which no language holds this share of the words is rejected by the filter.
+AT_LEAST = 0.3
 #: A word that is seen this often in a language's sample is in its lexicon.
 LEXICON = 3
 #: Words whose emissions a worker keeps (a memory bound only).
@@ -106,6 +108,7 @@ class Model:
 
     def __init__(self, labels: list[str], weights: np.ndarray, lexicon: dict[str, int], lexicon_weights: np.ndarray, trans: np.ndarray):
         self.labels, self.weights, self.lexicon, self.lexicon_weights, self.trans = labels, weights, lexicon, lexicon_weights, trans
+        self.cache = None
 
     def emissions(self, words: list[str]) -> np.ndarray:
         flat, counts = [], []
@@ -191,6 +194,13 @@ class _Emissions(dict):
         return self.table[at]
 
 
+def _worker_emissions(model: Model) -> _Emissions:
+    """A Python worker's tasks share the broadcast model, and so what was worked out with it."""
+    if model.cache is None:
+        model.cache = _Emissions(model)
+    return model.cache
+
+
 def _score_block(block: list[tuple], emissions: _Emissions) -> tuple[list, list, list]:
     labels = emissions.model.labels
     words, lengths, owner = [], [], []
@@ -221,7 +231,7 @@ def _score_block(block: list[tuple], emissions: _Emissions) -> tuple[list, list,
 
 
 def _predict(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    emissions = _Emissions(model)
+    emissions = _worker_emissions(model)
     block, weight = [], 0
 
     def out():
@@ -252,22 +262,47 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRA
     return [tuple(r) for r in rows.collect()]
 
 
+def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS,
+           train_lines: int = TRAIN_LINES):
+    """The broadcast model of a bounded sample of ``docs`` (of fixed size, whatever theirs)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       F.col(lang).cast("string").alias("lang"))
+    lines = sample(rows, train_docs, train_lines)
+    none = Model([], np.zeros((1, 0)), {}, np.zeros((1, 0)), np.zeros((0, 0)))
+    return docs.sparkSession.sparkContext.broadcast(train(lines) if lines else none)
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS,
              train_lines: int = TRAIN_LINES) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, lang_pred, score`` (and the row number).
+    """One row per input row: ``doc_id, held_out, lang_pred, score`` 
 
     ``train_docs`` and ``train_lines`` bound the sample the driver fits on; a
     training line counts up to 4000 characters.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
-                       F.col(lang).cast("string").alias("lang"))
-    labelled = sample(rows, train_docs, train_lines)
-    model = spark.sparkContext.broadcast(train(labelled) if labelled else Model([], np.zeros((1, 0)), {}, np.zeros((1, 0)), np.zeros((0, 0))))
-    return (rows.select("doc_id", "text").mapInArrow(lambda b: _predict(b, model.value), "doc_id long, lang_pred string, score double")
+    model = fitted(docs, doc_id, text, lang, train_docs, train_lines)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return (rows.mapInArrow(lambda b: _predict(b, model.value), "doc_id long, lang_pred string, score double")
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"))
 
 
+def keep_identified(docs: DataFrame, at_least: float = AT_LEAST, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text has a language with a score of ``at_least``.
+
+    What goes: null texts, texts without letters, and texts of which no
+    language holds even ``at_least`` of the words.  Code-switched texts stay.
+    """
+    model = fitted(docs, text=text, **how)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                _, pred, score = _score_block([(None, t) for t in part[text].to_pylist()], _worker_emissions(model.value))
+                yield part.filter(pa.array([p != "und" and s >= at_least for p, s in zip(pred, score)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all ``documents``."""
     return identify(table(spark, sf_dir, "documents"))
