@@ -9,7 +9,8 @@ Bootstrapping adds what the patterns miss:
 
 1. *Candidates* are the runs of non-space characters that hold a digit or ``@``;
    the two words before one are its lexical *pattern*, its core is the *instance*.
-2. *Seeds* are instances that a base span covers, with the span's kind.
+2. *Seeds* are candidates that a base span covers; the whole span is the
+   instance, with the span's kind.
 3. Over the graph of patterns and instances, rounds alternate: a pattern's
    confidence for a kind is the mean score of its distinct instances, provided
    ``SUPPORT`` of them are already believed; an instance's score is the
@@ -104,8 +105,8 @@ def _edges(found: DataFrame) -> DataFrame:
     base = F.col("kind") != "candidate"
     upto = Window.partitionBy(RID).orderBy("start", F.col("kind") == "candidate").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy(RID).orderBy("start", F.col("kind") == "candidate").rowsBetween(1, Window.unboundedFollowing)
-    marked = (marked.withColumn("cover", F.max(F.when(base, F.struct(F.col("end").alias("to"), F.col("kind").alias("of")))).over(upto))
-              .withColumn("next", F.min(F.when(base, F.struct(F.col("start").alias("from"), F.col("kind").alias("of")))).over(after)))
+    marked = (marked.withColumn("cover", F.max(F.when(base, F.struct(F.col("end").alias("to"), F.col("kind").alias("of"), F.col("m").alias("m")))).over(upto))
+              .withColumn("next", F.min(F.when(base, F.struct(F.col("start").alias("from"), F.col("kind").alias("of"), F.col("m").alias("m")))).over(after)))
     lead = F.length(F.regexp_extract("m", r"^[^\p{L}\p{N}+(]*", 0))
     core = F.regexp_replace(F.regexp_replace("m", r"^[^\p{L}\p{N}+(]+", ""), r"[^\p{L}\p{N})]+$", "")
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.when(F.length("before") < CONTEXT, F.col("last")), F.col("before"))),
@@ -115,9 +116,9 @@ def _edges(found: DataFrame) -> DataFrame:
             .withColumn("to", F.col("from") + F.length("instance"))
             .withColumn("words", words).filter("size(words) >= 2 and instance <> ''")
             .withColumn("pattern", F.concat_ws(" ", F.slice("words", -2, 2)))
-            .withColumn("seed", F.when(F.col("cover.to") > F.col("from"), F.col("cover.of"))
-                        .when(F.col("next.from") < F.col("to"), F.col("next.of")))
-            .select(RID, "pattern", "instance", "from", "to", "seed"))
+            .withColumn("base", F.when(F.col("cover.to") > F.col("from"), F.struct("cover.of", "cover.m"))
+                        .when(F.col("next.from") < F.col("to"), F.struct("next.of", "next.m")))
+            .select(RID, "pattern", F.coalesce("base.m", "instance").alias("instance"), "from", "to", F.col("base.of").alias("seed")))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
