@@ -2,25 +2,27 @@
 
 A document's signature is ``HASHES`` min-hashes of its distinct five-word
 shingles, each cut to 16 bits; the distance of two signatures is the number of
-hashes in which they differ.  At similarity 0.75 that is 16 on average with a
-standard deviation of 3.5; ``RADIUS`` = 31 lies 4.5 deviations above.  The
-signature is split into 16 chunks of 4 hashes.  By the pigeonhole principle two
-signatures at most 31 apart have a chunk with at most one error, so a document
-is indexed under every chunk with every single hash left out (64 keys), and
-*all* pairs within the radius share a key.
+hashes in which they differ: 24 of 96 on average at similarity 0.75, with a
+standard deviation of 4.2.  The signature is split into 16 chunks of 6 hashes.
+By the pigeonhole principle two signatures at most ``GUARANTEED`` = 31 apart
+have a chunk with at most one error, so a document is indexed under every chunk
+with every single hash left out (96 keys), and *all* pairs within that distance
+share a key.  Pairs further apart share one nearly always (at similarity 0.75
+all but 5 in a million do), so shared keys are followed up to ``RADIUS``, five
+deviations above the average.
 
 Texts with equal shingle sets are first merged to one class (grouping by a
 128-bit digest of the set), which copies of any number cannot overload.  Keys
 with one class are dropped.  Under the others, not all pairs are compared: in a
 round a few classes of a key (its hubs, the smallest of each of ``h`` salts) meet
 the others, pairs whose signatures are within the radius are confirmed on their
-full shingle sets, and confirmed classes get a common label.  Pairs that have
-one label already need no test, so a key of thousands of near copies is done
+full shingle sets, and classes connected so far get a common label (components
+of the few labels that the round's links join).  Pairs that have one label need no test, so a key of thousands of near copies is done
 after its first hub; hubs leave their keys, keys whose classes have one label
-leave the index, and ``h`` grows eightfold a round until no key is left.  Links
+leave the index, and ``h`` grows 32-fold a round until no key is left.  Links
 that are skipped so lie within one component; no component is lost.
 
-Components come from alternating large-star and small-star steps on the links.
+Components come from alternating large-star and small-star steps.
 Every round's tables are written to the shared checkpoint folder.
 
 Defined results: null, empty and blank texts have no shingles and are alone;
@@ -43,13 +45,13 @@ from pyspark.sql import functions as F
 from signalmesh.llm.common import RID, documents, flushed, keep_rows, table, texts, with_rid, written
 
 WORDS, PERCENT = 5, 75
-HASHES, CHUNK, RADIUS = 64, 4, 31
+HASHES, CHUNK, GUARANTEED, RADIUS = 96, 6, 31, 46
 #: Words whose hashes a worker keeps (a memory bound only).
 CACHED = 400_000
 #: Shingles hashed together.
 BLOCK = 4096
 #: Hubs a key has in its first round, and the growth of that number.
-HUBS, GROWTH = 1, 8
+HUBS, GROWTH = 1, 32
 
 SIGNATURES = pa.schema([(RID, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -117,15 +119,15 @@ def _set_rows(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
-    """Each signature's keys: chunk, place left out, and the 48 bits of the other three hashes."""
-    chunks = signatures.reshape(len(signatures), -1, CHUNK).astype(np.int64)
+    """Each signature's keys: a hash of the chunk, the place left out, and the chunk's other hashes."""
+    chunks = signatures.reshape(len(signatures), -1, CHUNK).astype(np.uint64)
     out = []
     for left_out in range(CHUNK):
-        key = np.arange(chunks.shape[1], dtype=np.int64) * CHUNK + left_out
+        key = np.broadcast_to(np.arange(chunks.shape[1], dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out), chunks.shape[:2])
         for k in range(CHUNK):
             if k != left_out:
-                key = (key << 16) | chunks[:, :, k]
-        out.append(key)
+                key = _stir(key + STEPS[k]) + chunks[:, :, k] * STEPS[k + CHUNK]
+        out.append(_stir(key).astype(np.int64))
     return np.concatenate(out, axis=1)
 
 
@@ -172,19 +174,22 @@ def components(links: DataFrame) -> DataFrame:
     hub's links meet as one minimum a task.
     """
     edges = written(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct(), "star")
-    while True:
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
+    last = mark(edges)
+    while last[0]:
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        low = written(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("low")), "star-low")
+        low = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("low"))
         large = both.join(low, "n").filter("m > n").select(F.col("low").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u < v").distinct(), "star-large")
-        low = written(large.groupBy("v").agg(F.min("u").alias("low")), "star-low")
-        small = large.join(low, "v")
-        small = (small.select(F.col("low").alias("u"), "v").unionByName(small.select(F.col("low").alias("u"), F.col("u").alias("v")))
-                 .filter("u < v").distinct())
-        last, edges = edges, written(small, "star")
-        if edges.count() == last.count() and edges.exceptAll(last).isEmpty():
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
-                edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+        large = written(large.filter("u < v").distinct(), "star")
+        small = large.join(large.groupBy("v").agg(F.min("u").alias("low")), "v")
+        small = small.select(F.col("low").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u < v").distinct()
+        edges = written(small, "star")
+        now = mark(edges)
+        if now == last:  # the same edges: every node hangs on its component's smallest
+            break
+        last = now
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
+        edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
 def _tested(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,39 +203,35 @@ def _tested(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return written(near.join(full("a"), "a").join(full("b"), "b").mapInArrow(lambda b: _confirmed(b, percent), "a long, b long"), "near-links")
 
 
-def _links(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links between classes that join all of each component."""
-    spark = classes.sparkSession
+def _labels(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, label``: the component of every class that shares a key with another (its smallest node)."""
     index = classes.select("node", "signature").mapInArrow(_index, "key long, node long")
     shared = written(index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                      .filter("low < high").select("key"), "near-keys")
     active = written(index.join(shared, "key").withColumn("label", F.col("node")), "near-index")
-    wanted = active.select(F.col("node").alias(RID)).distinct()
-    sets = written(rows.join(wanted, RID, "left_semi").select(F.col(RID).alias("node"), "text")
+    labels = written(active.select("node", "label").distinct(), "near-labels")
+    sets = written(rows.join(labels.select(F.col("node").alias(RID)), RID, "left_semi").select(F.col(RID).alias("node"), "text")
                    .mapInArrow(lambda b: _set_rows(b, words), "node long, shingles binary"), "near-sets")
-    links = spark.createDataFrame([], "a long, b long")
     hubs = HUBS
     while not active.isEmpty():
         salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        hub = written(active.groupBy("key", salt.alias("salt")).agg(F.min("node").alias("hub"))
-                      .select("key", "hub"), "near-hubs")
-        labels = active.select("node", "label").distinct()
-        hub = written(hub.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub"), "near-hubs")
-        pairs = (active.join(hub, "key").filter("label <> hub_label")
-                 .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        new = _tested(written(pairs, "near-candidates"), classes, sets, percent)
-        links = links.unionByName(new)
-        # a node's label becomes the smallest label among its links: both then lie in one component
-        known = labels.select(F.col("node").alias("m"), F.col("label").alias("of_m"))
-        ends = new.select(F.col("a").alias("node"), F.col("b").alias("m")).unionByName(new.select(F.col("b").alias("node"), F.col("a").alias("m")))
-        fresh = ends.join(known, "m").groupBy("node").agg(F.min("of_m").alias("fresh"))
-        left = (active.join(hub.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-                .join(fresh, "node", "left").select("key", "node", F.least("label", "fresh").alias("label")))
-        left = written(left, "near-index")
-        open_ = (left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
-        active = written(left.join(written(open_, "near-keys"), "key"), "near-index")
+        hub = written(active.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "label")).alias("hub"))
+                      .select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "near-hubs")
+        pairs = written(active.join(hub, "key").filter("label <> hub_label")
+                        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "near-candidates")
+        new = _tested(pairs, classes, sets, percent)
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+        joined = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        moved = written(components(joined).select(F.col("node").alias("label"), "component"), "near-moved")
+        relabel = lambda df: (df.join(moved, "label", "left").withColumn("label", F.coalesce("component", "label"))
+                              .drop("component"))
+        labels = written(relabel(labels), "near-labels")
+        left = written(relabel(active.join(hub.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"))
+                       .select("key", "node", "label"), "near-index")
+        open_ = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        active = written(left.join(open_, "key"), "near-index")
         hubs *= GROWTH
-    return links
+    return labels
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -241,8 +242,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     classes = written(signed.filter("n_shingles > 0").groupBy("set_key")
                       .agg(F.min(RID).alias("node"), F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"),
                            F.first("signature").alias("signature")), "near-classes")
-    of_node = written(components(_links(classes, rows, words, percent)), "near-components")
-    grouped = classes.select("set_key", "node", "first").join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = _labels(classes, rows, words, percent)
+    grouped = (classes.select("set_key", "node", "first").join(labels, "node", "left")
+               .withColumn("component", F.coalesce("label", "node")))
     smallest = written(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "near-smallest")
     by_set = written(grouped.join(smallest, "component").select("set_key", "component_id"), "near-sets-of")
     linked = signed.filter("n_shingles > 0").join(by_set, "set_key").select(RID, "doc_id", "n_shingles", "component_id")

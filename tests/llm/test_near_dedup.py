@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from signalmesh.llm.near_dedup import components, drop_near_copies, index_keys, near_groups, op8_minhash_near_dedup
+from signalmesh.llm.near_dedup import GUARANTEED, HASHES, components, drop_near_copies, index_keys, near_groups, op8_minhash_near_dedup
 from tests.llm.fixtures import SF2, documents, odd_documents
 
 
@@ -83,10 +83,10 @@ def test_chains_and_families_need_several_rounds(spark, tmp_path):
 
 def test_every_pair_within_the_radius_shares_a_key():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 1 << 16, (300, 64)).astype("<u2")
+    a = rng.integers(0, 1 << 16, (300, HASHES)).astype("<u2")
     b = a.copy()
     for row in b:
-        at = rng.choice(64, 31, replace=False)
+        at = rng.choice(HASHES, GUARANTEED, replace=False)
         row[at] ^= 1
     assert (index_keys(a) == index_keys(b)).any(axis=1).all()
 
