@@ -6,7 +6,9 @@ normalised (lower case, every run of other than letters and digits one space)
 and compared, as a bag of word bigrams, with each template:
 ``2 |A and B| / (|A| + |B|)``.  The size of a bag is the number of words less
 one, so before any bigram is built, sizes alone prune: a coefficient of ``t``
-needs ``|A|`` between ``t / (2 - t) |B|`` and ``(2 - t) / t |B|``.
+needs ``|A|`` between ``t / (2 - t) |B|`` and ``(2 - t) / t |B|``.  Of the sizes
+that are left, a unit must hold one of a few bigrams of the template, as it
+needs ``t / (2 - t) |B|`` of all.  Both bounds lose nothing.
 
 A document's licence is that of its best unit (ties: the template listed
 first); ``n_matches`` counts units at or above the threshold.
@@ -17,8 +19,11 @@ no matches; repeated rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,12 +76,23 @@ def _bounds(size: int, threshold: float) -> tuple[float, float]:
     return threshold / (2 - threshold) * size, (2 - threshold) / threshold * size
 
 
+def told(grams: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template of which every unit near enough holds one.
+
+    A coefficient of ``t`` needs ``t / (2 - t)`` of the template's bigrams, so any
+    set of more than the rest will do; the longest are the rarest.
+    """
+    need = math.ceil(_bounds(len(grams), threshold)[0] - 1e-9)
+    longest = sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - need + 1]
+    return list(dict.fromkeys(g.rsplit(" ", 1)[0] for g in longest))
+
+
 def units(plain: Column) -> Column:
     """Lines, and paragraphs and the whole where they have several lines."""
     lines = F.split(plain, "\n")
     several = F.contains(F.trim(plain), F.lit("\n"))
     paragraphs = F.filter(F.split(plain, r"\n[ \n]*\n"), lambda p: F.contains(F.trim(p), F.lit("\n")))
-    larger = F.transform(F.array_distinct(F.concat(paragraphs, F.array(plain))), lambda p: F.translate(p, "\n", " "))
+    larger = F.transform(F.array_distinct(F.concat(paragraphs, F.array(plain))), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
     return F.transform(F.when(several, F.concat(lines, larger)).otherwise(lines), lambda u: F.trim(F.regexp_replace(u, "  +", " ")))
 
 
@@ -93,12 +109,11 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, license, dice, n_matches``."""
     wanted = [bag(t) for _, t in templates]
-    sizes = {len(b) for b in wanted}
 
-    def in_bounds(unit: Column) -> Column:
-        size = F.length(unit) - F.length(F.translate(unit, " ", ""))  # words less one
-        fits = [size.between(*_bounds(n, threshold)) for n in sorted(sizes)]
-        return F.array_contains(F.array(*fits), True)
+    def candidate(x: Column) -> Column:
+        fits = [x["size"].between(*_bounds(len(b), threshold)) & reduce(or_, [F.contains(x["unit"], F.lit(g)) for g in told(b, threshold)])
+                for b in wanted]
+        return reduce(or_, fits)
 
     def scored(grams: Column) -> Column:
         return F.array_max(F.array(*[
@@ -110,7 +125,8 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tupl
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
     best = F.array_max("matches")
     return (texts(docs, doc_id, text).select("doc_id", plain.alias("plain")).withColumn("units", units(F.col("plain")))
-            .withColumn("sized", F.filter("units", in_bounds)).withColumn("bags", bags(F.col("sized")))
+            .withColumn("sized", F.transform("units", lambda u: F.struct(u.alias("unit"), (F.size(F.split(u, " ")) - 1).alias("size"))))
+            .withColumn("bags", bags(F.transform(F.filter("sized", candidate), lambda x: x["unit"])))
             .withColumn("matches", F.filter(F.transform("bags", scored), lambda m: m["dice"] >= threshold))
             .select("doc_id", F.when(F.size("matches") > 0, F.element_at(names, 1 - best["place"])).alias("license"),
                     F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), F.size("matches").cast("long").alias("n_matches")))
