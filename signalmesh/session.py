@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local runs, tests) a fresh folder is made.
+    is.  Only in local mode, when it is unset (tests), a fresh folder is made; on a
+    cluster an unset folder is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="signalmesh-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
