@@ -7,8 +7,11 @@ empty unless an operator says otherwise.
 
 from __future__ import annotations
 
+import shutil
 import string
+import tempfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +25,25 @@ SPACE = r"\x20\x09-\x0D"
 ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+        _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (null as empty), and more columns by keyword."""
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
                        *[F.col(src).alias(name) for name, src in more.items()])

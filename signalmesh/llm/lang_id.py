@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import documents, table, with_rid
+from signalmesh.llm.common import documents, ship, table, with_rid
 
 CHAIN, BITS = 64, 17
 TRAIN_DOCS, TRAIN_LINES, EPOCHS = 300, 1500, 20
@@ -265,6 +265,7 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRA
 def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS,
            train_lines: int = TRAIN_LINES):
     """The broadcast model of a bounded sample of ``docs`` (of fixed size, whatever theirs)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.col(lang).cast("string").alias("lang"))
     lines = sample(rows, train_docs, train_lines)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import table, written
+from signalmesh.llm.common import ship, table, written
 
 K, EVERY, FACTOR = 20, 20, 1.0
 SHARD_ROWS, BLOCK_ROWS, LEAF = 4096, 8192, 96
@@ -143,6 +143,7 @@ def search_tile(candidates: pa.Table, queries: pa.Table, k: int, factor: float,
 def nearest(vectors: DataFrame, query: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS,
             block_rows: int = BLOCK_ROWS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row of ``query`` among ``vectors``."""
+    ship(vectors.sparkSession)
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("vector")
