@@ -81,6 +81,32 @@ def with_ngrams(select: str) -> str:
     return "WITH " + d.analysis_ctes() + ",\n" + NGRAM_OCC + "\n" + select
 
 
+# The walk one n-gram at a time, the claimed signals as its state.
+_MIN = FIXTURE_THEMES.emerging_theme_min_frequency
+WALK = f"""sig AS (SELECT *, row_number() OVER (ORDER BY o_src, o_portal, o_grp, o_k1, o_k2) AS sid FROM unmatched),
+grams AS MATERIALIZED (
+  SELECT r, s.ngram, s.df, s.fs, list(g.sid) AS sids
+  FROM (SELECT *, row_number() OVER (ORDER BY df DESC, fs) AS r FROM stats) s JOIN occ o ON o.ngram = s.ngram
+  JOIN sig g ON g.o_src = o.o_src AND g.o_portal = o.o_portal AND g.o_grp = o.o_grp AND g.o_k1 = o.o_k1 AND g.o_k2 = o.o_k2
+  GROUP BY ALL),
+walk(r, claimed, free) AS (
+  SELECT CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[]
+  UNION ALL
+  SELECT gr, CASE WHEN len(f) >= {_MIN} THEN list_concat(claimed, f) ELSE claimed END, f
+  FROM (SELECT g.r AS gr, w.claimed, list_filter(g.sids, lambda x: NOT list_contains(w.claimed, x)) AS f
+        FROM walk w JOIN grams g ON g.r = w.r + 1)),
+emerging AS (SELECT g.r, g.ngram, g.df, g.fs, len(w.free) AS frequency, w.free FROM walk w JOIN grams g ON g.r = w.r
+             WHERE len(w.free) >= {_MIN}),
+members AS (SELECT e.r, e.ngram, g.sid, g.id, g.source, g.title FROM (SELECT r, ngram, unnest(free) AS sid FROM emerging) e
+            JOIN sig g ON g.sid = e.sid)"""
+SEEN = (" CAST(df AS BIGINT) AS df, CAST(fs[1] AS BIGINT) AS seen_src, fs[2] AS seen_portal, CAST(fs[3] AS BIGINT) AS seen_grp,"
+        " CAST(fs[4] AS BIGINT) AS seen_k1, CAST(fs[5] AS BIGINT) AS seen_k2, CAST(fs[6] AS BIGINT) AS seen_pos")
+
+
+def with_walk(select: str) -> str:
+    return "WITH RECURSIVE " + d.analysis_ctes() + ",\n" + NGRAM_OCC + ",\n" + WALK + "\n" + select
+
+
 def keyword_sql() -> str:
     arr = d.theme_array("t", DEFAULT_THEMES)
     ids = "[" + ", ".join(d.lit(t.id) for t in DEFAULT_THEMES.themes) + "]"
@@ -205,6 +231,12 @@ def build() -> dict[str, str]:
         "ngram_rank": with_ngrams("SELECT ngram, CAST(df AS BIGINT) AS df, CAST(fs[1] AS BIGINT) AS seen_src,"
                                   " fs[2] AS seen_portal, CAST(fs[3] AS BIGINT) AS seen_grp, CAST(fs[4] AS BIGINT) AS seen_k1,"
                                   " CAST(fs[5] AS BIGINT) AS seen_k2, CAST(fs[6] AS BIGINT) AS seen_pos FROM stats"),
+        "emerging_themes": with_walk(f"SELECT ngram, CAST(frequency AS BIGINT) AS frequency, {SEEN} FROM emerging"),
+        "emerging_points": with_walk("SELECT ngram, id, source, title FROM members"),
+        "emerging_top": with_walk("SELECT ngram, CAST(frequency AS BIGINT) AS frequency FROM emerging ORDER BY r LIMIT 5"),
+        "emerging_samples": with_walk("SELECT ngram, sample_rank, title FROM (SELECT ngram, title, CAST(row_number() OVER"
+                                      " (PARTITION BY ngram ORDER BY sid) AS BIGINT) AS sample_rank FROM members)"
+                                      " WHERE sample_rank <= 3"),
         "theme_points": A("SELECT t.theme_id, p.id, p.source, p.title, CAST(p.o_src AS BIGINT) AS ord_src,"
                           " p.o_portal AS ord_portal, CAST(p.o_grp AS BIGINT) AS ord_grp, p.o_k1 AS ord_k1,"
                           " p.o_k2 AS ord_k2 FROM points p JOIN themes t ON t.theme_idx = p.theme_idx"),
@@ -257,6 +289,11 @@ def build() -> dict[str, str]:
         "synthesize_feedback": AQ("WITH_QUOTES" + THEMES_VIEW_SUMMARY),
         "product_plan": AQ("WITH_QUOTES" + PLAN_PRIORITIES),
         "feature_requests": fr_sql,
+        "feature_request_comments": (
+            f"WITH {d.POSTS_RAW}, {d.COMMENTS}, cm AS (SELECT c.*, p.portal FROM comments c JOIN posts_raw p ON p.id = c.post_id"
+            f" WHERE lower(p.status) = 'open') SELECT portal, CAST(post_id AS BIGINT) AS post_id, CAST(pos AS BIGINT) AS pos,"
+            f" role, comment_s AS comment, array_to_string(list_sort(comment_s_pii), '|') AS pii"
+            f" FROM {d.scrub_from('cm', [('comment', 'comment_s')])}"),
         "pii_audit": A("SELECT CASE WHEN source = 'REACTIVE' THEN 'support_tickets' ELSE 'feature_votes' END AS source,"
                        " category, CAST(count(*) AS BIGINT) AS signals FROM (SELECT source, unnest(pii) AS category"
                        " FROM signals) GROUP BY ALL"),

@@ -30,20 +30,25 @@ import logging
 import time
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from signalmesh.config import ThemesConfig
 from signalmesh.functions.text import ngrams, tokens
 from signalmesh.operators.normalize import with_text
-from signalmesh.session import ensure_checkpoint_dir
+from signalmesh.session import ensure_checkpoint_dir, materialize
 
 log = logging.getLogger(__name__)
 
 UNDECIDED, ACCEPTED, REJECTED, FINAL = 0, 1, -1, 2
 
 
+def _keyed(unmatched: DataFrame) -> DataFrame:
+    """Signals with their text; ``ord`` gets a hash of it, so that rows of one ticket
+    with different texts stay apart (rows alike share all n-grams and fates)."""
+    return with_text(unmatched).withColumn("ord", F.col("ord").withField("h", F.xxhash64("text")))
+
+
 def ngram_occurrences(unmatched: DataFrame, stop_words) -> DataFrame:
     """(ord, pos, ngram): each signal's distinct n-grams with first position.
 
@@ -52,7 +57,7 @@ def ngram_occurrences(unmatched: DataFrame, stop_words) -> DataFrame:
     """
     # tokens first as a column: a lambda body re-evaluates an inlined expression
     # per element, so ngrams() must reference an attribute, not the tokenizer.
-    toks = with_text(unmatched).select("ord", tokens(F.col("text"), stop_words).alias("toks"))
+    toks = _keyed(unmatched).select("ord", tokens(F.col("text"), stop_words).alias("toks"))
     grams = F.array_distinct(ngrams(F.col("toks")))
     return toks.select("ord", F.posexplode(grams).alias("pos", "ngram"))
 
@@ -62,9 +67,22 @@ def ngram_stats(occ: DataFrame, min_frequency: int) -> DataFrame:
 
     ``rk`` is the rank key: smaller = earlier in the greedy walk.
     """
-    g = occ.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"),
-                                 F.min(F.struct("ord", "pos")).alias("first_seen"))
-    g = g.filter(F.col("df") >= F.lit(min_frequency))
+    return ranked(frequent(occ, min_frequency))
+
+
+def frequent(occ: DataFrame, min_frequency: int) -> DataFrame:
+    """The occurrences of n-grams with df >= min, with ``df``.
+
+    Counts alone come first (a hash aggregate without structs); they are
+    written, so that the join has two plain sides and a hot n-gram can be split.
+    """
+    df = materialize(occ.groupBy("ngram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= F.lit(min_frequency)),
+                     "ngram-df")
+    return occ.join(df, "ngram")
+
+
+def ranked(kept: DataFrame) -> DataFrame:
+    g = kept.groupBy("ngram", "df").agg(F.min(F.struct("ord", "pos")).alias("first_seen"))
     return g.withColumn("rk", F.struct((-F.col("df")).alias("neg_df"), F.col("first_seen").alias("first_seen")))
 
 
@@ -101,7 +119,7 @@ def claim_round(state: DataFrame, min_frequency: int) -> DataFrame:
 
 
 def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000,
-                 rounds_per_write: int = 3, on_start=None) -> DataFrame:
+                 rounds_per_write: int = 3) -> DataFrame:
     """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``.
 
     Rounds are chained ``rounds_per_write`` at a time into one job whose final
@@ -114,8 +132,6 @@ def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emerging-{uuid.uuid4().hex}"
     state = _round_table(spark, base, 0, postings.select(
         "ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt")))
-    if on_start is not None:
-        on_start()  # the postings are written: inputs cached for them can go
     rnd = 0
     while rnd < max_rounds:
         t_group = time.perf_counter()
@@ -139,16 +155,10 @@ def emerging_themes(unmatched: DataFrame, cfg: ThemesConfig) -> tuple[DataFrame,
     """``emerging(ngram, frequency, rk)`` and ``emerging_points(ngram, rk,
     id, source, title, ord)``; order both by ``rk`` (claim order) and ``ord``."""
     minf = cfg.emerging_theme_min_frequency
-    # two consumers (df aggregate, postings join): tokenize once; the lineage
-    # behind it is one projection over the written signals table
-    occ = ngram_occurrences(unmatched, cfg.stop_words).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = ngram_stats(occ, minf).select("ngram", "rk")
-    postings = occ.select("ngram", "ord").join(stats, "ngram")
-    try:
-        won = greedy_claim(postings, minf, on_start=occ.unpersist)
-    finally:
-        occ.unpersist()
+    kept = materialize(frequent(ngram_occurrences(unmatched, cfg.stop_words), minf), "ngram-kept")
+    stats = materialize(ranked(kept).select("ngram", "rk"), "ngram-rank")
+    won = greedy_claim(kept.select("ngram", "ord").join(stats, "ngram"), minf)
     emerging = won.groupBy("ngram", "rk").agg(F.max("cnt").cast("bigint").alias("frequency"))
-    pts = won.select("ngram", "rk", "ord").join(unmatched.select("ord", "id", "source", "title"), "ord")
-    return emerging, pts
+    pts = won.select("ngram", "rk", "ord").distinct().join(_keyed(unmatched).select("ord", "id", "source", "title"), "ord")
+    return emerging, pts.withColumn("ord", F.col("ord").dropFields("h"))
 

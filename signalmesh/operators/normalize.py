@@ -32,7 +32,8 @@ def _names(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def _to_ntz(c: Column, dtype: T.DataType) -> Column:
+def to_ntz(c: Column, dtype: T.DataType) -> Column:
+    """A date as UTC wall time: offsets are honoured, unreadable strings become null."""
     if isinstance(dtype, T.StringType):
         return F.try_to_timestamp(c).cast("timestamp_ntz")
     if isinstance(dtype, T.TimestampType):
@@ -49,8 +50,8 @@ def tickets_clean(raw: DataFrame) -> DataFrame:
         tags = F.transform(tags, lambda t: t["tag"])
     df = raw.select(
         F.col("id"), F.col("number"), F.col("subject"), F.col("preview"), F.col("status"),
-        _to_ntz(F.col("created_at"), s["created_at"].dataType).alias("created_at"),
-        _to_ntz(F.col("closed_at"), s["closed_at"].dataType).alias("closed_at"),
+        to_ntz(F.col("created_at"), s["created_at"].dataType).alias("created_at"),
+        to_ntz(F.col("closed_at"), s["closed_at"].dataType).alias("closed_at"),
         F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
         F.coalesce(F.col("threads"), F.lit(0)).cast("int").alias("thread_count"),
         *[F.col(c) for c in ("mailbox_id",) if c in raw.columns],
@@ -90,8 +91,8 @@ def requests_clean(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("votes_count"), F.lit(0)).cast("bigint").alias("votes_count"),
         F.coalesce(F.col("comments_count"), F.lit(0)).cast("bigint").alias("comments_count"),
         F.col("portal"), F.col("url"),
-        _to_ntz(F.col("created_at"), s["created_at"].dataType).alias("created_at"),
-        _to_ntz(F.col("updated_at"), s["updated_at"].dataType).alias("updated_at"),
+        to_ntz(F.col("created_at"), s["created_at"].dataType).alias("created_at"),
+        to_ntz(F.col("updated_at"), s["updated_at"].dataType).alias("updated_at"),
         F.coalesce(comments, F.array().cast(COMMENT_TYPE)).alias("comments"),
         *[F.col(c) for c in ("feed_seq", "grp", "k1", "k2") if c in raw.columns],
     )

@@ -12,9 +12,10 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalmesh.operators.normalize import to_ntz
 from signalmesh.params import Params
 
 
@@ -26,9 +27,13 @@ def window_start(p: Params):
     return _as_of(p) - F.make_dt_interval(F.lit(p.timeframe_days))
 
 
+def _created(df: DataFrame) -> Column:
+    return to_ntz(F.col("created_at"), df.schema["created_at"].dataType)
+
+
 def tickets_in_window(tickets: DataFrame, p: Params) -> DataFrame:
-    """F1 (+F3): createdAt in the closed range [as_of - N days, as_of]."""
-    out = tickets.filter(F.col("created_at").between(window_start(p), _as_of(p)))
+    """F1 (+F3): createdAt in the closed range [as_of - N days, as_of]; unparseable dates drop."""
+    out = tickets.filter(_created(tickets).between(window_start(p), _as_of(p)))
     if p.mailbox_id is not None:
         out = out.filter(F.col("mailbox_id") == F.lit(p.mailbox_id))
     return out
@@ -48,12 +53,25 @@ def resolve_mailbox(mailboxes: DataFrame, p: Params) -> DataFrame:
 def filter_mailbox(tickets: DataFrame, mailboxes: DataFrame, p: Params) -> DataFrame:
     """F3 with J5: restrict tickets to the resolved mailbox (no name/id = all).
 
-    The resolved side is one row, so the join is a broadcast.
+    A name is resolved first (one row), so the scan sees a plain equality;
+    an unknown name is an error that lists the mailboxes.
     """
     if p.mailbox_id is None and not p.mailbox_name:
         return tickets
-    mb = F.broadcast(resolve_mailbox(mailboxes, p))
-    return tickets.join(mb, tickets["mailbox_id"] == mb["mailbox_id"], "left_semi")
+    hit = resolve_mailbox(mailboxes, p).first()
+    if hit is None:
+        raise ValueError(f'no mailbox named "{p.mailbox_name}"; available: {_listed(mailboxes.orderBy("pos"))}')
+    return tickets.filter(F.col("mailbox_id") == F.lit(hit.mailbox_id))
+
+
+def _listed(named: DataFrame, most: int = 100) -> str:
+    return ", ".join(str(r.name) for r in named.select("name").limit(most).collect())
+
+
+def require_portal(portals: DataFrame, p: Params) -> None:
+    """An unknown portal name is an error that lists the portals."""
+    if p.portal and portals.filter(F.lower(F.col("name")) == F.lower(F.lit(p.portal))).isEmpty():
+        raise ValueError(f'no portal named "{p.portal}"; available: {_listed(portals.orderBy("name"))}')
 
 
 def filter_portal(posts: DataFrame, p: Params) -> DataFrame:
@@ -75,7 +93,7 @@ def filter_status(posts: DataFrame, p: Params) -> DataFrame:
 
 def recent_posts(posts: DataFrame, p: Params) -> DataFrame:
     """created_at >= as_of - N days, no upper bound; unparseable dates drop."""
-    return posts.filter(F.col("created_at") >= window_start(p))
+    return posts.filter(_created(posts) >= window_start(p))
 
 
 def top_voted_posts(posts: DataFrame, p: Params) -> DataFrame:
@@ -119,9 +137,9 @@ def attach_comment_list(posts: DataFrame, comments: DataFrame) -> DataFrame:
     that scale with comment volume use :func:`request_comment_rows` (long
     form) or per-post aggregates.
     """
-    grouped = comments.groupBy("post_id").agg(
+    grouped = comments.groupBy("portal", F.col("post_id").alias("id")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "role", "comment", "created_at"))).alias("__c"))
-    joined = posts.join(grouped, posts["id"] == grouped["post_id"], "left").drop("post_id")
+    joined = posts.join(grouped, ["portal", "id"], "left")
     return joined.withColumn(
         "comments",
         F.coalesce(F.transform("__c", lambda c: F.struct(c["role"].alias("role"), c["comment"].alias("comment"),
@@ -132,8 +150,9 @@ def attach_comment_list(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 def request_comment_rows(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """J4 (long form): post LEFT JOIN comments, one row per comment (or one
-    null-comment row for a post without comments)."""
-    return posts.join(comments, posts["id"] == comments["post_id"], "left").drop("post_id")
+    null-comment row for a post without comments).  Post ids repeat across
+    portals, so both are the key."""
+    return posts.join(comments.withColumnRenamed("post_id", "id"), ["portal", "id"], "left")
 
 
 def all_portals(*per_portal: DataFrame) -> DataFrame:

@@ -86,6 +86,11 @@ def plan_priorities(a, p: Params) -> DataFrame:
     return out
 
 
+def _sources():
+    """The feeds (two at most), tickets first."""
+    return F.sort_array(F.collect_list("data_source"), asc=False)
+
+
 def _generated_at(p: Params) -> str:
     return p.as_of.strftime("%Y-%m-%dT%H:%M:%S.000Z")
 
@@ -98,7 +103,7 @@ def plan_markdown(a, p: Params) -> DataFrame:
     """
     spark = a.signals.sparkSession
     summ = a.summary()
-    sources = a.data_sources().agg(F.array_join(F.array_sort(F.collect_list("data_source")), ", ").alias("src"))
+    sources = a.data_sources().agg(F.array_join(_sources(), ", ").alias("src"))
     head = attach_row(summ, sources).select(F.posexplode(F.array(
         F.concat(F.lit(f"# Product Plan — {p.timeframe_days}-day window")),
         F.lit(""),
@@ -150,7 +155,7 @@ def plan_markdown(a, p: Params) -> DataFrame:
     parts = [head, table_head, table_rows, table_tail, detail, em_head, em_lines, em_tail]
     if p.kpi_context:
         kpi = spark.range(1).select(F.posexplode(F.array(F.lit("## Business context (KPI)"), F.lit(""),
-                                                         F.lit(p.kpi_context), F.lit(""))).alias("k", "line"))
+                                                         F.lit(p.kpi_context.rstrip()), F.lit(""))).alias("k", "line"))
         parts.append(kpi.select(F.lit(8).alias("sec"), F.lit(0).alias("r"), F.col("k").cast("bigint"), "line"))
     allp = parts[0]
     for part in parts[1:]:
@@ -172,11 +177,13 @@ def plan_markdown_text(a, p: Params) -> DataFrame:
 def feature_requests(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """Feature-requests job: portal + status filter (before comments), scrub;
     comments are counted from the long comment table (no per-post list)."""
+    sel.require_portal(fx.portals(spark, sf_dir), p)
     posts = sel.filter_status(sel.filter_portal(fx.posts(spark, sf_dir), p), p)
     clean = nz.requests_clean(posts)
     if p.include_comments:
-        counts = fx.comments(spark, sf_dir).groupBy("post_id").agg(F.count(F.lit(1)).alias("n_comments"))
-        clean = clean.join(counts, clean["id"] == counts["post_id"], "left").drop("post_id")
+        counts = fx.comments(spark, sf_dir).groupBy("portal", F.col("post_id").alias("id")).agg(
+            F.count(F.lit(1)).alias("n_comments"))
+        clean = clean.join(counts, ["portal", "id"], "left")
     else:
         clean = clean.withColumn("n_comments", F.lit(0))
     return clean.select(F.col("id").cast("bigint").alias("id"), "title", "description", "status", "portal",
@@ -188,10 +195,10 @@ def feature_requests(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
 
 def feature_request_comments(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """Long comment rows of the selected posts, scrubbed; role kept, names never."""
-    posts = sel.filter_status(sel.filter_portal(fx.posts(spark, sf_dir), p), p).select("id")
-    cm = fx.comments(spark, sf_dir).join(posts, F.col("post_id") == F.col("id"), "left_semi")
+    posts = sel.filter_status(sel.filter_portal(fx.posts(spark, sf_dir), p), p).select("portal", F.col("id").alias("post_id"))
+    cm = fx.comments(spark, sf_dir).join(posts, ["portal", "post_id"], "left_semi")
     cm = px.with_scrub(cm, "comment", "comment_s", "pii")
-    return cm.select("post_id", "pos", "role", F.col("comment_s").alias("comment"), "created_at", "pii")
+    return cm.select("portal", "post_id", "pos", "role", F.col("comment_s").alias("comment"), "created_at", "pii")
 
 
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +307,7 @@ def plan_document(a, p: Params) -> DataFrame:
                        F.col("reactive_count").alias("reactive_signals"),
                        F.col("proactive_count").alias("proactive_signals"), "themes_detected", "convergent_themes",
                        F.col("unmatched_count").alias("unmatched_signals"))
-    src = a.data_sources().agg(F.array_sort(F.collect_list("data_source")).alias("data_sources"))
+    src = a.data_sources().agg(_sources().alias("data_sources"))
     pii = a.pii_categories().agg(F.array_sort(F.collect_list("category")).alias("pii_categories_redacted"))
     doc = attach_row(attach_row(attach_row(attach_row(s, src), pii), prios), emj).select(F.struct(
         F.lit(_generated_at(p)).alias("generated_at"), F.lit(METHODOLOGY_VERSION).alias("methodology_version"),

@@ -32,7 +32,7 @@ _CACHE: dict = {}
 
 def analysis(spark: SparkSession, sf_dir: str, **kw) -> an.Analysis:
     """One persisted analysis per (session, tables, parameters)."""
-    key = (id(spark), sf_dir, tuple(sorted(kw.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(kw.items())))
     if key not in _CACHE:
         p = Params(**{k: v for k, v in kw.items() if k != "cfg"})
         _CACHE[key] = an.analyze(an.fixture_feeds(spark, sf_dir), kw.get("cfg", FIXTURE_THEMES), p)
@@ -64,14 +64,14 @@ def q_data_sources(spark, sf):
 def q_post_comments(spark, sf):
     """Comments attached per post (left join; none -> zero), as bounded
     per-post aggregates -- the comment list itself stays a long table (J4)."""
-    posts = fx.posts(spark, sf).select("id")
+    posts = fx.posts(spark, sf).select("portal", "id")
     c = fx.comments(spark, sf)
-    per_post = c.groupBy("post_id").agg(
+    per_post = c.groupBy("portal", F.col("post_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n_comments"),
         F.count(F.when(F.col("role") == "admin", 1)).alias("n_admin"),
         F.min_by("comment", "pos").alias("first_comment"),
         F.max_by("comment", "pos").alias("last_comment"))
-    out = posts.join(per_post, posts["id"] == per_post["post_id"], "left")
+    out = posts.join(per_post, ["portal", "id"], "left")
     return out.select(F.col("id").cast("bigint").alias("post_id"),
                       F.coalesce("n_comments", F.lit(0)).cast("bigint").alias("n_comments"),
                       F.coalesce("n_admin", F.lit(0)).cast("bigint").alias("n_admin"),
@@ -235,7 +235,7 @@ def q_quote_lookup(spark, sf):
 
 
 def q_request_with_comments(spark, sf):
-    rows = sel.request_comment_rows(fx.posts(spark, sf).select("id", "title"), fx.comments(spark, sf))
+    rows = sel.request_comment_rows(fx.posts(spark, sf).select("portal", "id", "title"), fx.comments(spark, sf))
     return rows.select(F.col("id").cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"), "role",
                        "comment")
 
@@ -285,6 +285,12 @@ def _occurrences(spark, sf):
     return em.ngram_occurrences(a.unmatched, a.cfg.stop_words), a.cfg
 
 
+def _seen(fs: Column) -> list[Column]:
+    return [fs["ord"]["src"].cast("bigint").alias("seen_src"), fs["ord"]["portal"].alias("seen_portal"),
+            fs["ord"]["grp"].cast("bigint").alias("seen_grp"), fs["ord"]["k1"].alias("seen_k1"),
+            fs["ord"]["k2"].alias("seen_k2"), fs["pos"].cast("bigint").alias("seen_pos")]
+
+
 def q_ngram_df(spark, sf):
     occ, cfg = _occurrences(spark, sf)
     s = em.ngram_stats(occ, cfg.emerging_theme_min_frequency)
@@ -295,16 +301,18 @@ def q_ngram_rank(spark, sf):
     """The rank key of every frequent n-gram (df desc, then first appearance)."""
     occ, cfg = _occurrences(spark, sf)
     s = em.ngram_stats(occ, cfg.emerging_theme_min_frequency)
-    fs = F.col("first_seen")
-    return s.select("ngram", F.col("df").cast("bigint").alias("df"),
-                    fs["ord"]["src"].cast("bigint").alias("seen_src"), fs["ord"]["portal"].alias("seen_portal"),
-                    fs["ord"]["grp"].cast("bigint").alias("seen_grp"), fs["ord"]["k1"].alias("seen_k1"),
-                    fs["ord"]["k2"].alias("seen_k2"), fs["pos"].cast("bigint").alias("seen_pos"))
+    return s.select("ngram", F.col("df").cast("bigint").alias("df"), *_seen(F.col("first_seen")))
 
 
 def q_emerging_themes(spark, sf):
+    """A9 with each theme's rank key, so that the claim order is compared too."""
     e = analysis(spark, sf).emerging
-    return e.select("ngram", "frequency")
+    return e.select("ngram", "frequency", (-F.col("rk.neg_df")).cast("bigint").alias("df"), *_seen(F.col("rk.first_seen")))
+
+
+def q_emerging_points(spark, sf):
+    """The members each theme claimed."""
+    return analysis(spark, sf).emerging_points.select("ngram", "id", "source", "title")
 
 
 def q_theme_points(spark, sf):
@@ -516,6 +524,13 @@ def q_feature_requests(spark, sf):
     return jobs.feature_requests(spark, sf, Params(status="open"))
 
 
+def q_feature_request_comments(spark, sf):
+    """The listing's comments as a long table, scrubbed."""
+    c = jobs.feature_request_comments(spark, sf, Params(status="open"))
+    return c.select("portal", F.col("post_id").cast("bigint").alias("post_id"), F.col("pos").cast("bigint").alias("pos"),
+                    "role", "comment", joined(F.col("pii")).alias("pii"))
+
+
 def q_pii_audit(spark, sf):
     return jobs.pii_audit(analysis(spark, sf))
 

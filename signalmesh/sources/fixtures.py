@@ -12,7 +12,7 @@ which is a partial+final hash aggregate on ``conv_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmesh.params import FIXTURE_AS_OF
@@ -47,7 +47,11 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFra
     return spread(table(spark, sf_dir, name), key)
 
 
-def _as_of() -> F.Column:
+def _portal(conv_id: Column) -> Column:
+    return F.concat(F.lit("portal_"), (conv_id % N_PORTALS).cast("string"))
+
+
+def _as_of() -> Column:
     return F.lit(FIXTURE_AS_OF).cast("timestamp_ntz")
 
 
@@ -90,7 +94,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("id"),
         F.col("title"),
         F.col("description"),
-        F.concat(F.lit("portal_"), (F.col("conv_id") % N_PORTALS).cast("string")).alias("portal"),
+        _portal(F.col("conv_id")).alias("portal"),
         F.when(F.col("conv_id") % 4 == 0, "Open").when(F.col("conv_id") % 4 == 1, "Planned")
         .when(F.col("conv_id") % 4 == 2, "Completed").alias("status"),
         F.lit(None).cast("string").alias("category"),
@@ -104,9 +108,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments ``(post_id, pos, role, comment, created_at)``; never names."""
+    """Comments ``(portal, post_id, pos, role, comment, created_at)``; never names."""
     c = text_table(spark, sf_dir, "conversations", "conv_id")
     return c.filter(F.col("turn") > 0).select(
+        _portal(F.col("conv_id")).alias("portal"),
         F.col("conv_id").alias("post_id"),
         F.col("turn").alias("pos"),
         F.when(F.col("role") == "assistant", "admin").otherwise("user").alias("role"),

@@ -2,7 +2,8 @@
 
 Ticket, mailbox and post pages are read with declared schemas (no inference)
 and exploded; a page without ``_embedded`` contributes no rows, and all pages
-are appended without dedupe.  Bad records land in ``_corrupt_record``.
+are appended without dedupe.  A page that is no JSON gives no rows but a
+warning (:func:`page_warnings`); pretty-printed pages need ``multi_line``.
 ``source_status`` isolates failures per source the way the service does: one
 failed source is a warning row, the others proceed.
 """
@@ -65,9 +66,40 @@ def ticket_rows(pages: DataFrame, page_no: Column | None = None) -> DataFrame:
     )
 
 
-def read_ticket_pages(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(TICKET_PAGE).option("mode", "PERMISSIVE").json(path)
-    return ticket_rows(raw.select(F.struct(*raw.columns).alias("p")))
+CORRUPT = "_corrupt_record"
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    return (spark.read.schema(T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path))
+
+
+def read_pages(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Landed pages as ``page_no, p``: one page a line, or one page a file with ``multi_line``."""
+    raw = _read(spark, path, schema, multi_line)
+    number = F.coalesce(F.col("page.number"), F.lit(0)) if "page" in schema.names else F.lit(0)
+    return raw.select(number.alias("page_no"), F.struct(*schema.names).alias("p"))
+
+
+def page_warnings(spark: SparkSession, path: str, schema: T.StructType, source: str, multi_line: bool = False) -> DataFrame:
+    """One row ``source, warning`` per landed record that is not a page of ``schema``."""
+    raw = _read(spark, path, schema, multi_line)
+    return raw.filter(F.col(CORRUPT).isNotNull()).select(
+        F.lit(source).alias("source"),
+        F.concat(F.lit(f"{source}: unreadable page in "), F.col("_metadata.file_name")).alias("warning"),
+        F.to_json(F.struct(*schema.names)).alias("read_as"))
+
+
+def read_ticket_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return ticket_rows(read_pages(spark, path, TICKET_PAGE, multi_line), F.col("page_no"))
+
+
+def read_mailbox_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return mailbox_rows(read_pages(spark, path, MAILBOX_PAGE, multi_line))
+
+
+def read_post_pages(spark: SparkSession, path: str, portal: str, multi_line: bool = False) -> DataFrame:
+    return post_rows(read_pages(spark, path, POST_PAGE, multi_line), F.lit(portal))
 
 
 def mailbox_rows(pages: DataFrame) -> DataFrame:
@@ -110,8 +142,9 @@ def source_status(spark: SparkSession, loaders: dict) -> DataFrame:
         "source", "ok", F.when(F.col("warning").isNotNull(), F.col("warning_s")).alias("warning"))
 
 
-def run_failed(status: DataFrame, tickets_source: str, portal_sources: list[str]) -> bool:
-    """Total failure: tickets failed and (no portals or every portal failed)."""
+def run_failed(status: DataFrame, tickets_source: str, portal_sources: list[str], n_requests: int = 0) -> bool:
+    """Total failure: tickets failed, and no portals or no requests with at least one failed portal."""
     rows = {r.source: r.ok for r in status.collect()}
     tickets_failed = not rows.get(tickets_source, False)
-    return tickets_failed and (not portal_sources or not any(rows.get(p, False) for p in portal_sources))
+    return tickets_failed and (not portal_sources or (
+        n_requests == 0 and not all(rows.get(p, False) for p in portal_sources)))

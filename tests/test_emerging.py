@@ -59,3 +59,14 @@ def test_fixture_tables_equal_sequential_walk(spark):
     for r in a.emerging_points.orderBy("ord").collect():
         members.setdefault(r.ngram, []).append(r.id)
     assert [(g, freq[g], members[g]) for g in order] == want and len(want) > 0
+
+
+def test_repeated_rows_and_edited_tickets_keep_their_members(spark):
+    cfg = ThemesConfig(1, (), (), 3)
+    same = (0, "", 0, 1, 1)
+    rows = [("p1", "REACTIVE", "t", "red blue", same), ("p1", "REACTIVE", "t", "red blue", same),
+            ("p1", "REACTIVE", "t", "green grey", same), ("p2", "REACTIVE", "u", "red blue", (0, "", 0, 2, 2))]
+    em, pts = emerging_themes(spark.createDataFrame(rows, _frame(spark, ["x"]).schema), cfg)
+    assert [(r.ngram, r.frequency) for r in em.collect()] == [("red blue", 3)]
+    assert sorted((r.ngram, r.id) for r in pts.collect()) == [("red blue", "p1"), ("red blue", "p1"), ("red blue", "p2")]
+    assert pts.schema["ord"].dataType == _frame(spark, ["x"]).schema["ord"].dataType

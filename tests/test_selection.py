@@ -1,6 +1,8 @@
 """Feed selection edge cases (W2/W3) the reference's suite leaves open."""
 
-from feeds import days_ago, feeds, post
+import pytest
+
+from feeds import days_ago, feeds, post, ticket
 from signalmesh.operators import selection as sel
 from signalmesh.params import Params
 
@@ -29,3 +31,32 @@ def test_portal_filter_case_insensitive(spark):
 def test_status_filter_skips_null(spark):
     f = feeds(spark, [], [post(1, "x", status="Planned"), post(2, "y", status=None), post(3, "z", status="Open")])
     assert [r.id for r in sel.filter_status(f.posts, Params(status="planned")).collect()] == [1]
+
+
+def test_string_dates_with_offsets_and_unreadable_ones(spark):
+    created = {1: "2024-01-31T01:00:00+02:00", 2: "not a date", 3: "2024-01-31T01:00:00", 4: "2024-01-30T12:00:00Z", 5: None}
+    f = feeds(spark, [ticket(i, "s", created=c) for i, c in created.items()], [post(i, "p", created=c) for i, c in created.items()])
+    assert sorted(r.id for r in sel.tickets_in_window(f.tickets, Params()).collect()) == [1, 4]
+    assert sorted(r.id for r in sel.recent_posts(f.posts, Params()).collect()) == [1, 3, 4]
+
+
+def test_unknown_names_raise_and_list_what_there_is(spark):
+    f = feeds(spark, [ticket(1, "s")], [])
+    with pytest.raises(ValueError, match="Support"):
+        sel.filter_mailbox(f.tickets, f.mailboxes, Params(mailbox_name="nobody"))
+    assert sel.filter_mailbox(f.tickets, f.mailboxes, Params(mailbox_name="support")).count() == 1
+    assert sel.filter_mailbox(f.tickets, f.mailboxes, Params(mailbox_id=2)).count() == 0
+    portals = spark.createDataFrame([("acme",)], "name string")
+    with pytest.raises(ValueError, match="acme"):
+        sel.require_portal(portals, Params(portal_name="other"))
+    sel.require_portal(portals, Params(portal_name="ACME"))
+
+
+def test_comments_of_one_post_id_in_two_portals(spark):
+    f = feeds(spark, [], [post(7, "x", portal="a"), post(7, "y", portal="b")])
+    comments = spark.createDataFrame([("a", 7, 1, "user", "only a", None)],
+                                     "portal string, post_id bigint, pos bigint, role string, comment string, created_at string")
+    rows = sel.request_comment_rows(f.posts.drop("created_at"), comments)
+    assert sorted((r.title, r.comment) for r in rows.collect()) == [("x", "only a"), ("y", None)]
+    lists = {r.title: len(r.comments) for r in sel.attach_comment_list(f.posts, comments).collect()}
+    assert lists == {"x": 1, "y": 0}

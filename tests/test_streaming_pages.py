@@ -50,3 +50,22 @@ def test_source_status(spark):
     assert rows["support_tickets"].ok and not rows["feature_votes"].ok
     assert "[EMAIL REDACTED]" in rows["feature_votes"].warning
     assert not pg.run_failed(st, "support_tickets", ["feature_votes"])
+    failed = pg.source_status(spark, {"support_tickets": boom, "a": boom, "b": lambda: fx.posts(spark, SF)})
+    assert pg.run_failed(failed, "support_tickets", ["a", "b"], 0)
+    assert not pg.run_failed(failed, "support_tickets", ["a", "b"], 3)
+    assert not pg.run_failed(failed, "support_tickets", ["b"], 0) and pg.run_failed(failed, "support_tickets", [])
+
+
+def test_truncated_and_pretty_printed_pages(spark):
+    page = {"_embedded": {"conversations": [{"id": 1, "subject": "s"}]}, "page": {"number": 1}}
+    lines, files = tempfile.mkdtemp(prefix="sm-pages-"), tempfile.mkdtemp(prefix="sm-pages-")
+    with open(os.path.join(lines, "p.json"), "w") as f:
+        f.write(json.dumps(page) + "\n" + json.dumps(page)[:-30] + "\n")
+    assert pg.read_ticket_pages(spark, lines).filter("id is not null").count() >= 1
+    warnings = pg.page_warnings(spark, lines, pg.TICKET_PAGE, "support_tickets").collect()
+    assert [r.source for r in warnings] == ["support_tickets"] and "p.json" in warnings[0].warning
+    for i, text in enumerate((json.dumps(page, indent=2), json.dumps(page, indent=2)[:-20])):
+        with open(os.path.join(files, f"p{i}.json"), "w") as f:
+            f.write(text)
+    assert pg.read_ticket_pages(spark, files, multi_line=True).filter("id = 1").count() >= 1
+    assert len(pg.page_warnings(spark, files, pg.TICKET_PAGE, "t", multi_line=True).collect()) == 1
