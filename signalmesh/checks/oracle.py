@@ -1,8 +1,7 @@
 """Oracle SQL (DuckDB dialect) for the registered queries.
 
 Keys match :data:`signalmesh.plans.queries.QUERIES`; column names and types
-match the Spark outputs.  Queries with no SQL form (the greedy emerging-theme
-walk and what depends on it) are absent and checked by tests instead.
+match the Spark outputs.  The Markdown and JSON plan documents are absent.
 """
 
 from __future__ import annotations
