@@ -25,11 +25,19 @@ SPACE = r"\x20\x09-\x0D"
 ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+#: Rows of a batch between the JVM and Python at most: whole texts and shingle sets are long rows.
+BATCH_ROWS = 1024
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application: they need not have it installed."""
+    """Send this package to the Python workers, once an application: they need not have it installed.
+
+    Also keeps the session's Arrow batches to ``BATCH_ROWS`` rows, as both sides hold a batch whole.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]

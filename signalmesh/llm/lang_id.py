@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ LEXICON = 3
 #: Words whose emissions a worker keeps (a memory bound only).
 CACHED = 300_000
 #: Words scored together.
-BLOCK = 150_000
+BLOCK = 60_000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -247,6 +248,14 @@ def _predict(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
         yield out()
 
 
+def _by_weight(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``BLOCK`` words (a longer text is a slice's last row)."""
+    words = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 6 + 1
+    ends = np.flatnonzero(np.diff((np.cumsum(words) - words) // BLOCK)) + 1
+    for lo, hi in zip([0, *ends], [*ends, batch.num_rows]):
+        yield batch.slice(int(lo), int(hi - lo))
+
+
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> list[tuple[str, str]]:
     """The bounded training sample, as (language, line). ``docs``: doc_id, text, lang."""
     labelled = with_rid(docs).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -296,8 +305,7 @@ def keep_identified(docs: DataFrame, at_least: float = AT_LEAST, text: str = "te
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in _by_weight(batch, text):
                 _, pred, score = _score_block([(None, t) for t in part[text].to_pylist()], _worker_emissions(model.value))
                 yield part.filter(pa.array([p != "und" and s >= at_least for p, s in zip(pred, score)], pa.bool_()))
 

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import zlib
 
+from signalmesh.llm import lang_id
 from signalmesh.llm.lang_id import identify, marginals, op4_lang_id, train
 from tests.llm.fixtures import SF2, documents, odd_documents
 
@@ -51,3 +53,11 @@ def test_odd_rows(spark):
     assert identify(docs.limit(0)).count() == 0
     unlabelled = docs.drop("lang").selectExpr("*", "cast(null as string) lang")
     assert {r.lang_pred for r in identify(unlabelled).collect()} == {"und"}
+
+
+def test_slices_by_weight():
+    column = ["x" * 900_000, "b", None, "", "y" * 500_000] + ["w " * 3000] * 100
+    parts = list(lang_id._by_weight(pa.record_batch({"t": pa.array(column)}), "t"))
+    assert [t for p in parts for t in p["t"].to_pylist()] == column
+    assert all(sum(len(t or "") // 6 + 1 for t in p["t"].to_pylist()[:-1]) <= lang_id.BLOCK for p in parts)
+    assert [p.num_rows for p in lang_id._by_weight(pa.record_batch({"t": pa.array([], pa.string())}), "t")] == [0]
