@@ -235,7 +235,11 @@ def _labels(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: row number, ``doc_id, n_shingles, component_id, kept``."""
+    """One row per input row: row number, ``doc_id, n_shingles, component, component_id, kept``.
+
+    ``component`` is the component's own key (a row number of it), which tells apart components whose
+    ``component_id`` is null or the same.
+    """
     rows = with_rid(texts(docs, doc_id, text))
     signed = written(rows.mapInArrow(lambda b: _sign(b, words), f"{RID} long, doc_id long, n_shingles long, set_key binary, signature binary"),
                      "near-docs")
@@ -246,18 +250,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     grouped = (classes.select("set_key", "node", "first").join(labels, "node", "left")
                .withColumn("component", F.coalesce("label", "node")))
     smallest = written(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "near-smallest")
-    by_set = written(grouped.join(smallest, "component").select("set_key", "component_id"), "near-sets-of")
-    linked = signed.filter("n_shingles > 0").join(by_set, "set_key").select(RID, "doc_id", "n_shingles", "component_id")
-    alone = signed.filter("n_shingles = 0").select(RID, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    by_set = written(grouped.join(smallest, "component").select("set_key", "component", "component_id"), "near-sets-of")
+    linked = signed.filter("n_shingles > 0").join(by_set, "set_key").select(RID, "doc_id", "n_shingles", "component", "component_id")
+    alone = signed.filter("n_shingles = 0").select(RID, "doc_id", "n_shingles", F.col(RID).alias("component"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one row with the smallest doc_id of each component; texts without words all stay."""
-    kept = written(near_groups(docs).filter("kept").withColumn("own", F.when(F.col("n_shingles") == 0, F.col(RID))), "near-kept")
-    return keep_rows(docs, kept.groupBy("component_id", "own").agg(F.min(RID).alias(RID)))
+    kept = written(near_groups(docs).filter("kept").select("component", RID), "near-kept")
+    return keep_rows(docs, kept.groupBy("component").agg(F.min(RID).alias(RID)))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all ``documents``."""
-    return near_groups(table(spark, sf_dir, "documents")).drop(RID)
+    return near_groups(table(spark, sf_dir, "documents")).drop(RID, "component")

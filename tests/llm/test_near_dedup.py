@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
+import corpus_pipeline
 from signalmesh.llm.near_dedup import GUARANTEED, HASHES, components, drop_near_copies, index_keys, near_groups, op8_minhash_near_dedup
 from tests.llm.fixtures import SF2, documents, odd_documents
 
@@ -62,6 +63,20 @@ def test_odd_rows(spark):
     assert near_groups(docs.limit(0)).count() == 0
 
 
+def test_components_with_one_id_or_none_stay_apart(spark, tmp_path):
+    fox, sea, hill = "the quick brown fox jumps over the lazy dog", "a ship sailed out to the open sea at dawn", "we walked up the old hill in the rain"
+    rows = [(None, fox), (None, fox), (None, sea), (None, hill), (None, ""), (None, None),  # three components and two without words
+            (7, "one text under this id and nothing else at all"), (7, "quite another text that has the same id as well"),
+            (9, "pears and plums and figs in a bowl"), (8, "pears and plums and figs in a bowl"), (None, "pears and plums and figs in a bowl")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = [(None, fox), (None, sea), (None, hill), (None, ""), (None, None), rows[6], rows[7], rows[9]]
+    by_text = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert by_text(drop_near_copies(docs).collect()) == by_text(want)
+    assert by_text(corpus_pipeline.near_dedup(spark, docs, "").collect()) == by_text(want)
+    assert got(near_groups(docs)) == brute(rows)
+
+
 def test_chains_and_families_need_several_rounds(spark, tmp_path):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
