@@ -30,6 +30,16 @@ def test_checksums():
         ("github", f"ghp_{good}"), ("npm", f"npm_{good}"), ("mod97", "DE89 3704 0044 0532 0130 00")]
 
 
+def test_account_numbers_in_running_text():
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    found = lambda text: [text[s:e] for s, k, e in spans(text) if k == "mod97"]
+    for after in ("", " Please pay", " BIC COBADEFFXXX", " 2 items", f" {de}", ", A", " DE88 3704 0044 0532 0130 00"):
+        for number in (de, gb, no):
+            assert found(f"Pay {number}{after}") == [number] + [de] * (de in after), (number, after)
+    assert found(f"{de}X {de}0 X{no}") == [no] and found(f"DE88 {de}") == [de]
+    assert found("DE88370400440532013000 Please") == []
+
+
 def test_query(spark):
     want = {r.doc_id: brute(r.text) for r in documents(spark, SF2).collect()}
     got = op5_secret_scan(spark, SF2).collect()
