@@ -7,8 +7,10 @@ the gaps and matches before it, a window over the document's matches.
 
 Bootstrapping adds what the patterns miss:
 
-1. *Candidates* are the runs of non-space characters that hold a digit or ``@``;
-   the two words before one are its lexical *pattern*, its core is the *instance*.
+1. *Candidates* are the runs of non-space characters that hold a digit or ``@``,
+   and numbers written as several runs of digits (with dots, dashes, brackets)
+   joined by single spaces, which are one candidate; the two words before one,
+   whatever they belong to, are its lexical *pattern*, its core is the *instance*.
 2. *Seeds* are candidates that a base span covers; the whole span is the
    instance, with the span's kind.
 3. Over the graph of patterns and instances, rounds alternate: a pattern's
@@ -55,7 +57,9 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Digits of one run, other than an address of four parts, which stays a candidate of its own.
+NUMBER = r"(?![0-9]++(?:\.[0-9]++){3})[0-9](?:[().-]*+[0-9])*+\)?+"
+CANDIDATE = rf"""(?<!\S)[^\s0-9@]*+(?:{NUMBER}(?:\x20\(?+{NUMBER}(?=[.,;:!?"'\]}}]*+(?:\s|$)))++|[0-9@]\S*+)"""
 
 
 def _digits(m: Column) -> Column:
@@ -85,7 +89,7 @@ def _matches(kind: str, pattern: str, marker: str | None) -> Column:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """All matches of all patterns: row number, kind, match, start, end, and the characters before it."""
+    """All matches of all patterns: row number, kind, match, start, end, and the text before a candidate."""
     kinds = {**PATTERNS, "candidate": (CANDIDATE, None)}
     arrays = [_matches(k, p, marker) for k, (p, marker) in kinds.items()]
     none = F.array().cast("array<struct<kind:string,gap:string,m:string>>")
@@ -93,10 +97,14 @@ def _placed(rows: DataFrame) -> DataFrame:
              .select(RID, F.posexplode("of_kind").alias("at", "x")).filter("x.m is not null")
              .select(RID, "at", F.col("x.kind").alias("kind"), F.col("x.m").alias("m"), F.length("x.gap").cast("long").alias("gap"),
                      F.substring("x.gap", -CONTEXT, CONTEXT).alias("before")))
-    through = Window.partitionBy(RID, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy(RID, "kind").orderBy("at")
+    through = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a gap and a match have a character each at least
+    earlier = in_order.rowsBetween(-(CONTEXT // 2), -1)
+    piece = F.when(F.col("kind") == "candidate", F.concat("before", F.substring("m", -CONTEXT, CONTEXT)))
     size = F.length("m").cast("long")
     return (found.withColumn("end", F.sum(F.col("gap") + size).over(through)).withColumn("start", F.col("end") - size)
-            .withColumn("last", F.lag("m").over(Window.partitionBy(RID, "kind").orderBy("at"))))
+            .withColumn("context", F.substring(F.concat(F.array_join(F.collect_list(piece).over(earlier), ""), F.col("before")), -CONTEXT, CONTEXT)))
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -109,8 +117,7 @@ def _edges(found: DataFrame) -> DataFrame:
               .withColumn("next", F.min(F.when(base, F.struct(F.col("start").alias("from"), F.col("kind").alias("of"), F.col("m").alias("m")))).over(after)))
     lead = F.length(F.regexp_extract("m", r"^[^\p{L}\p{N}+(]*", 0))
     core = F.regexp_replace(F.regexp_replace("m", r"^[^\p{L}\p{N}+(]+", ""), r"[^\p{L}\p{N})]+$", "")
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.when(F.length("before") < CONTEXT, F.col("last")), F.col("before"))),
-                                 F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("context"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return (marked.filter("kind = 'candidate'")
             .withColumn("instance", core).withColumn("from", F.col("start") + lead)
             .withColumn("to", F.col("from") + F.length("instance"))

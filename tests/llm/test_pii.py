@@ -57,6 +57,26 @@ def test_contexts_find_what_patterns_miss(spark, tmp_path):
     assert cut(53) == [] and cut(54) == [] and cut(55) == [] and got[3][0].startswith("email")
 
 
+def test_identifiers_written_with_spaces(spark, tmp_path):
+    valid = [n for n in range(4111111111110000, 4111111111112000) if luhn(str(n))][:20]
+    cards = [" ".join(str(n)[k: k + 4] for k in range(0, 16, 4)) for n in valid]
+    rows = [(i, f"Her card number {c} was used; the card 2: {c} too, call me on +1 212 555 {1000 + i} then.") for i, c in enumerate(cards)]
+    rows += [(50, "My card number 4111 1111 1111 1112 is lost."), (51, "Do call me on (212) 555-0199, or write."), (52, "Or call me on 020 7946 0958."),
+             (53, "This is card 2: 4111111111111112 here."), (54, "Just call me on 5551 2345. 7 people do."),
+             (55, "It is card number 4111 1111 1111 1113 5x, card number 12345678 1.2.3.4 of joe_7@x 5551 2345."), (56, "Seen 4111 1111 1111 1112 today.")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = listed(find_pii(spark.read.parquet(str(tmp_path / "d"))))
+    text = dict(rows)
+    cut = lambda i: [(s.split(":")[0], text[i][int(s.split(":")[1]): int(s.split(":")[2])]) for s in got[i] if s.startswith("ctx_")]
+    assert cut(50) == [("ctx_card", "4111 1111 1111 1112")]
+    assert cut(51) == [("ctx_phone", "(212) 555-0199")]
+    assert cut(52) == [("ctx_phone", "020 7946 0958")]
+    assert cut(53) == [("ctx_card", "4111111111111112")]
+    assert cut(54) == [("ctx_phone", "5551 2345")]
+    assert cut(55) == [("ctx_card", "4111 1111 1111 1113"), ("ctx_card", "12345678")]
+    assert cut(56) == [] and cut(0) == []
+
+
 def test_query(spark):
     rows = documents(spark, SF2).collect()
     got = {r.doc_id: r for r in op2_pii_bootstrap(spark, SF2).collect()}
