@@ -18,7 +18,8 @@ more than others.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with null ids, take no part; only vectors of the query's
 length are its candidates; a query id on several rows asks once, with its
-smallest vector; ties go to the smaller id; an empty table gives no rows.
+smallest vector, and none of its rows is its candidate; other repeated rows are
+candidates each; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from signalmesh.llm.common import ship, table, written
 
 K, EVERY, FACTOR = 20, 20, 1.0
 SHARD_ROWS, BLOCK_ROWS, LEAF = 4096, 8192, 96
+NONE = np.iinfo(np.int64).max
 
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -63,8 +65,10 @@ class Tree:
 class Search:
     """The ``k`` largest inner products of each query, kept as the tree is walked for all queries together."""
 
-    def __init__(self, tree: Tree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float):
+    def __init__(self, tree: Tree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float, second: np.ndarray | None = None):
+        """``own``: ids of the queries; ``ids``, ``second``: each point's smallest id and its smallest other one (``NONE``: it has one id)."""
         self.tree, self.queries, self.own, self.ids, self.k, self.factor = tree, queries, own, ids, k, factor
+        self.second = np.full(len(ids), NONE) if second is None else second
         self.lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         self.score = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), -1, dtype=np.int64)  # places among the tree's points
@@ -92,12 +96,14 @@ class Search:
     def offer(self, at: np.ndarray, q: np.ndarray) -> None:
         self.looked += len(at) * len(q)
         score = np.einsum("qd,nd->qn", self.queries[q], self.tree.points[at])
-        score[self.own[q][:, None] == at] = -np.inf
+        # a point that only the query's own id has is no candidate
+        score[(self.own[q][:, None] == self.ids[at]) & (self.second[at] == NONE)] = -np.inf
         better = (score >= self.score[q, -1:]).any(axis=1)
         q, score = q[better], score[better]
         both = np.concatenate([self.score[q], score], axis=1)
         place = np.concatenate([self.found[q], np.broadcast_to(at, score.shape)], axis=1)
-        order = np.lexsort((np.where(place >= 0, self.ids[place], np.iinfo(np.int64).max), -both), axis=1)[:, : self.k]
+        low = np.where(self.ids[place] == self.own[q][:, None], self.second[place], self.ids[place])
+        order = np.lexsort((np.where(place >= 0, low, NONE), -both), axis=1)[:, : self.k]
         self.score[q] = np.take_along_axis(both, order, 1)
         self.found[q] = np.take_along_axis(place, order, 1)
 
@@ -120,19 +126,25 @@ def search_tile(candidates: pa.Table, queries: pa.Table, k: int, factor: float,
     by_point = np.argsort(which, kind="stable")  # ids of each distinct vector in order
     bounds = np.searchsorted(which[by_point], np.arange(len(distinct) + 1))
     q_ids, q_points = _vectors(queries)
-    own_row = np.searchsorted(ids, q_ids)
-    here = (own_row < len(ids)) & (ids[np.minimum(own_row, len(ids) - 1)] == q_ids)
-    alone = np.where(here, which[np.minimum(own_row, len(ids) - 1)], -1)
-    # a vector that only the query itself has is no candidate of its own
-    alone = np.where((alone >= 0) & (np.diff(bounds)[np.maximum(alone, 0)] == 1), alone, -1)
-    s = Search(Tree(distinct, leaf), q_points, alone, ids[first], k, factor)
+    by_id = ids[by_point]
+    other = by_id != np.repeat(ids[first], np.diff(bounds))
+    second = np.full(len(distinct), NONE)
+    np.minimum.at(second, which[by_point][other], by_id[other])
+    s = Search(Tree(distinct, leaf), q_points, q_ids, ids[first], k, factor, second)
+
+    def others(point: int, q: int) -> np.ndarray:
+        """The first ``k`` ids of a point other than the query's (whose rows are next to each other)."""
+        mine = by_id[bounds[point]: bounds[point + 1]]
+        lo, hi = np.searchsorted(mine, q), np.searchsorted(mine, q, side="right")
+        return np.concatenate([mine[: min(lo, k)], mine[hi: hi + k - min(lo, k)]])
+
     out_q, out_v, out_s = [], [], []
     for i, q in enumerate(q_ids):
         n = 0
         scored = [(-s.score[i, j], v) for j in range(k) if s.found[i, j] >= 0 and np.isfinite(s.score[i, j])
-                  for v in ids[by_point[bounds[s.found[i, j]]: bounds[s.found[i, j] + 1]][: k + 1]]]
+                  for v in others(s.found[i, j], q)]
         for score, v in sorted(scored):
-            if v != q and n < k:
+            if n < k:
                 out_q.append(q)
                 out_v.append(v)
                 out_s.append(-score)

@@ -41,6 +41,31 @@ def test_ties_norms_and_odd_vectors(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_ids_take_no_place(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    rows += [(i, [x * 3 for x in v]) for i, v in rows[::20] for _ in range(3)] + rows[::20] * 2  # other vectors of a query's id, and equal rows
+    rows += [(i, [x * 3 for x in v]) for i, v in rows[1:2] * 2]
+    rows += [(i, [2.0, 2.0, 2.0]) for i in [80] * 30 + [81, 82, 80, 79]]  # a vector shared by a query's many rows and others
+    rows += [(i, v) for i, v in ((100, [5.0, 0.0, 0.0]), (999, [5.0, 0.0, 0.0]), (200, [5.0, 1.0, 0.0]))]  # ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    asks = {}
+    for i, v in rows:
+        if i % 20 == 0:
+            asks[i] = min(asks.get(i, v), v)
+    for k in (1, 3, 20):
+        want = brute(rows, asks, k)
+        for shard_rows in (4096, 30):
+            got = {}
+            for r in sorted(nearest(df, df.filter("vec_id % 20 = 0"), k=k, shard_rows=shard_rows).collect(), key=lambda r: r["rank"]):
+                got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+            assert got.keys() == want.keys()
+            for q in want:
+                assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+                assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
+
+
 def test_smaller_factor_looks_at_less_and_recalls_nine_tenths():
     from signalmesh.llm.vptree import Search, Tree
 
