@@ -18,7 +18,8 @@ Bootstrapping adds what the patterns miss:
    ``SUPPORT`` of them are already believed; an instance's score is the
    noisy-or of the confidence of its patterns that reach ``TRUST``.  Seeds keep
    score 1.  Each round is two aggregations over distinct edges, written to the
-   shared checkpoint folder.
+   shared checkpoint folder.  Scores only grow; rounds end when a round adds no
+   trusted pattern and no believed instance and leaves the scores as they were.
 4. Instances that are no seeds but end at ``TRUST`` or more are reported
    wherever a trusted pattern precedes them, as kinds ``ctx_email``, ``ctx_ip``,
    ``ctx_card`` and ``ctx_phone``, if they are identifier-like (``@`` or four
@@ -43,7 +44,9 @@ from signalmesh.llm.common import RID, table, texts, with_rid, written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"ctx_{k}" for k in KINDS)
-ROUNDS, SUPPORT, TRUST = 3, 3, 0.8
+SUPPORT, TRUST = 3, 0.8
+#: Rounds after which scores that still grow are an error, and the growth of their sum that counts as none.
+ROUNDS, STILL = 100, 1e-6
 #: Characters before a candidate in which its two words are looked for.
 CONTEXT = 80
 
@@ -134,6 +137,7 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
     seeds = graph.filter("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
     size = graph.groupBy("pattern").agg(F.count("*").alias("instances"))
     scores = written(seeds, "pii-scores")
+    last = None
     for _ in range(rounds):
         told = (graph.join(scores, "instance").groupBy("pattern", "kind")
                 .agg(F.sum("score").alias("score"), F.sum(F.when(F.col("score") >= trust, 1).otherwise(0)).alias("believed")))
@@ -143,7 +147,12 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
         heard = (graph.join(patterns, "pattern").groupBy("instance", "kind")
                  .agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(1 - 1e-9)))))).alias("score")))
         scores = written(seeds.unionByName(heard).groupBy("instance", "kind").agg(F.max("score").alias("score")), "pii-scores")
-    return patterns, scores
+        # a score is at least TRUST or there is none: a row is a trusted pattern, or a believed instance
+        now = [x for df, c in ((patterns, "confidence"), (scores, "score")) for x in df.agg(F.count("*"), F.coalesce(F.sum(c), F.lit(0.0))).first()]
+        if last and now[::2] == last[::2] and abs(now[1] - last[1]) + abs(now[3] - last[3]) <= STILL:
+            return patterns, scores
+        last = now
+    raise RuntimeError(f"scores of patterns and instances still grow after {rounds} rounds")
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, support: int = SUPPORT,
