@@ -8,7 +8,9 @@ and compared, as a bag of word bigrams, with each template:
 one, so before any bigram is built, sizes alone prune: a coefficient of ``t``
 needs ``|A|`` between ``t / (2 - t) |B|`` and ``(2 - t) / t |B|``.  Of the sizes
 that are left, a unit must hold one of a few bigrams of the template, as it
-needs ``t / (2 - t) |B|`` of all.  Both bounds lose nothing.
+needs ``t / (2 - t) |B|`` of all.  Both bounds lose nothing.  For full texts
+(``license_texts``, read by the driver) the second bound counts: no more distinct
+bigrams of the text may be absent than the coefficient lets bigrams be absent.
 
 A document's licence is that of its best unit (ties: the template listed
 first); ``n_matches`` counts units at or above the threshold.
@@ -22,8 +24,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,12 @@ TEMPLATES = (
 )
 
 
+@lru_cache(maxsize=1)
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences, by SPDX identifier."""
+    return tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
 def bag(template: str) -> list[str]:
     """Numbered word bigrams, so that a repeated one counts as often as it occurs."""
     words = re.findall(r"[a-z0-9]+", template.lower())
@@ -96,37 +105,61 @@ def units(plain: Column) -> Column:
     return F.transform(F.when(several, F.concat(lines, larger)).otherwise(lines), lambda u: F.trim(F.regexp_replace(u, "  +", " ")))
 
 
-def bags(sized: Column) -> Column:
-    """Each unit's numbered bigrams; step by step, so that a step's value is worked out once."""
-    words = F.transform(sized, lambda u: F.split(u, " "))
-    pairs = F.transform(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1),
-                                                    lambda a, b: F.concat_ws(" ", a, b)))
-    return F.transform(pairs, lambda g: F.transform(g, lambda x, i: F.concat_ws(
-        " ", x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)))))
+def pairs(plain: Column) -> Column:
+    """Each unit's word bigrams."""
+    words = F.transform(plain, lambda u: F.split(u, " "))
+    return F.transform(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1),
+                                                   lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def bags(paired: Column) -> Column:
+    """Bigrams of each unit numbered; in order, so that equal ones are side by side."""
+    return F.transform(F.transform(paired, lambda g: F.array_sort(g)), lambda g: F.transform(g, lambda x, i: F.concat_ws(
+        " ", x, i + 2 - F.array_position(g, x))))
+
+
+def listed(grams: list[str]) -> Column:
+    """An array of strings as one literal."""
+    return F.split(F.lit("\n".join(grams)), "\n")
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES,
-                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                  doc_id: str = "doc_id", text: str = "text", full: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, license, dice, n_matches``."""
-    wanted = [bag(t) for _, t in templates]
+    full = full_texts() if full is None else full
+    wanted, whole = [bag(t) for _, t in templates], [bag(t) for _, t in full]
 
     def candidate(x: Column) -> Column:
         fits = [x["size"].between(*_bounds(len(b), threshold)) & reduce(or_, [F.contains(x["unit"], F.lit(g)) for g in told(b, threshold)])
                 for b in wanted]
         return reduce(or_, fits)
 
+    def sized_as_whole(x: Column) -> Column:
+        return reduce(or_, [x["size"].between(*_bounds(len(b), threshold)) for b in whole], F.lit(False))
+
+    def whole_candidate(grams: Column) -> Column:
+        fits = []
+        for b in whole:
+            least, most = _bounds(len(b), threshold)
+            distinct = sorted({g.rsplit(" ", 1)[0] for g in b})
+            fits.append(F.size(grams).between(least, most)
+                        & (F.size(F.array_intersect(grams, listed(distinct))) >= len(distinct) - (len(b) - math.ceil(least - 1e-9))))
+        return reduce(or_, fits, F.lit(False))
+
     def scored(grams: Column) -> Column:
         return F.array_max(F.array(*[
             F.struct(F.when(F.size(grams).between(*_bounds(len(b), threshold)),
-                            F.size(F.array_intersect(grams, F.array(*map(F.lit, b)))) * 2.0 / (F.size(grams) + len(b))).otherwise(0.0).alias("dice"),
-                     F.lit(-k).alias("place")) for k, b in enumerate(wanted)]))
+                            F.size(F.array_intersect(grams, listed(b))) * 2.0 / (F.size(grams) + len(b))).otherwise(0.0).alias("dice"),
+                     F.lit(-k).alias("place")) for k, b in enumerate(wanted + whole)]))
 
-    names = F.array(*[F.lit(name) for name, _ in templates])
+    names = F.array(*[F.lit(name) for name, _ in (*templates, *full)])
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
     best = F.array_max("matches")
     return (texts(docs, doc_id, text).select("doc_id", plain.alias("plain")).withColumn("units", units(F.col("plain")))
             .withColumn("sized", F.transform("units", lambda u: F.struct(u.alias("unit"), (F.size(F.split(u, " ")) - 1).alias("size"))))
-            .withColumn("bags", bags(F.transform(F.filter("sized", candidate), lambda x: x["unit"])))
+            .withColumn("noticed", F.filter("sized", candidate))
+            .withColumn("others", pairs(F.transform(F.filter("sized", lambda x: sized_as_whole(x) & ~candidate(x)), lambda x: x["unit"])))
+            .withColumn("bags", bags(F.concat(pairs(F.transform("noticed", lambda x: x["unit"])), F.filter("others", whole_candidate))))
             .withColumn("matches", F.filter(F.transform("bags", scored), lambda m: m["dice"] >= threshold))
             .select("doc_id", F.when(F.size("matches") > 0, F.element_at(names, 1 - best["place"])).alias("license"),
                     F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), F.size("matches").cast("long").alias("n_matches")))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from signalmesh.llm.licenses import TEMPLATES, THRESHOLD, op7_license_scan, scan_licenses
+from signalmesh.llm.licenses import TEMPLATES, THRESHOLD, full_texts, op7_license_scan, scan_licenses
 from tests.llm.fixtures import SF2, documents, odd_documents
 
 
@@ -44,6 +44,23 @@ def test_hard_and_odd_texts(spark):
     assert scan_licenses(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_whole_licences(spark):
+    rows, want = [], {}
+    for name, text in full_texts():
+        a, cut = bigrams(text), "\n".join(text.split("\n")[: int(len(text.split("\n")) * 0.9)])
+        b = bigrams(cut)
+        best = 2 * (a & b).total() / (a.total() + b.total())
+        for form, dice in ((text, 1.0), (" ".join(text.split()), 1.0), (cut, best)):
+            want[len(rows)] = (name, pytest.approx(dice))
+            rows.append((len(rows), form))
+        rows.append((len(rows), " ".join(sorted(text.split()))))  # its words, but not its bigrams
+        want[len(rows) - 1] = (None, 0.0)
+    got = {r.doc_id: (r.license, r.dice) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {n for n, _ in full_texts()} >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    for i, w in want.items():
+        assert got[i] == w, rows[i][1][:80]
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in op7_license_scan(spark, SF2).collect()}
     rows = documents(spark, SF2).collect()
