@@ -1 +1 @@
-"""Training-data operators: ten corpus jobs, each in its own module, and their registered queries."""
+"""Training-data operators: corpus jobs, each in its own module, and their registered queries."""
