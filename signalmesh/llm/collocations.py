@@ -1,22 +1,26 @@
 """Operator 13: phrase collocations by multikey three-way quicksort of suffix pointers.
 
-Every word starts a suffix of at most ``longest`` words that ends with its
-piece.  Workers put equal suffixes of a stretch of text together (a weight
-each), and the weighted suffixes are routed by their leading words, so that
-equal phrases meet: the whole suffix tells the task, through the two leading
-words and one of ``SALTS`` shares of the third, so a word pair that starts a
-third of all suffixes is spread.  A task sorts pointers to its suffixes by
-multikey three-way quicksort: partitions are parted into smaller, equal and
-larger at the word of their depth, and the equal part goes on one word deeper, to
-the maximum depth.  The weight of an equal partition is its phrase's count
-there.  Phrases of ``longest`` words lie in one task, so a partition too light
-for a candidate is not parted at that depth; lighter depths are in several tasks,
-whose weights are added up.  All partitions of a round are parted together with array
-operations, and those of a few pointers are sorted out at once.
+Every word starts a suffix of at most three words that ends with its piece.
+Workers put equal suffixes of a stretch of text together (a weight each), and
+the weighted suffixes are routed by their leading words, so that equal phrases
+meet.  A task sorts pointers to its suffixes by multikey three-way quicksort:
+partitions are parted into smaller, equal and larger at the word of their
+depth, and the equal part goes on one word deeper, to the maximum depth.  The weight of
+an equal partition is its phrase's count there.  A partition too light for a
+candidate is abandoned.  All partitions of a round are parted together with
+array operations, and those of a few pointers are sorted out at once.
+
+Routing is global, in two rounds.  Suffixes of two words are routed by the first and by
+one of ``SALTS`` shares of the second, so a word pair lies in one task and no
+hot word in one task alone; a word's weights are added up.  Suffixes of three
+words are routed only where both of their word pairs are frequent, as the others are abandoned
+already, by the two leading words and a share of the third.  Workers know the
+frequent pairs by a Bloom filter of at most ``MOST_BITS`` bits: it never misses one, and an infrequent pair that it
+lets pass is counted and abandoned later, so it decides nothing.
 
 A candidate's parts are at least as frequent as the candidate, so scores come
-from joins among the frequent phrases alone.  Arithmetic is in decimals of 38 digits (exact while
-counts are below 10^16); scores are at most one million.
+from joins among the frequent phrases alone.  Arithmetic is in decimals of 38 digits
+(exact while counts are below 10^16); scores are at most one million.
 
 Defined results: null texts are empty; null languages are ``und``; repeated rows
 count each; an empty table gives no rows; other columns are ignored.
@@ -28,17 +32,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalmesh.llm.common import documents, table, texts, written
 
 LEAST, SHARE, TOP, SCALE = 10, 50, 2000, 1_000_000
-#: Words of a phrase at most.
-LONGEST = 3
 SALTS = 16
-#: Words a worker puts together, weighted suffixes a sorting task holds, and pointers of a partition that is sorted out at once.
-STRETCH, TASK_ROWS, FEW = 1 << 20, 400_000, 24
+#: Words a worker puts together, bytes of text whose suffixes a sorting task holds, and pointers of a partition that is sorted out at once.
+STRETCH, TASK_BYTES, FEW = 1 << 20, 4 << 20, 24
+#: Bits of the filter a frequent pair (4 of them are its own), and of the filter at most.
+BITS_EACH, HASHES, MOST_BITS = 16, 4, 1 << 27
 #: Bytes that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
@@ -82,12 +87,20 @@ class Stretch:
                 self.at += (0, 0)
         self.spans.append((self.langs[lang], len(self.at) - start))
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, pairs: Filter | None) -> pa.RecordBatch:
+        """Weighted suffixes of two words, or with the frequent ``pairs`` those of three that may be frequent."""
         w = np.array(self.at + [0, 0], np.int64)
         lang = np.repeat(*np.array(self.spans, np.int64).T)
         p = np.flatnonzero(w[: len(lang)])
+        if pairs is not None:
+            words, langs = (np.array([0, *map(_hash, x)], np.uint64) for x in (self.words, self.langs))
+            frequent = np.zeros(len(w), bool)
+            p = p[w[p + 1] > 0]
+            frequent[p] = pairs.holds(pair_hash(langs[lang[p]], words[w[p]], words[w[p + 1]]))
+            p = p[frequent[p] & frequent[p + 1]]
         w1, w2, w3, lang = w[p], w[p + 1], w[p + 2], lang[p]
-        w3 = np.where(w2 == 0, 0, w3)
+        if pairs is None:
+            w3 = np.zeros_like(w3)
         order = np.lexsort((w3, w2, w1, lang))
         keys = [k[order] for k in (lang, w1, w2, w3)]
         first = _run_ends(*keys)
@@ -97,15 +110,69 @@ class Stretch:
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(np.r_[first, len(order)]).astype(np.int64))], schema=SUFFIXES)
 
 
-def _suffixes(batches: Iterable[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
+def _hash(word: bytes | str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def pair_hash(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash of three columns of hashes."""
+    h = lang
+    for part in (first, second):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + part
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class Filter:
+    """Bloom filter of word pairs; its number of bits is a power of two."""
+
+    def __init__(self, bits: int):
+        self.words = np.zeros(bits // 64, np.uint64)
+
+    @staticmethod
+    def size(n: int) -> int:
+        """Bits for ``n`` pairs."""
+        return min(max(1 << (n * BITS_EACH).bit_length(), 1 << 10), MOST_BITS)
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+        for k in range(HASHES):
+            yield (low + np.uint64(k) * high) & np.uint64(bits - 1)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.places(hashes, 64 * len(self.words)):
+            out &= self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+        return out
+
+
+def _filter_words(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The words of the filter that some pairs set bits in."""
+    for batch in batches:
+        hashes = [np.fromiter(map(_hash, batch[c].to_pylist()), np.uint64, batch.num_rows) for c in ("lang", "w1", "w2")]
+        for at in Filter.places(pair_hash(*hashes), bits):
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
+                                              pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+
+def pair_filter(pairs: DataFrame) -> Filter:
+    """The filter of the rows ``lang, w1, w2``; its size is bounded, whatever their number."""
+    out = Filter(Filter.size(pairs.count()))
+    bits = 64 * len(out.words)
+    set_ = pairs.mapInArrow(lambda b: _filter_words(b, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out.words[set_["word"].to_numpy()] = set_["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _suffixes(batches: Iterable[pa.RecordBatch], stretch: int, pairs=None) -> Iterator[pa.RecordBatch]:
     s = Stretch()
     for lang, text in documents(batches, "lang", "text"):
         s.add(lang, text)
         if len(s.at) >= stretch:
-            yield s.batch()
+            yield s.batch(pairs and pairs.value)
             s = Stretch()
     if s.at:
-        yield s.batch()
+        yield s.batch(pairs and pairs.value)
 
 
 def equal_partitions(words: list[np.ndarray], weight: np.ndarray, least: int, few: int = FEW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,38 +235,50 @@ def _sorted_out(words, weight, at, part, depth, least) -> Iterator[tuple[int, np
             yield k, at[first[mine]], weights[mine]
 
 
-def _counted(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a task's suffixes."""
+def _counted(batches: Iterable[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of a task's suffixes of ``size`` words: of two words and one, or of three."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held).combine_chunks()
     n = len(t)
-    coded = pa.concat_arrays([t[c].chunk(0) for c in ("w1", "w2", "w3")]).dictionary_encode()
+    coded = pa.concat_arrays([t[c].chunk(0) for c in ("w1", "w2", "w3")[:size]]).dictionary_encode()
     codes = coded.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
     langs = t["lang"].chunk(0).dictionary_encode()
-    words = [codes[:n], codes[n: 2 * n], codes[2 * n:]]
+    words = [codes[k * n: (k + 1) * n] for k in range(size)]
     n_words = len(coded.dictionary) + 1
     # the language leads: at depth 0 a word is a language and a word
     words[0] = langs.indices.to_numpy().astype(np.int64) * n_words + words[0]
     vocabulary = pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary])
     for depth, at, weights in equal_partitions(words, t["n"].to_numpy(), least):
+        if size == 3 and depth < 2:
+            continue
         lang = langs.dictionary.take(pa.array(words[0][at] // n_words))
-        said = [vocabulary.take(pa.array(words[k][at] % n_words if k <= depth else np.zeros(len(at), np.int64))) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([lang, *said, pa.array(weights)], schema=SUFFIXES)
+        said = [vocabulary.take(pa.array(words[k][at] % n_words if k <= depth else np.zeros(len(at), np.int64))) for k in range(size)]
+        yield pa.RecordBatch.from_arrays([lang, *said, *[pa.nulls(len(at), pa.string())] * (3 - size), pa.array(weights)], schema=SUFFIXES)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST,
-                  stretch: int = STRETCH, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
+                  stretch: int = STRETCH, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
     """``lang, w1, w2, w3, n``: phrases of one to three words (later words null) that occur ``least`` times; and ``lang, n``: all words."""
+    spark = docs.sparkSession
     rows = texts(docs.withColumn("__id", F.lit(0)), "__id", text, lang=lang).select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    suffixes = written(rows.mapInArrow(lambda b: _suffixes(b, stretch), SUFFIXES_SQL), "phrase-suffixes")
-    tasks = max(suffixes.count() // task_rows + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    routed = suffixes.repartition(tasks, "lang", "w1", "w2", F.pmod(F.xxhash64("w3"), F.lit(SALTS)))
-    partial = routed.mapInArrow(lambda b: _counted(b, least), SUFFIXES_SQL)
-    counts = written(partial.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-counts")
-    return counts, suffixes.groupBy("lang").agg(F.sum("n").alias("n"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(n_bytes // task_bytes + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def routed(size: int, pairs=None) -> DataFrame:
+        leading, last = ["lang", "w1", "w2"][:size], f"w{size}"  # the words before the last one lead
+        suffixes = rows.mapInArrow(lambda b: _suffixes(b, stretch, pairs), SUFFIXES_SQL)
+        return (suffixes.repartition(tasks, *leading, F.pmod(F.xxhash64(last), F.lit(SALTS)))
+                .mapInArrow(lambda b: _counted(b, least, size), SUFFIXES_SQL))
+
+    short = written(routed(2), "phrase-pairs")
+    pairs = short.filter("w2 is not null")
+    long = written(routed(3, spark.sparkContext.broadcast(pair_filter(pairs))), "phrase-triples")
+    words = short.filter("w2 is null").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    totals = short.filter("w2 is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    return words.filter(F.col("n") >= least).unionByName(pairs).unionByName(long), totals
 
 
 def _floor_score(a: Column, left: Column, right: Column) -> Column:
@@ -209,9 +288,9 @@ def _floor_score(a: Column, left: Column, right: Column) -> Column:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, share: int = SHARE, top: int = TOP,
-                 stretch: int = STRETCH, task_rows: int = TASK_ROWS) -> DataFrame:
+                 stretch: int = STRETCH, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of two to three words of each language."""
-    counts, totals = phrase_counts(docs, text, lang, least, stretch, task_rows)
+    counts, totals = phrase_counts(docs, text, lang, least, stretch, task_bytes)
     # words hold no space, so a space joins them without doubt
     f = counts.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "w1", "w2", "w3", F.col("n").alias("a"))
     longer = F.col("w3").isNotNull()

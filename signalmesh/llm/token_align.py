@@ -20,7 +20,7 @@ leave in one written table.
 
 Long texts are tokenised in parts cut before a single space between two visible ASCII
 characters, where neither vocabulary joins anything.  The byte-level vocabulary
-is read by two libraries: the faster one where both know the text's characters
+is read by two libraries: the faster one where both know the part's characters
 alike and no run is long, the other elsewhere; the ids are the same.
 
 Defined results: null and empty texts, and texts whose joined token bytes differ
@@ -37,7 +37,6 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +64,13 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int6
 SCORED_SQL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def runs(a_ends: list[int], b_ends: list[int]) -> Iterator[tuple[int, int, int, int]]:
+def runs(a_ends: list[int], b_ends: list[int], at_a: list[int], at_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
     """Stretches of two rising end arrays that end alike: ``(i, i_to, j, j_to)``.
 
     Either a run of one-to-one groups, as many of ``a`` as of ``b`` (also a
     single one), or one irregular group, whose sides differ or hold several.
     A run comes as ``(i, -i_to, j, j_to)``, so that both can be told apart.
+    The places of links are added to ``at_a`` and ``at_b``.
     """
     i = j = 0
     n = len(a_ends)
@@ -86,45 +86,42 @@ def runs(a_ends: list[int], b_ends: list[int]) -> Iterator[tuple[int, int, int,
                 at += width
         at = min(at, n)
         if at > i:
+            at_a += range(i, at)
+            at_b += range(j, at + shift)
             yield i, -at, j, at + shift
             i, j = at, at + shift
             if i >= n:
                 return
         x, y = i, j
-        while a_ends[x] != b_ends[y]:
-            if a_ends[x] < b_ends[y]:
+        a_end, b_end = a_ends[x], b_ends[y]
+        while a_end != b_end:
+            at_a.append(x)
+            at_b.append(y)
+            if a_end < b_end:
                 x += 1
+                a_end = a_ends[x]
             else:
                 y += 1
+                b_end = b_ends[y]
+        at_a.append(x)
+        at_b.append(y)
         yield i, x + 1, j, y + 1
         i, j = x + 1, y + 1
 
 
-def align(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[int, list[int], list[int], list[str]]:
-    """Number of groups, the links' ids of either side, and the groups as text, a stretch each (joined by ``;``)."""
-    n_groups, link_a, link_b, said = 0, [], [], []
-    a_str, b_str = list(map(str, a)), list(map(str, b))
-    for i, i_to, j, j_to in runs(a_ends, b_ends):
+def align(a: np.ndarray, b: np.ndarray, a_ends: list[int], b_ends: list[int], names: list[str]) -> tuple[int, np.ndarray, np.ndarray, list[str]]:
+    """Number of groups, the links' ids of either side, and the groups as text, a stretch each (joined by ``;``); ``names``: ids as text."""
+    n_groups, at_a, at_b, said = 0, [], [], []
+    a_str, b_str = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
+    pair, groups = "|".join, ";".join
+    for i, i_to, j, j_to in runs(a_ends, b_ends, at_a, at_b):
         if i_to < 0:
-            i_to = -i_to
-            n_groups += i_to - i
-            link_a += a[i:i_to]
-            link_b += b[j:j_to]
-            said.append(";".join(map("|".join, zip(a_str[i:i_to], b_str[j:j_to]))))
-            continue
-        n_groups += 1
-        said.append(f"{','.join(a_str[i:i_to])}|{','.join(b_str[j:j_to])}")
-        x, y = i, j
-        while x < i_to and y < j_to:
-            link_a.append(a[x])
-            link_b.append(b[y])
-            if a_ends[x] < b_ends[y]:
-                x += 1
-            elif a_ends[x] > b_ends[y]:
-                y += 1
-            else:
-                break
-    return n_groups, link_a, link_b, said
+            n_groups -= i_to + i
+            said.append(groups(map(pair, zip(a_str[i:-i_to], b_str[j:j_to]))))
+        else:
+            n_groups += 1
+            said.append(f"{','.join(a_str[i:i_to])}|{','.join(b_str[j:j_to])}")
+    return n_groups, a[np.array(at_a, np.int64)], b[np.array(at_b, np.int64)], said
 
 
 def _byte_letters() -> dict[str, int]:
@@ -175,35 +172,41 @@ class PieceTokens:
         return self.model.encode(part)
 
 
+class Sides:
+    """Both vocabularies: tokens of whole texts."""
+
+    def __init__(self, byte_tokens: ByteTokens, piece_tokens: PieceTokens, part: int = PART):
+        self.byte_tokens, self.piece_tokens, self.part = byte_tokens, piece_tokens, part
+        tables = byte_tokens.bytes, piece_tokens.bytes
+        self.bytes = [[t.get(i, b"") for i in range(max(t) + 1)] for t in tables]
+        self.sizes = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
+        self.names = list(map(str, range(max(map(len, self.bytes)))))
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text without the spaces it is cut at."""
+        at = 0
+        while len(text) - at > self.part and (cut := CUT.search(text, at + self.part)):
+            yield text[at: cut.start()]
+            at = cut.end()
+        yield text[at:]
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+        """Ids of both sides and their ends; nothing where either side's bytes are not a space and the text."""
+        a, b = [], []
+        for part in self.parts(text) if text else ():
+            a += self.byte_tokens.ids(" " + part)
+            b += self.piece_tokens.ids(part)
+        whole = b" " + text.encode()
+        if not text or any(b"".join([t[i] for i in x]) != whole for t, x in zip(self.bytes, (a, b))):
+            a, b = [], []
+        ids = np.array(a, np.int64), np.array(b, np.int64)
+        return *ids, *[np.cumsum(sizes[x]).tolist() for sizes, x in zip(self.sizes, ids)]
+
+
 @lru_cache(maxsize=1)
-def _tokenizers(byte_bpe: str, byte_ranks: str, pieces: str) -> tuple[ByteTokens, PieceTokens]:
-    return ByteTokens(byte_bpe, byte_ranks), PieceTokens(pieces)
-
-
-def parts(text: str, size: int = PART) -> Iterator[str]:
-    """The text without the spaces it is cut at."""
-    at = 0
-    while len(text) - at > size:
-        cut = CUT.search(text, at + size)
-        if not cut:
-            break
-        yield text[at: cut.start()]
-        at = cut.end()
-    yield text[at:]
-
-
-def tokens(text: str, byte_tokens: ByteTokens, piece_tokens: PieceTokens, size: int = PART) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Ids of both sides and their ends; nothing where either side's bytes are not a space and the text."""
-    a, b = [], []
-    if text:
-        for part in parts(text, size):
-            a += byte_tokens.ids(" " + part)
-            b += piece_tokens.ids(part)
-    a_bytes, b_bytes = list(map(byte_tokens.bytes.__getitem__, a)), list(map(piece_tokens.bytes.__getitem__, b))
-    whole = b" " + text.encode()
-    if not text or b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-        return [], [], [], []
-    return a, b, list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
+def _sides(byte_bpe: str, byte_ranks: str, pieces: str) -> Sides:
+    """Read once for all tasks of a Python worker."""
+    return Sides(ByteTokens(byte_bpe, byte_ranks), PieceTokens(pieces))
 
 
 class Chunk:
@@ -212,12 +215,12 @@ class Chunk:
     def __init__(self, number: int):
         self.number, self.docs, self.pairs, self.n_links = number, [], [], 0
 
-    def add(self, doc_id, text: str, byte_tokens: ByteTokens, piece_tokens: PieceTokens) -> None:
-        a, b, a_ends, b_ends = tokens(text, byte_tokens, piece_tokens)
-        n_groups, link_a, link_b, said = align(a, b, a_ends, b_ends)
-        digest = hashlib.sha256(";".join(said).encode()).hexdigest() if a else ""
+    def add(self, doc_id, text: str, sides: Sides) -> None:
+        a, b, a_ends, b_ends = sides.tokens(text)
+        n_groups, link_a, link_b, said = align(a, b, a_ends, b_ends, sides.names)
+        digest = hashlib.sha256(";".join(said).encode()).hexdigest() if len(a) else ""
         self.docs.append((doc_id, len(a), len(b), n_groups, len(link_a), digest))
-        self.pairs.append(np.array(link_a, np.int64) << np.int64(32) | np.array(link_b, np.int64))
+        self.pairs.append(link_a << np.int64(32) | link_b)
         self.n_links += len(link_a)
 
     def full(self) -> bool:
@@ -247,11 +250,11 @@ def _aligned(batches: Iterable[pa.RecordBatch], paths: tuple[str | None, str | N
     import public_tokenizers
 
     names = (BYTE_BPE, BYTE_RANKS, PIECES)
-    byte_tokens, piece_tokens = _tokenizers(*[p or public_tokenizers.path(n) for p, n in zip(paths, names)])
+    sides = _sides(*[p or public_tokenizers.path(n) for p, n in zip(paths, names)])
     number = TaskContext.get().partitionId() << 40
     chunk = Chunk(number)
     for doc_id, text in documents(batches, "doc_id", "text"):
-        chunk.add(doc_id, text, byte_tokens, piece_tokens)
+        chunk.add(doc_id, text, sides)
         if chunk.full():
             yield from chunk.batches()
             chunk = Chunk(number := number + 1)

@@ -68,7 +68,7 @@ def test_query_equals_sql(spark):
 def test_small_stretches_and_tasks_change_nothing(spark):
     rows = [tuple(r) for r in documents(spark).select("text", "lang").collect()]
     want = brute(rows)
-    assert got(collocations(documents(spark), stretch=500, task_rows=300)) == want and want
+    assert got(collocations(documents(spark), stretch=500, task_bytes=3000)) == want and want
     assert got(collocations(documents(spark), top=7, least=4)) == brute(rows, least=4, top=7)
 
 
@@ -78,7 +78,21 @@ def test_ties_hot_pairs_and_pieces(spark):
     rows += [("x y z" if i % 2 else "X\tY  z", None) for i in range(20)] + [("x y. z; x\x0by z", "und")] * 12
     rows += [(" ".join(["go"] * 50), "de"), ("é É é É " * 10, "de"), ("  a b " * 12, "de")]
     df = spark.createDataFrame([(*r, 1, "n") for r in rows], "text string, lang string, n int, phrase string").repartition(7)
-    assert got(collocations(df, stretch=300, task_rows=200)) == brute(rows)
+    assert got(collocations(df, stretch=300, task_bytes=2000)) == brute(rows)
+
+
+def test_the_filter_misses_no_pair(spark, monkeypatch):
+    from signalmesh.llm import collocations as c
+
+    rows = [("en", f"w{i % 70}", f"v{i // 70}") for i in range(3000)]
+    f = c.pair_filter(spark.createDataFrame(rows, "lang string, w1 string, w2 string").repartition(3))
+    hashes = lambda rows: c.pair_hash(*[np.array([c._hash(x) for x in col], np.uint64) for col in zip(*rows)])
+    assert f.holds(hashes(rows)).all()
+    assert f.holds(hashes([("en", f"w{i % 70}", f"x{i // 70}") for i in range(3000)])).mean() < 0.05
+    # a filter far too small lets pairs pass, and the result is the same
+    monkeypatch.setattr(c, "MOST_BITS", 64)
+    rows = [tuple(r) for r in documents(spark).select("text", "lang").collect()]
+    assert got(collocations(documents(spark))) == brute(rows)
 
 
 def test_products_beyond_64_bits(spark):

@@ -2,12 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from signalmesh.llm.token_align import ByteTokens, PieceTokens, align, align_tokenizers, op11_token_align, runs, tokens
+from signalmesh.llm.token_align import ByteTokens, PieceTokens, Sides, align, align_tokenizers, op11_token_align, runs
 from tests.llm.fixtures import ODD_TEXTS, SF, documents, odd_documents
 
 STRANGE = ["▁", "a▁b", "<0x41>", "<s> </s> <unk>", "<|endoftext|> x", "日本語 のテキスト", "　 wide", "a" * 3000, " " * 1500, "x " * 300,
@@ -15,7 +16,7 @@ STRANGE = ["▁", "a▁b", "<0x41>", "<s> </s> <unk>", "<|endoftext|> x", "日
 
 
 @pytest.fixture(scope="module")
-def sides():
+def vocabularies():
     return ByteTokens(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")), PieceTokens(P.path("piece_bpe_32k.model"))
 
 
@@ -76,7 +77,8 @@ def test_runs_cover_both_sides_and_stop_at_shared_ends():
         b = sorted({*rng.sample(range(1, n + 1), rng.randrange(n)), n}) if rng.random() < 0.7 else list(a)
         i = j = 0
         ends = []
-        for i0, i1, j0, j1 in runs(a, b):
+        at_a, at_b = [], []
+        for i0, i1, j0, j1 in runs(a, b, at_a, at_b):
             assert (i0, j0) == (i, j)
             if i1 < 0:
                 i1 = -i1
@@ -87,24 +89,29 @@ def test_runs_cover_both_sides_and_stop_at_shared_ends():
                 ends.append(a[i1 - 1])
             i, j = i1, j1
         assert (i, j) == (len(a), len(b)) and ends == sorted(set(a) & set(b))
+        spans = [list(zip([0, *e], e)) for e in (a, b)]
+        links = [(x, y) for x, (s, e) in enumerate(spans[0]) for y, (t, f) in enumerate(spans[1]) if s < f and t < e]
+        assert list(zip(at_a, at_b)) == links
 
 
 def test_links_of_an_irregular_group():
-    assert align([1, 2, 3], [7, 8], [2, 5, 6], [4, 6])[:3] == (1, [1, 2, 2, 3], [7, 7, 8, 8])
-    assert list(align([1, 2], [7, 8], [1, 2], [1, 2])[3]) == ["1|7;2|8"]
+    names = list(map(str, range(9)))
+    n, a, b, said = align(np.array([1, 2, 3]), np.array([7, 8]), [2, 5, 6], [4, 6], names)
+    assert (n, a.tolist(), b.tolist(), said) == (1, [1, 2, 2, 3], [7, 7, 8, 8], ["1,2,3|7,8"])
+    assert align(np.array([1, 2]), np.array([7, 8]), [1, 2], [1, 2], names)[3] == ["1|7;2|8"]
 
 
-def test_parts_and_both_readers_give_the_whole_text_s_ids(sides, spark):
-    a, b = sides
+def test_parts_and_both_readers_give_the_whole_text_s_ids(vocabularies, spark):
     rng = random.Random(2)
     texts = ODD_TEXTS + STRANGE + [r.text for r in documents(spark).limit(60).collect()]
     texts += ["".join(rng.choice(" \t\n\xa0éß.,'0aZ\x85\x1c^") for _ in range(200)) for _ in range(50)]
+    whole, cut = Sides(*vocabularies), Sides(*vocabularies, part=40)
     for text in texts:
-        want = a.slow.encode(" " + text, add_special_tokens=False).ids
-        ids = tokens(text, a, b)
-        if ids[0]:
-            assert ids[0] == want and ids[1] == b.ids(text)
-        assert tokens(text, a, b, 40) == ids
+        a, b, a_ends, b_ends = whole.tokens(text)
+        if len(a):
+            assert a.tolist() == vocabularies[0].slow.encode(" " + text, add_special_tokens=False).ids and b.tolist() == vocabularies[1].ids(text)
+            assert a_ends[-1] == b_ends[-1] == len(text.encode()) + 1
+        assert [list(x) for x in cut.tokens(text)] == [list(a), list(b), a_ends, b_ends]
 
 
 def test_query_equals_brute_force(spark):
