@@ -41,7 +41,7 @@ from signalmesh.llm.common import documents, table, texts, written
 LEAST, SHARE, TOP, SCALE = 10, 50, 2000, 1_000_000
 SALTS = 16
 #: Words a worker puts together, bytes of text whose suffixes a sorting task holds, and pointers of a partition that is sorted out at once.
-STRETCH, TASK_BYTES, FEW = 1 << 20, 4 << 20, 24
+STRETCH, TASK_BYTES, FEW = 1 << 19, 3 << 20, 24
 #: Bits of the filter a frequent pair (4 of them are its own), and of the filter at most.
 BITS_EACH, HASHES, MOST_BITS = 16, 4, 1 << 27
 #: Bytes that end a piece.
@@ -101,13 +101,18 @@ class Stretch:
         w1, w2, w3, lang = w[p], w[p + 1], w[p + 2], lang[p]
         if pairs is None:
             w3 = np.zeros_like(w3)
-        order = np.lexsort((w3, w2, w1, lang))
-        keys = [k[order] for k in (lang, w1, w2, w3)]
-        first = _run_ends(*keys)
+        if pairs is None and len(self.words) < 1 << 21 and len(self.langs) < 1 << 20:  # three numbers in one sort faster
+            packed = np.sort(lang << 42 | w1 << 21 | w2)
+            keys = [packed >> 42, packed >> 21 & 0x1FFFFF, packed & 0x1FFFFF, w3]
+            first = _run_ends(packed)
+        else:
+            order = np.lexsort((w3, w2, w1, lang))
+            keys = [k[order] for k in (lang, w1, w2, w3)]
+            first = _run_ends(*keys)
         words = pa.array([None, *self.words], pa.binary()).cast(pa.string())
         langs = pa.array([None, *self.langs], pa.string())
         columns = [source.take(pa.array(k[first])) for source, k in zip((langs, words, words, words), keys)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(np.r_[first, len(order)]).astype(np.int64))], schema=SUFFIXES)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(np.r_[first, len(p)]).astype(np.int64))], schema=SUFFIXES)
 
 
 def _hash(word: bytes | str) -> int:

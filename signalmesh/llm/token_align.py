@@ -52,9 +52,10 @@ CHUNK_DOCS, CHUNK_LINKS = 256, 1 << 20
 #: Characters of a text tokenised at once.
 PART = 1 << 17
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
-#: Below this code point both readers of the byte-level vocabulary know the same letters and digits.
-PLAIN = "ɐ"
-LONG_RUN = re.compile(r"\S{400}|\s{400}")
+#: Up to the code point before this one both readers of the byte-level vocabulary know the same letters and digits.
+WIDE = re.compile("[^\x00-\u024f]")
+#: Characters without a space, or spaces in a row, beyond which the faster reader is slow.
+LONG_RUN, LONG_GAP = 2000, " " * 400
 
 OUT = pa.schema([("chunk", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                  ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("links", pa.binary())])
@@ -64,64 +65,76 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int6
 SCORED_SQL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def runs(a_ends: list[int], b_ends: list[int], at_a: list[int], at_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+def runs(a_ends: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Stretches of two rising end arrays that end alike: ``(i, i_to, j, j_to)``.
 
     Either a run of one-to-one groups, as many of ``a`` as of ``b`` (also a
     single one), or one irregular group, whose sides differ or hold several.
     A run comes as ``(i, -i_to, j, j_to)``, so that both can be told apart.
-    The places of links are added to ``at_a`` and ``at_b``.
     """
     i = j = 0
     n = len(a_ends)
+    # blocks are compared as bytes, single ends as numbers
+    a_raw, b_raw = (e.astype(np.int64).tobytes() for e in (a_ends, b_ends))
+    a, b = memoryview(a_raw).cast("q"), memoryview(b_raw).cast("q")
     while i < n:
-        at, width = i, 1
-        shift = j - i
-        while at < n and a_ends[at: at + width] == b_ends[at + shift: at + shift + width]:
-            at += width
-            width *= 2
-        while width > 1 and at < n:  # the block at ``at`` differs somewhere: halve it
-            width //= 2
-            if a_ends[at: at + width] == b_ends[at + shift: at + shift + width]:
+        if a[i] == b[j]:
+            at, shift, width = 8 * i, 8 * (j - i), 32
+            while at < 8 * n and a_raw[at: at + width] == b_raw[at + shift: at + shift + width]:
                 at += width
-        at = min(at, n)
-        if at > i:
-            at_a += range(i, at)
-            at_b += range(j, at + shift)
-            yield i, -at, j, at + shift
-            i, j = at, at + shift
+                width *= 2
+            while width > 8 and at < 8 * n:  # the block at ``at`` differs somewhere: halve it
+                width //= 2
+                if a_raw[at: at + width] == b_raw[at + shift: at + shift + width]:
+                    at += width
+            i_to = min(at // 8, n)
+            yield i, -i_to, j, j + i_to - i
+            i, j = i_to, j + i_to - i
             if i >= n:
                 return
         x, y = i, j
-        a_end, b_end = a_ends[x], b_ends[y]
+        a_end, b_end = a[x], b[y]
         while a_end != b_end:
-            at_a.append(x)
-            at_b.append(y)
             if a_end < b_end:
                 x += 1
-                a_end = a_ends[x]
+                a_end = a[x]
             else:
                 y += 1
-                b_end = b_ends[y]
-        at_a.append(x)
-        at_b.append(y)
+                b_end = b[y]
         yield i, x + 1, j, y + 1
         i, j = x + 1, y + 1
 
 
-def align(a: np.ndarray, b: np.ndarray, a_ends: list[int], b_ends: list[int], names: list[str]) -> tuple[int, np.ndarray, np.ndarray, list[str]]:
+def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, names: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, list[str]]:
     """Number of groups, the links' ids of either side, and the groups as text, a stretch each (joined by ``;``); ``names``: ids as text."""
-    n_groups, at_a, at_b, said = 0, [], [], []
-    a_str, b_str = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
+    a_str, b_str = names[a].tolist(), names[b].tolist()
+    a_view, b_view = memoryview(np.ascontiguousarray(a_ends, np.int64)), memoryview(np.ascontiguousarray(b_ends, np.int64))
+    starts, others, sizes, at_a, at_b, said = [], [], [], [], [], []
+    n_irregular = 0
     pair, groups = "|".join, ";".join
-    for i, i_to, j, j_to in runs(a_ends, b_ends, at_a, at_b):
+    for i, i_to, j, j_to in runs(a_ends, b_ends):
         if i_to < 0:
-            n_groups -= i_to + i
+            starts.append(i)
+            others.append(j)
+            sizes.append(-i_to - i)
             said.append(groups(map(pair, zip(a_str[i:-i_to], b_str[j:j_to]))))
-        else:
-            n_groups += 1
-            said.append(f"{','.join(a_str[i:i_to])}|{','.join(b_str[j:j_to])}")
-    return n_groups, a[np.array(at_a, np.int64)], b[np.array(at_b, np.int64)], said
+            continue
+        n_irregular += 1
+        said.append(f"{','.join(a_str[i:i_to])}|{','.join(b_str[j:j_to])}")
+        while True:  # the links of an irregular group
+            at_a.append(i)
+            at_b.append(j)
+            apart = a_view[i] - b_view[j]
+            if apart < 0:
+                i += 1
+            elif apart > 0:
+                j += 1
+            else:
+                break
+    sizes = np.array(sizes, np.int64)
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    link = lambda ids, first, more: np.concatenate([ids[np.repeat(np.array(first, np.int64), sizes) + within], ids[np.array(more, np.int64)]])
+    return int(sizes.sum()) + n_irregular, link(a, starts, at_a), link(b, others, at_b), said
 
 
 def _byte_letters() -> dict[str, int]:
@@ -150,10 +163,10 @@ class ByteTokens:
         for token, at in self.slow.get_vocab(with_added_tokens=False).items():
             self.bytes[at] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
 
-    def ids(self, part: str) -> list[int]:
-        if (part.isascii() or max(part) < PLAIN) and not LONG_RUN.search(part):
-            return self.fast.encode_ordinary(part)
-        return self.slow.encode(part, add_special_tokens=False).ids
+    def ids(self, part: str) -> np.ndarray:
+        if (part.isascii() or not WIDE.search(part)) and LONG_GAP not in part and max(map(len, part.split(" "))) < LONG_RUN:
+            return self.fast.encode_to_numpy(part)
+        return np.array(self.slow.encode(part, add_special_tokens=False).ids, np.uint32)
 
 
 class PieceTokens:
@@ -168,8 +181,8 @@ class PieceTokens:
             piece = self.model.id_to_piece(at)
             self.bytes[at] = bytes([int(piece[3:5], 16)]) if self.model.is_byte(at) else piece.replace("▁", " ").encode()
 
-    def ids(self, part: str) -> list[int]:
-        return self.model.encode(part)
+    def ids(self, part: str) -> np.ndarray:
+        return np.array(self.model.encode(part), np.uint32)
 
 
 class Sides:
@@ -178,9 +191,12 @@ class Sides:
     def __init__(self, byte_tokens: ByteTokens, piece_tokens: PieceTokens, part: int = PART):
         self.byte_tokens, self.piece_tokens, self.part = byte_tokens, piece_tokens, part
         tables = byte_tokens.bytes, piece_tokens.bytes
-        self.bytes = [[t.get(i, b"") for i in range(max(t) + 1)] for t in tables]
-        self.sizes = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
-        self.names = list(map(str, range(max(map(len, self.bytes)))))
+        self.bytes, self.sizes = [], []
+        for t in tables:
+            held = [t.get(i, b"") for i in range(max(t) + 1)]
+            self.bytes.append(np.array([*held, None], object)[:-1])
+            self.sizes.append(np.array(list(map(len, held)), np.int64))
+        self.names = np.array([str(i) for i in range(max(map(len, self.bytes)))] + [None], object)[:-1]
 
     def parts(self, text: str) -> Iterator[str]:
         """The text without the spaces it is cut at."""
@@ -190,17 +206,15 @@ class Sides:
             at = cut.end()
         yield text[at:]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both sides and their ends; nothing where either side's bytes are not a space and the text."""
-        a, b = [], []
-        for part in self.parts(text) if text else ():
-            a += self.byte_tokens.ids(" " + part)
-            b += self.piece_tokens.ids(part)
+        none = np.zeros(0, np.uint32)
+        held = [(self.byte_tokens.ids(" " + part), self.piece_tokens.ids(part)) for part in self.parts(text)] if text else []
+        ids = [np.concatenate([none, *x]) for x in zip(*held)] if len(held) != 1 else list(held[0])
         whole = b" " + text.encode()
-        if not text or any(b"".join([t[i] for i in x]) != whole for t, x in zip(self.bytes, (a, b))):
-            a, b = [], []
-        ids = np.array(a, np.int64), np.array(b, np.int64)
-        return *ids, *[np.cumsum(sizes[x]).tolist() for sizes, x in zip(self.sizes, ids)]
+        if not text or any(b"".join(t[x].tolist()) != whole for t, x in zip(self.bytes, ids)):
+            ids = [none, none]
+        return *ids, *[np.cumsum(sizes[x]) for sizes, x in zip(self.sizes, ids)]
 
 
 @lru_cache(maxsize=1)
@@ -220,7 +234,8 @@ class Chunk:
         n_groups, link_a, link_b, said = align(a, b, a_ends, b_ends, sides.names)
         digest = hashlib.sha256(";".join(said).encode()).hexdigest() if len(a) else ""
         self.docs.append((doc_id, len(a), len(b), n_groups, len(link_a), digest))
-        self.pairs.append(link_a << np.int64(32) | link_b)
+        # a link as one number: both ids, and the document's index
+        self.pairs.append(link_a.astype(np.int64) << np.int64(40) | link_b.astype(np.int64) << np.int64(8) | np.int64(len(self.docs) - 1))
         self.n_links += len(link_a)
 
     def full(self) -> bool:
@@ -234,10 +249,8 @@ class Chunk:
                                          schema=OUT)
         if not self.n_links:
             return
-        pairs = np.concatenate(self.pairs)
-        docs = np.repeat(np.arange(n), [len(p) for p in self.pairs]).astype(np.uint8)
-        order = np.argsort(pairs, kind="stable")
-        pairs, docs = pairs[order], docs[order]
+        pairs = np.sort(np.concatenate(self.pairs))
+        docs, pairs = pairs.astype(np.uint8), pairs >> np.int64(8)
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
         bounds = np.r_[first, len(pairs)].astype(np.int32)
         links = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(docs.tobytes())])
