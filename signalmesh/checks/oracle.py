@@ -141,6 +141,21 @@ SELECT r.rank, r.label AS theme, r.theme_id, r.category, {SIGNAL_TYPE} AS signal
 FROM ranked r LEFT JOIN quotes_joined q ON q.theme_idx = r.theme_idx WHERE r.rank <= 5"""
 
 
+# Every keyword against every text: words between boundaries, pairs as substrings.
+KEYWORD_INDEX = r"""
+WITH first AS (SELECT CAST(conv_id % 40 AS BIGINT) AS theme_idx,
+                      list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 3) AS w
+               FROM conversations WHERE turn = 0),
+words AS (SELECT DISTINCT theme_idx, unnest(w) AS keyword FROM first),
+pairs AS (SELECT DISTINCT theme_idx, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS keyword FROM first),
+docs AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, lower(text) AS t FROM documents),
+tokens AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9_]+')) AS keyword FROM docs)
+SELECT doc_id, theme_idx FROM tokens JOIN words USING (keyword)
+UNION
+SELECT doc_id, theme_idx FROM docs JOIN pairs ON contains(t, keyword)
+"""
+
+
 def build() -> dict[str, str]:
     fr_sql = (f"WITH {d.POSTS_RAW}, {d.COMMENTS}, p AS (SELECT * FROM posts_raw WHERE lower(status) = 'open'), "
               f"s AS (SELECT id, status, portal, votes_count, comments_count, title_s, desc_s, "
@@ -172,9 +187,14 @@ def build() -> dict[str, str]:
         "mailbox_pages": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region",
         "post_pages": (f"WITH {d.POSTS_RAW} SELECT CAST(id AS BIGINT) AS id, portal, title, status,"
                        " CAST(votes_count AS BIGINT) AS votes_count FROM posts_raw"),
-        "source_status": ("SELECT 'support_tickets' AS source, true AS ok, CAST(NULL AS VARCHAR) AS warning"
-                          " FROM (SELECT count(*) FROM documents) UNION ALL SELECT 'feature_votes', true, NULL"
-                          " FROM (SELECT count(*) FROM conversations)"),
+        "source_status": (f"WITH {d.POSTS_RAW} SELECT 'support_tickets' AS source, true AS ok, CAST(count(DISTINCT doc_id // 50) AS"
+                          " BIGINT) AS pages, CAST(0 AS BIGINT) AS unreadable_pages, CAST(NULL AS VARCHAR) AS warning FROM documents"
+                          " UNION ALL SELECT 'mailboxes', true, CAST(count(DISTINCT r_regionkey // 2) AS BIGINT), 0, NULL FROM region"
+                          " UNION ALL SELECT portal, true, CAST(count(DISTINCT id // 30) AS BIGINT), 0, NULL FROM posts_raw GROUP BY portal"),
+        "comment_payloads": (f"WITH {d.COMMENTS} SELECT 'portal_' || CAST(post_id % 3 AS VARCHAR) AS portal, CAST(post_id AS BIGINT)"
+                             " AS post_id, role, comment FROM comments"),
+        "keyword_index": KEYWORD_INDEX,
+        "landed_synthesis": AQ("WITH_QUOTES" + THEMES_VIEW_SUMMARY),
         # filters
         "tickets_in_window": (f"WITH {d.TICKETS_RAW}, {d.tickets_win()} SELECT CAST(id AS BIGINT) AS id,"
                               f" CAST(mailbox_id AS BIGINT) AS mailbox_id, {TS.format(c='created_at')} AS created_at FROM tickets_win"),

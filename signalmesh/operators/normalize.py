@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from signalmesh.functions import pii
 from signalmesh.functions.text import request_quote_text, ticket_quote
 
+#: A request's place in its feed, where known: the portal's place in the configuration, then the selection's keys.
+PLACE = ("portal_pos", "feed_seq", "grp", "k1", "k2")
 COMMENT_TYPE = "array<struct<role:string,comment:string,created_at:string>>"
 
 ORD_TYPE = T.StructType([
@@ -94,7 +96,7 @@ def requests_clean(raw: DataFrame) -> DataFrame:
         to_ntz(F.col("created_at"), s["created_at"].dataType).alias("created_at"),
         to_ntz(F.col("updated_at"), s["updated_at"].dataType).alias("updated_at"),
         F.coalesce(comments, F.array().cast(COMMENT_TYPE)).alias("comments"),
-        *[F.col(c) for c in ("feed_seq", "grp", "k1", "k2") if c in raw.columns],
+        *[F.col(c) for c in PLACE if c in raw.columns],
     )
     df = pii.with_scrub(df, "title", "title_s", "pii_title")
     df = pii.with_scrub(df, "description", "desc_s", "pii_desc")
@@ -107,7 +109,7 @@ def requests_clean(raw: DataFrame) -> DataFrame:
         "votes_count", "comments_count", "portal", "url", "created_at", "updated_at",
         F.transform("__cs", lambda c: F.struct(c["role"].alias("role"), c["s"]["text"].alias("comment"),
                                                c["created_at"].alias("created_at"))).alias("comments"),
-        *[c for c in ("feed_seq", "grp", "k1", "k2") if c in raw.columns],
+        *[c for c in PLACE if c in raw.columns],
         F.array_sort(F.array_distinct(F.concat("pii_title", "pii_desc",
                                                F.flatten(F.transform("__cs", lambda c: c["s"]["pii"])))))
         .alias("pii"),
@@ -125,9 +127,13 @@ def ticket_ord() -> Column:
                     newest_first.alias("k1"), F.col("id").cast("bigint").alias("k2"))
 
 
-def request_ord() -> Column:
-    """Requests after tickets: portal order, recent (feed order) then top-voted."""
-    return F.struct(F.lit(1).alias("src"), F.col("portal").alias("portal"), F.col("grp").cast("int").alias("grp"),
+def request_ord(configured: bool = False) -> Column:
+    """Requests after tickets: portal order, recent (feed order) then top-voted.
+
+    Portals come in the order they are ``configured`` in (``portal_pos``), else by name.
+    """
+    portal = F.concat(F.format_string("%09d ", F.col("portal_pos").cast("int")), F.col("portal")) if configured else F.col("portal")
+    return F.struct(F.lit(1).alias("src"), portal.alias("portal"), F.col("grp").cast("int").alias("grp"),
                     F.col("k1").cast("bigint").alias("k1"), F.col("k2").cast("bigint").alias("k2"))
 
 
@@ -191,7 +197,7 @@ def request_signals(rc: DataFrame) -> DataFrame:
         F.col("votes_count").alias("votes"),
         F.col("comments_count"),
         F.col("portal"),
-        request_ord().alias("ord"),
+        request_ord("portal_pos" in rc.columns).alias("ord"),
         F.col("pii"),
     )
 

@@ -16,7 +16,12 @@ from signalmesh.config import ThemesConfig
 from signalmesh.functions.scoring import recency_boost, round2, tag_boost, thread_score
 from signalmesh.functions.text import keyword_match
 from signalmesh.params import Params
-from signalmesh.session import attach_row
+from signalmesh.operators.keyword_index import keyword_index, match_by_index
+from signalmesh.session import attach_row, materialize
+
+
+#: A point's severity (at most 110) to 15 places.
+EXACT = "decimal(18,15)"
 
 
 def matched_theme_array(cfg: ThemesConfig, text: str = "text"):
@@ -41,6 +46,21 @@ def tag_signals(signals: DataFrame, cfg: ThemesConfig) -> DataFrame:
             .drop("text"))
 
 
+def tag_signals_by_index(signals: DataFrame, themes: DataFrame) -> DataFrame:
+    """J1 for a catalogue of any size: :func:`tag_signals` by the keyword index of ``themes`` (``theme_idx, keywords``).
+
+    A signal is told by its id, place and text; ``theme_idxs`` is sorted.
+    """
+    from signalmesh.operators.normalize import with_text
+
+    index = materialize(keyword_index(themes.select("theme_idx", F.explode("keywords").alias("keyword"))), "keyword-index")
+    keyed = with_text(signals).withColumn("__h", F.xxhash64("text"))
+    hits = match_by_index(keyed, index, ["id", "ord", "__h"])
+    idxs = hits.groupBy("id", "ord", "__h").agg(F.sort_array(F.collect_list("theme")).alias("theme_idxs"))
+    return (keyed.join(idxs, ["id", "ord", "__h"], "left")
+            .withColumn("theme_idxs", F.coalesce("theme_idxs", F.array().cast("array<int>"))).select(*signals.columns, "theme_idxs"))
+
+
 POINT_COLUMNS = ("id", "source", "title", "created_at", "tags", "thread_count", "votes", "comments_count",
                  "portal", "ord")
 
@@ -69,7 +89,8 @@ def theme_aggregates(points: DataFrame, p: Params) -> DataFrame:
         F.count(F.lit(1)).alias("points"),
         F.count(F.when(reactive, 1)).alias("reactive_count"),
         F.count(F.when(proactive, 1)).alias("proactive_count"),
-        F.sum(F.when(reactive, point_sev)).alias("sev_sum"),
+        # a sum of decimals is the same in any order of tasks; a double's last digits are not
+        F.sum(F.when(reactive, point_sev).cast(EXACT)).cast("double").alias("sev_sum"),
         F.sum(F.when(proactive, F.coalesce(F.col("votes"), F.lit(0)))).alias("votes_sum"),
         F.sum(F.when(proactive, F.coalesce(F.col("comments_count"), F.lit(0)))).alias("comments_sum"),
     )

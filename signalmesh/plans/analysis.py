@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ from signalmesh.operators import themes as th
 from signalmesh.params import Params
 from signalmesh.session import materialize
 from signalmesh.sources import fixtures
+from signalmesh.sources.landed import Landed
 
 
 @dataclass
@@ -43,6 +43,12 @@ def fixture_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
                  fixtures.comments(spark, sf_dir))
 
 
+def landed_feeds(landed: Landed) -> Feeds:
+    """Feeds of a run on landed pages; portals keep their configured order."""
+    place = landed.portals.select(F.col("name").alias("portal"), F.col("pos").alias("portal_pos"))
+    return Feeds(landed.tickets, landed.posts.join(place, "portal", "left"), landed.mailboxes, landed.comments)
+
+
 def selected_tickets(feeds: Feeds, p: Params) -> DataFrame:
     return sel.filter_mailbox(sel.tickets_in_window(feeds.tickets, p), feeds.mailboxes, p)
 

@@ -8,6 +8,8 @@ oracle in :mod:`signalmesh.checks.oracle`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from signalmesh.functions import pii as px
 from signalmesh.functions import scoring as sc
 from signalmesh.functions import text as tx
 from signalmesh.operators import emerging as em
+from signalmesh.operators import keyword_index as ki
 from signalmesh.operators import normalize as nz
 from signalmesh.operators import quotes as qt
 from signalmesh.operators import selection as sel
@@ -23,7 +26,9 @@ from signalmesh.operators import themes as th
 from signalmesh.params import Params
 from signalmesh.plans import analysis as an
 from signalmesh.plans import jobs
+from signalmesh.session import ensure_checkpoint_dir, materialize
 from signalmesh.sources import fixtures as fx
+from signalmesh.sources import landed as ld
 from signalmesh.sources import pages as pg
 
 SEP = "|"
@@ -89,17 +94,21 @@ def _page_json(df: DataFrame, page: Column, body) -> DataFrame:
     return g.select("page_no", F.to_json(body(F.col("items"))).alias("json"))
 
 
-def q_ticket_pages(spark, sf):
-    """Tickets landed as 50-per-page envelopes, parsed back with the declared schema."""
+def _ticket_pages(spark, sf):
     t = fx.tickets(spark, sf).select(
         "id", "number", "subject", "status", F.lit("published").alias("state"), F.col("mailbox_id").alias("mailboxId"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"),
         F.lit(None).cast("string").alias("closedAt"),
         F.transform("tags", lambda x: F.struct(F.lit(0).cast("bigint").alias("id"), x.alias("tag"))).alias("tags"),
         F.struct(F.lit(None).cast("string").alias("email")).alias("primaryCustomer"), "preview", "threads")
-    landed = _page_json(t, F.floor(F.col("id") / 50), lambda items: F.struct(
+    return _page_json(t, F.floor(F.col("id") / 50), lambda items: F.struct(
         F.struct(items.alias("conversations")).alias("_embedded"),
         F.struct(F.size(items).cast("bigint").alias("size")).alias("page")))
+
+
+def q_ticket_pages(spark, sf):
+    """Tickets landed as 50-per-page envelopes, parsed back with the declared schema."""
+    landed = _ticket_pages(spark, sf)
     parsed = landed.select("page_no", F.from_json("json", pg.TICKET_PAGE).alias("p"))
     rows = pg.ticket_rows(parsed, F.col("page_no"))
     return rows.select(F.col("id").cast("bigint").alias("id"), F.col("mailbox_id").cast("bigint").alias("mailbox_id"),
@@ -107,17 +116,20 @@ def q_ticket_pages(spark, sf):
                        F.col("threads").cast("bigint").alias("threads"), "created_at")
 
 
-def q_mailbox_pages(spark, sf):
-    """S3: mailboxes landed two per page and parsed back."""
+def _mailbox_pages(spark, sf):
     m = fx.mailboxes(spark, sf).select("id", "name")
-    landed = _page_json(m, F.floor(F.col("id") / 2), lambda items: F.struct(
+    return _page_json(m, F.floor(F.col("id") / 2), lambda items: F.struct(
         F.struct(items.alias("mailboxes")).alias("_embedded")))
+
+
+def q_mailbox_pages(spark, sf):
+    """S3: mailboxes landed two per page and parsed back."""
+    landed = _mailbox_pages(spark, sf)
     parsed = landed.select("page_no", F.from_json("json", pg.MAILBOX_PAGE).alias("p"))
     return pg.mailbox_rows(parsed).select(F.col("id").cast("bigint").alias("id"), "name")
 
 
-def q_post_pages(spark, sf):
-    """Posts landed as skip/limit pages (bounded id ranges per portal), parsed back."""
+def _post_pages(spark, sf):
     p = fx.posts(spark, sf)
     items = p.select("portal", F.floor(F.col("id") / 30).alias("page_no"), F.col("id").cast("string").alias("id"),
                      "title", "description",
@@ -127,20 +139,70 @@ def q_post_pages(spark, sf):
                      "votes_count", "comments_count",
                      F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
                      F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), "url")
-    g = items.groupBy("portal", "page_no").agg(
-        F.collect_list(F.struct(*[c for c in items.columns if c not in ("portal", "page_no")])).alias("data"))
-    landed = g.select("portal", F.to_json(F.struct(F.col("data"), (F.col("page_no") * 30).cast("bigint").alias("skip"),
+    item = F.struct(*[c for c in items.columns if c not in ("portal", "page_no")])
+    g = items.groupBy("portal", "page_no").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("id").cast("bigint").alias("k"), item.alias("v")))), lambda x: x["v"]).alias("data"))
+    return g.select("portal", F.to_json(F.struct(F.col("data"), (F.col("page_no") * 30).cast("bigint").alias("skip"),
                                                    F.lit(10).cast("bigint").alias("limit"))).alias("json"))
+
+
+def q_post_pages(spark, sf):
+    """Posts landed as skip/limit pages (bounded id ranges per portal), parsed back."""
+    landed = _post_pages(spark, sf)
     parsed = landed.select("portal", F.from_json("json", pg.POST_PAGE).alias("p"))
     rows = pg.post_rows(parsed, F.col("portal"))
     return rows.select(F.col("id").cast("bigint").alias("id"), "portal", "title", F.col("status.name").alias("status"),
                        F.col("votes_count").cast("bigint").alias("votes_count"))
 
 
+def _landed(spark, sf):
+    """The tables landed as page files, a folder a source, and read back."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/pages-{uuid.uuid4().hex}"
+    _ticket_pages(spark, sf).select("json").write.text(f"{base}/tickets")
+    _mailbox_pages(spark, sf).select("json").write.text(f"{base}/mailboxes")
+    _post_pages(spark, sf).select("portal", F.col("json").alias("value")).write.partitionBy("portal").text(f"{base}/posts")
+    portals = [(r["name"], r.base_url, f"{base}/posts/portal={r['name']}") for r in fx.portals(spark, sf).orderBy("name").collect()]
+    _comment_payloads(spark, sf).write.partitionBy("portal").json(f"{base}/comments")
+    return ld.read_landed(spark, f"{base}/tickets", f"{base}/mailboxes", portals,
+                          {name: f"{base}/comments/portal={name}" for name, *_ in portals})
+
+
 def q_source_status(spark, sf):
-    """Per-source load status (both feeds present -> two ok rows)."""
-    return pg.source_status(spark, {"support_tickets": lambda: fx.tickets(spark, sf),
-                                    "feature_votes": lambda: fx.posts(spark, sf)})
+    """Pages read and unreadable of every landed source, from the pass that reads its rows."""
+    return _landed(spark, sf).status
+
+
+def q_landed_synthesis(spark, sf):
+    """The synthesis on landed pages instead of tables."""
+    return jobs.themes_view(an.analyze(an.landed_feeds(_landed(spark, sf)), FIXTURE_THEMES, Params()), "summary")
+
+
+def _comment_payloads(spark, sf):
+    """Per post the payload of its comments: an array, or without one where there is a single comment."""
+    c = fx.comments(spark, sf).groupBy("portal", F.col("post_id").cast("string").alias("post_id")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "comment", F.struct("role", F.lit("A Name").alias("name")).alias("author")))).alias("c"))
+    listed = F.transform("c", lambda x: x.dropFields("pos"))
+    payload = F.when(F.size(listed) == 1, F.to_json(F.struct(listed[0].alias("data")))).otherwise(F.to_json(F.struct(listed.alias("data"))))
+    return c.select("portal", "post_id", payload.alias("payload"))
+
+
+def q_comment_payloads(spark, sf):
+    """Comments out of payloads that hold one object or an array."""
+    c = ld.comment_rows(_comment_payloads(spark, sf))
+    return c.select("portal", F.col("post_id").cast("bigint").alias("post_id"), "role", "comment")
+
+
+def q_keyword_index(spark, sf):
+    """J1 by keyword index: every word and word pair of the conversations' first turns as keywords of 40 themes, over all documents."""
+    first = fx.table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.lower("text").alias("t"))
+    words = first.select((F.col("conv_id") % 40).cast("int").alias("theme_idx"), F.filter(
+        F.regexp_extract_all("t", F.lit("[a-z0-9_]+"), 0), lambda w: F.length(w) > 3).alias("w"))
+    pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("w", i), w))
+    keywords = words.select("theme_idx", F.explode(F.concat("w", pairs)).alias("keyword"))
+    index = materialize(ki.keyword_index(keywords), "keyword-index")
+    docs = _docs(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    hits = ki.match_by_index(docs, index, ["doc_id"])
+    return hits.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("theme").cast("bigint").alias("theme_idx"))
 
 
 # ---------------------------------------------------------------- filters

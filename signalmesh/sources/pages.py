@@ -69,21 +69,25 @@ def ticket_rows(pages: DataFrame, page_no: Column | None = None) -> DataFrame:
 CORRUPT = "_corrupt_record"
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Landed records as they are, those that are no page of ``schema`` with their text in ``CORRUPT``."""
     return (spark.read.schema(T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path))
 
 
 def read_pages(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Landed pages as ``page_no, p``: one page a line, or one page a file with ``multi_line``."""
-    raw = _read(spark, path, schema, multi_line)
+    return as_pages(read_raw(spark, path, schema, multi_line), schema)
+
+
+def as_pages(raw: DataFrame, schema: T.StructType) -> DataFrame:
     number = F.coalesce(F.col("page.number"), F.lit(0)) if "page" in schema.names else F.lit(0)
     return raw.select(number.alias("page_no"), F.struct(*schema.names).alias("p"))
 
 
 def page_warnings(spark: SparkSession, path: str, schema: T.StructType, source: str, multi_line: bool = False) -> DataFrame:
     """One row ``source, warning`` per landed record that is not a page of ``schema``."""
-    raw = _read(spark, path, schema, multi_line)
+    raw = read_raw(spark, path, schema, multi_line)
     return raw.filter(F.col(CORRUPT).isNotNull()).select(
         F.lit(source).alias("source"),
         F.concat(F.lit(f"{source}: unreadable page in "), F.col("_metadata.file_name")).alias("warning"),
