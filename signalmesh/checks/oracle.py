@@ -9,6 +9,7 @@ from __future__ import annotations
 from signalmesh.checks import duck as d
 from signalmesh.config import DEFAULT_THEMES, FIXTURE_THEMES
 from signalmesh.functions.scoring import TAG_BOOST  # noqa: F401  (documented dependency)
+from signalmesh.plans import jobs
 
 A = d.with_analysis
 TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -156,6 +157,53 @@ SELECT doc_id, theme_idx FROM docs JOIN pairs ON contains(t, keyword)
 """
 
 
+# Columns of the cleaned feeds, and which of them hold a placeholder or nothing.
+FIELD_LIST = {"support_tickets": ("id", "number", "subject", "status", "created_at", "closed_at", "customer_email", "tags", "preview",
+                                  "customer_messages", "thread_count"),
+              "feature_votes": ("id", "title", "description", "status", "category", "votes_count", "comments_count", "portal", "url", "created_at",
+                                "updated_at", "comments")}
+FIELDS_SQL = " UNION ALL ".join(
+    f"SELECT '{feed}', '{c}', '{'withheld' if c in ('customer_email', 'comments') else 'sent'}', NULL, NULL" for feed, cols in FIELD_LIST.items() for c in cols)
+PII_FIELDS = ("WITH " + d.TICKETS_RAW + ", " + d.tickets_win() + ", " + d.POSTS_RAW + ", " + d.posts_sel() + ", t AS (SELECT * FROM "
+              + d.scrub_from("tickets_win", [("subject", "subject_s"), ("preview", "preview_s")]) + "), r AS (SELECT * FROM "
+              + d.scrub_from("posts_sel", [("title", "title_s"), ("description", "desc_s")]) + "), f AS ("
+              "SELECT 'support_tickets' AS source, 'subject' AS field, unnest(subject_s_pii) AS category FROM t UNION ALL "
+              "SELECT 'support_tickets', 'preview', unnest(preview_s_pii) FROM t UNION ALL "
+              "SELECT 'feature_votes', 'title', unnest(title_s_pii) FROM r UNION ALL "
+              "SELECT 'feature_votes', 'description', unnest(desc_s_pii) FROM r) "
+              "SELECT source, field, 'redacted' AS handling, category, CAST(count(*) AS BIGINT) AS signals FROM f GROUP BY ALL UNION ALL " + FIELDS_SQL)
+
+
+def _pairs(section: str, **values) -> str:
+    return " UNION ALL ".join(f"SELECT {d.lit(section)}, CAST({i} AS BIGINT), {d.lit(n)}, {d.lit(str(v))}" for i, (n, v) in enumerate(values.items(), 1))
+
+
+def response_sql(meta: str, most: int | None, emerging: int, samples: int, more: str = "") -> str:
+    """The whole response of a job as rows ``section, place, name, value``."""
+    top = f"WHERE rank <= {most}" if most else ""
+    score = "regexp_replace(CAST(priority_score AS VARCHAR), '\\.0$', '')"
+    summary = ["2 AS config_version", "8 AS known_themes_count", "(SELECT count(*) FROM signals) AS total_data_points"]
+    counts = {"reactive_count": "signals WHERE source = 'REACTIVE'", "proactive_count": "signals WHERE source = 'PROACTIVE'",
+              "themes_detected": "scores", "convergent_themes": "scores WHERE convergent", "unmatched_count": "unmatched"}
+    summary += [f"(SELECT count(*) FROM {source}) AS {name}" for name, source in counts.items()]
+    rows = " UNION ALL ".join(f"SELECT 'summary', CAST({i} AS BIGINT), {d.lit(x.rsplit(' AS ', 1)[1])}, CAST({x.rsplit(' AS ', 1)[0]} AS VARCHAR)"
+                              for i, x in enumerate(summary, 1))
+    select = f"""SELECT section, place, name, value FROM (
+  {meta} UNION ALL {rows}
+  UNION ALL SELECT 'pii_categories_redacted', row_number() OVER (ORDER BY c), c, NULL FROM (SELECT DISTINCT unnest(pii) AS c FROM signals)
+  UNION ALL SELECT 'data_sources', row_number() OVER (ORDER BY c), c, NULL FROM (SELECT DISTINCT CASE WHEN source = 'REACTIVE'
+    THEN 'support_tickets' ELSE 'feature_votes' END AS c FROM signals)
+  UNION ALL SELECT 'themes', rank, theme_id, concat_ws(' / ', label, category, {score}, {SIGNAL_TYPE}, {EVIDENCE}) FROM ranked {top}
+  UNION ALL SELECT 'quotes', r.rank * 10 + q.quote_rank, r.theme_id, q.quote FROM theme_quotes q
+    JOIN (SELECT * FROM ranked {top}) r ON r.theme_idx = q.theme_idx
+  UNION ALL SELECT 'emerging_themes', i, ngram, CAST(frequency AS VARCHAR) FROM top_emerging
+  UNION ALL SELECT 'emerging_samples', t.i * 10 + m.n, m.ngram, m.title FROM (SELECT ngram, title, row_number() OVER
+    (PARTITION BY ngram ORDER BY sid) AS n FROM members) m JOIN top_emerging t ON t.ngram = m.ngram WHERE m.n <= {samples}
+  {more}) AS x(section, place, name, value)"""
+    top_emerging = f"top_emerging AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY r) AS i FROM emerging) WHERE i <= {emerging})"
+    return ("WITH RECURSIVE " + d.analysis_ctes() + ",\n" + QUOTES_CTE + ",\n" + NGRAM_OCC + ",\n" + WALK + ",\n" + top_emerging + "\n" + select)
+
+
 def build() -> dict[str, str]:
     fr_sql = (f"WITH {d.POSTS_RAW}, {d.COMMENTS}, p AS (SELECT * FROM posts_raw WHERE lower(status) = 'open'), "
               f"s AS (SELECT id, status, portal, votes_count, comments_count, title_s, desc_s, "
@@ -191,6 +239,25 @@ def build() -> dict[str, str]:
                           " BIGINT) AS pages, CAST(0 AS BIGINT) AS unreadable_pages, CAST(NULL AS VARCHAR) AS warning FROM documents"
                           " UNION ALL SELECT 'mailboxes', true, CAST(count(DISTINCT r_regionkey // 2) AS BIGINT), 0, NULL FROM region"
                           " UNION ALL SELECT portal, true, CAST(count(DISTINCT id // 30) AS BIGINT), 0, NULL FROM posts_raw GROUP BY portal"),
+        "synthesis_rows": response_sql(_pairs("metadata", timeframe_days=30, top_voted_limit=50, portal_name="all", detail_level="standard",
+                                              pii_scrubbing_applied="true"), None, 10, 3),
+        "plan_rows": response_sql(
+            _pairs("metadata", generated_at="2024-01-31T00:00:00.000Z", methodology_version=jobs.METHODOLOGY_VERSION,
+                   methodology_resource=jobs.METHODOLOGY_RESOURCE, detail_level="summary", timeframe_days=30, pii_scrubbing_applied="true"),
+            5, 3, 2, " UNION ALL " + _pairs("kpi_context", provided="true", note=jobs.KPI_NOTE_GIVEN,
+                                            metrics="churn 4.1% in EU; trial conversion flat")),
+        "plan_json_priorities": AQ("WITH_QUOTES" + PLAN_PRIORITIES),
+        "feature_request_listing": (
+            f"WITH {d.POSTS_RAW}, {d.COMMENTS}, p AS (SELECT * FROM posts_raw WHERE lower(status) = 'open'), "
+            f"s AS (SELECT * FROM {d.scrub_from('p', [('title', 'title_s'), ('description', 'desc_s')])}), "
+            f"c AS (SELECT post_id, count(*) AS n, flatten(list(comment_s_pii)) AS found FROM "
+            f"{d.scrub_from('comments', [('comment', 'comment_s')])} GROUP BY post_id) "
+            f"SELECT CAST(s.id AS BIGINT) AS id, title_s AS title, desc_s AS description, status, CAST(NULL AS VARCHAR) AS category, portal, "
+            f"CAST(NULL AS VARCHAR) AS url, CAST(votes_count AS BIGINT) AS votes_count, CAST(comments_count AS BIGINT) AS comments_count, "
+            f"CAST(coalesce(c.n, 0) AS BIGINT) AS n_comments, {TS.format(c='created_at')} AS created_at, {TS.format(c='created_at')} AS updated_at, "
+            f"array_to_string(list_sort(list_distinct(list_concat(title_s_pii, desc_s_pii, coalesce(c.found, []::VARCHAR[])))), '|') AS pii "
+            f"FROM s LEFT JOIN c ON c.post_id = s.id"),
+        "pii_audit_fields": PII_FIELDS,
         "comment_payloads": (f"WITH {d.COMMENTS} SELECT 'portal_' || CAST(post_id % 3 AS VARCHAR) AS portal, CAST(post_id AS BIGINT)"
                              " AS post_id, role, comment FROM comments"),
         "keyword_index": KEYWORD_INDEX,

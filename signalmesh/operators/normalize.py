@@ -43,6 +43,15 @@ def to_ntz(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
+def _by_field(**found: str) -> Column:
+    """Each scrubbed field with the categories found in it, as an array of ``field, category``."""
+    return F.concat(*[_named(field, c) for field, c in found.items()])
+
+
+def _named(field: str, found: str) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(field).alias("field"), x.alias("category")))
+
+
 def tickets_clean(raw: DataFrame) -> DataFrame:
     """scrub subject and preview, redact the customer e-mail, flatten tags."""
     s = raw.schema
@@ -73,6 +82,7 @@ def tickets_clean(raw: DataFrame) -> DataFrame:
         "thread_count",
         *[c for c in ("mailbox_id",) if c in raw.columns],
         F.array_sort(F.array_distinct(F.concat("pii_subject", "pii_preview"))).alias("pii"),
+        _by_field(subject="pii_subject", preview="pii_preview").alias("pii_fields"),
     )
 
 
@@ -113,6 +123,9 @@ def requests_clean(raw: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.concat("pii_title", "pii_desc",
                                                F.flatten(F.transform("__cs", lambda c: c["s"]["pii"])))))
         .alias("pii"),
+        F.concat(_by_field(title="pii_title", description="pii_desc"), F.transform(
+            F.array_sort(F.array_distinct(F.flatten(F.transform("__cs", lambda c: c["s"]["pii"])))),
+            lambda x: F.struct(F.lit("comments").alias("field"), x.alias("category")))).alias("pii_fields"),
     )
 
 
@@ -138,7 +151,7 @@ def request_ord(configured: bool = False) -> Column:
 
 
 SIGNAL_COLUMNS = ("id", "source", "title", "body", "msg_dup", "msgs", "first_comment", "created_at", "tags",
-                  "thread_count", "votes", "comments_count", "portal", "ord", "pii")
+                  "thread_count", "votes", "comments_count", "portal", "ord", "pii", "pii_fields")
 
 
 def signal_text() -> Column:
@@ -177,6 +190,7 @@ def ticket_signals(tc: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("portal"),
         ticket_ord().alias("ord"),
         F.col("pii"),
+        F.col("pii_fields"),
     )
 
 
@@ -199,6 +213,7 @@ def request_signals(rc: DataFrame) -> DataFrame:
         F.col("portal"),
         request_ord("portal_pos" in rc.columns).alias("ord"),
         F.col("pii"),
+        F.col("pii_fields"),
     )
 
 

@@ -219,6 +219,135 @@ def pii_audit(a) -> DataFrame:
     return counts.select("source", "category", "signals")
 
 
+def pii_audit_fields(a) -> DataFrame:
+    """Re-aimed dry run by field: ``source, field, handling, category, signals``.
+
+    ``redacted`` rows count the signals that had a category in a field; ``sent``
+    and ``withheld`` rows name what leaves and what never does, from the
+    columns of the cleaned feeds.
+    """
+    name = lambda reactive: F.when(reactive, "support_tickets").otherwise("feature_votes").alias("source")
+    found = a.signals.select(name(F.col("source") == "REACTIVE"), F.explode("pii_fields").alias("f"))
+    counts = (found.groupBy("source", "f.field", "f.category").agg(F.count(F.lit(1)).cast("bigint").alias("signals"))
+              .select("source", "field", F.lit("redacted").alias("handling"), "category", "signals"))
+    rows = [(feed, c, "withheld" if c in WITHHELD.get(feed, ()) else "sent") for feed, df in
+            (("support_tickets", a.tickets), ("feature_votes", a.requests)) for c in df.columns if c not in INNER]
+    listed = a.signals.sparkSession.createDataFrame(rows, "source string, field string, handling string").select(
+        "source", "field", "handling", F.lit(None).cast("string").alias("category"), F.lit(None).cast("bigint").alias("signals"))
+    return counts.unionByName(listed)
+
+
+#: Columns of the cleaned feeds that only order or describe rows, and those that hold a placeholder or nothing of a feed's people.
+INNER = ("pii", "pii_fields", "portal_pos", "feed_seq", "grp", "k1", "k2", "mailbox_id")
+WITHHELD = {"support_tickets": ("customer_email",), "feature_votes": ("comments",)}
+
+
+def _section(df: DataFrame, section: str, place, name, value) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), place.cast("bigint").alias("place"), name.cast("string").alias("name"),
+                     value.cast("string").alias("value"))
+
+
+def _pairs(spark: SparkSession, section: str, **values) -> DataFrame:
+    rows = [(section, i, name, str(value)) for i, (name, value) in enumerate(values.items(), 1)]
+    return spark.createDataFrame(rows, "section string, place bigint, name string, value string")
+
+
+def _summary_section(a) -> DataFrame:
+    s = a.summary()
+    items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in s.columns])
+    return _section(s.select(F.posexplode(items).alias("i", "x")), "summary", F.col("i") + 1, F.col("x.name"), F.col("x.value"))
+
+
+def _listed(df: DataFrame, column: str, section: str) -> DataFrame:
+    """A few names (categories, feeds), sorted."""
+    first = Window.orderBy(column)
+    return _section(df.withColumn("i", F.row_number().over(first)), section, F.col("i"), F.col(column), F.lit(None))
+
+
+def _theme_sections(a, most: int | None) -> list[DataFrame]:
+    """Ranked themes with what is said of them, and their quotes."""
+    s = a.scores if most is None else a.scores.filter(F.col("rank") <= most)
+    said = F.concat_ws(" / ", "label", "category", sc.js_number(F.col("priority_score")),
+                       sc.signal_type(F.col("convergent"), F.col("reactive_count")),
+                       sc.evidence_summary(F.col("reactive_count"), F.col("proactive_count"), F.col("convergent")))
+    quotes = a.quotes().join(s.select("theme_idx", "theme_id", "rank"), "theme_idx")
+    return [_section(s, "themes", F.col("rank"), F.col("theme_id"), said),
+            _section(quotes, "quotes", F.col("rank") * 10 + F.col("quote_rank"), F.col("theme_id"), F.col("quote"))]
+
+
+def _emerging_sections(a, most: int | None, samples: int) -> list[DataFrame]:
+    """The first emerging themes in claim order, with sample titles."""
+    top = qt.emerging_top(a.emerging, most).withColumn("i", F.row_number().over(Window.orderBy("rk")))
+    out = [_section(top, "emerging_themes", F.col("i"), F.col("ngram"), F.col("frequency"))]
+    if samples:
+        titles = qt.emerging_samples(a.emerging_points, samples).join(top.select("ngram", "i"), "ngram")
+        out.append(_section(titles, "emerging_samples", F.col("i") * 10 + F.col("sample_rank"), F.col("ngram"), F.col("title")))
+    return out
+
+
+def _warnings(status: DataFrame | None) -> list[DataFrame]:
+    if status is None:
+        return []
+    told = status.filter(F.col("warning").isNotNull()).withColumn("i", F.row_number().over(Window.orderBy("source")))
+    return [_section(told, "warnings", F.col("i"), F.col("source"), F.col("warning"))]
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+#: Emerging themes and sample titles of a detail level (all and none at ``full``, whose members are long tables).
+EMERGING = {"summary": (5, 0), "standard": (10, 3), "full": (None, 0)}
+
+
+def synthesis_rows(a, p: Params, level: str = "summary", status: DataFrame | None = None) -> DataFrame:
+    """The whole synthesis as rows ``section, place, name, value``: run metadata, summary, redacted categories, feeds, themes,
+    quotes, emerging themes, and the warnings of a landed run (``status``) if there are any."""
+    spark = a.signals.sparkSession
+    meta = _pairs(spark, "metadata", timeframe_days=p.timeframe_days, top_voted_limit=p.top_voted_limit,
+                  portal_name=p.portal_name or "all", detail_level=level, pii_scrubbing_applied="true")
+    return _together([meta, _summary_section(a), _listed(a.pii_categories(), "category", "pii_categories_redacted"),
+                      _listed(a.data_sources(), "data_source", "data_sources"), *_theme_sections(a, None),
+                      *_emerging_sections(a, *EMERGING[level]), *_warnings(status)])
+
+
+def plan_rows(a, p: Params, status: DataFrame | None = None) -> DataFrame:
+    """The whole plan as rows ``section, place, name, value``: metadata, summary, feeds, priorities with quotes, emerging themes
+    with samples, the business context and warnings."""
+    spark = a.signals.sparkSession
+    meta = _pairs(spark, "metadata", generated_at=_generated_at(p), methodology_version=METHODOLOGY_VERSION,
+                  methodology_resource=METHODOLOGY_RESOURCE, detail_level=p.detail_level, timeframe_days=p.timeframe_days,
+                  pii_scrubbing_applied="true")
+    kpi = {"provided": "true", "note": KPI_NOTE_GIVEN, "metrics": p.kpi_context} if p.kpi_context else {"provided": "false", "note": KPI_NOTE_NONE}
+    return _together([meta, _summary_section(a), _listed(a.pii_categories(), "category", "pii_categories_redacted"),
+                      _listed(a.data_sources(), "data_source", "data_sources"), *_theme_sections(a, p.max_priorities),
+                      *_emerging_sections(a, 3, 2), _pairs(spark, "kpi_context", **kpi), *_warnings(status)])
+
+
+def request_listing(posts: DataFrame, comments: DataFrame, p: Params) -> DataFrame:
+    """The feature-request listing on any feed: every field that may leave, categories found in posts and in their comments.
+
+    Status and portal are filtered before comments are met; comments are
+    counted, not gathered.
+    """
+    clean = nz.requests_clean(sel.filter_status(sel.filter_portal(posts, p), p))
+    out = clean.select("id", "title", "description", "status", "category", "portal", "url", "votes_count", "comments_count",
+                       "created_at", "updated_at", "pii")
+    if not p.include_comments:
+        return out.withColumn("n_comments", F.lit(0).cast("bigint"))
+    said = comments.withColumnRenamed("post_id", "id").join(clean.select("portal", "id").distinct(), ["portal", "id"], "left_semi")
+    # at most one array for each set of categories
+    found = px.with_scrub(said, "comment", "comment_s", "found").groupBy("portal", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set("found")).alias("found"))
+    none = F.array().cast("array<string>")
+    return (out.join(found, ["portal", "id"], "left")
+            .withColumn("pii", F.array_sort(F.array_distinct(F.concat("pii", F.coalesce("found", none)))))
+            .withColumn("n_comments", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n", "found"))
+
+
 # Fields sent and withheld per feed (dry-run listing).
 FIELDS = {
     "support_tickets": {"sent": ["subject (PII-scrubbed)", "preview snippet (PII-scrubbed)", "tags", "status",

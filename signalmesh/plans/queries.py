@@ -32,6 +32,11 @@ from signalmesh.sources import landed as ld
 from signalmesh.sources import pages as pg
 
 SEP = "|"
+#: The priorities of the plan document.
+PLAN_DOCUMENT = ("priorities array<struct<rank:bigint, theme:string, theme_id:string, category:string, signal_type:string, "
+                 "priority_score:double, convergent:boolean, "
+                 "evidence:struct<total_data_points:bigint, support_tickets:bigint, feature_requests:bigint>, "
+                 "evidence_summary:string, customer_quotes:array<string>>>")
 _CACHE: dict = {}
 
 
@@ -593,6 +598,38 @@ def q_feature_request_comments(spark, sf):
                     "role", "comment", joined(F.col("pii")).alias("pii"))
 
 
+def q_synthesis_rows(spark, sf):
+    """The whole synthesis at standard detail, as rows."""
+    return jobs.synthesis_rows(analysis(spark, sf), Params(), "standard")
+
+
+def q_plan_rows(spark, sf):
+    """The whole plan with a business context, as rows."""
+    return jobs.plan_rows(analysis(spark, sf), Params(kpi_context="churn 4.1% in EU; trial conversion flat"))
+
+
+def q_plan_json_priorities(spark, sf):
+    """The plan document read back: its priorities, a row a quote."""
+    doc = jobs.plan_document(analysis(spark, sf), Params())
+    read = doc.select(F.explode(F.from_json("plan_json", PLAN_DOCUMENT)["priorities"]).alias("p"))
+    return read.select("p.rank", "p.theme", "p.theme_id", "p.category", "p.signal_type", "p.priority_score", "p.convergent",
+                       F.col("p.evidence.total_data_points").alias("total_data_points"), F.col("p.evidence.support_tickets").alias("support_tickets"),
+                       F.col("p.evidence.feature_requests").alias("feature_requests"), "p.evidence_summary",
+                       joined(F.col("p.customer_quotes")).alias("customer_quotes"))
+
+
+def q_feature_request_listing(spark, sf):
+    """The listing with every field that may leave, comments counted and their categories named."""
+    r = jobs.request_listing(fx.posts(spark, sf), fx.comments(spark, sf), Params(status="open"))
+    return r.select(F.col("id").cast("bigint").alias("id"), "title", "description", "status", "category", "portal", "url", "votes_count",
+                    "comments_count", "n_comments", ts_str(F.col("created_at")).alias("created_at"), ts_str(F.col("updated_at")).alias("updated_at"),
+                    joined(F.col("pii")).alias("pii"))
+
+
+def q_pii_audit_fields(spark, sf):
+    return jobs.pii_audit_fields(analysis(spark, sf))
+
+
 def q_pii_audit(spark, sf):
     return jobs.pii_audit(analysis(spark, sf))
 
