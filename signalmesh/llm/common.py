@@ -26,15 +26,16 @@ ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 #: Rows of a batch between the JVM and Python at most: whole texts and shingle sets are long rows.
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once an application: they need not have it installed.
 
-    Also keeps the session's Arrow batches to ``BATCH_ROWS`` rows, as both sides hold a batch whole.
+    Also keeps the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, as both sides hold a batch whole.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -58,13 +59,27 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: s
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
-    """Number the rows of a deterministic scan (repeated rows stay apart)."""
+    """Number the rows for one job (repeated rows stay apart).
+
+    A later scan may be split otherwise and number them anew; where rows are
+    met again, they are :func:`numbered` once.
+    """
     return docs.withColumn(RID, F.monotonically_increasing_id())
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their numbers, written, so that every later job reads the same ones whatever the cluster looks like then."""
+    return written(with_rid(docs), "numbered")
+
+
+def identified(docs: DataFrame, doc_id: str, text: str, has_rid: bool) -> DataFrame:
+    """Row numbers and :func:`texts` of a table, which :func:`numbered` has made or which is numbered here."""
+    return texts(docs, doc_id, text, **{RID: RID}) if has_rid else numbered(texts(docs, doc_id, text))
+
+
 def keep_rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (a deterministic scan) whose row number is in ``rids``."""
-    return with_rid(docs).join(rids.select(RID), RID, "left_semi").drop(RID)
+    """The rows of :func:`numbered` ``docs`` whose number is in ``rids``."""
+    return docs.join(rids.select(RID), RID, "left_semi").drop(RID)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

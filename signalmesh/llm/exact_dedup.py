@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import RID, documents, flushed, keep_rows, table, texts, with_rid, written
+from signalmesh.llm.common import RID, documents, flushed, identified, keep_rows, numbered, table, texts, with_rid, written
 
 SALTS = 16
 
@@ -46,13 +46,13 @@ def _rows(batches: Iterable[pa.RecordBatch], salts: int, with_text: bool) -> Ite
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS,
-                 digest: Column | None = None) -> DataFrame:
+                 digest: Column | None = None, has_rid: bool = False) -> DataFrame:
     """One row per input row: row number, ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    ``digest`` may be a shorter function of ``sha`` (tests make collisions with it).
+    ``digest`` may be a shorter function of ``sha`` (tests make collisions with it); ``has_rid``: the rows are numbered.
     """
     digest = F.col("sha") if digest is None else digest
-    rows = with_rid(texts(docs, doc_id, text))
+    rows = identified(docs, doc_id, text, True) if has_rid else with_rid(texts(docs, doc_id, text))
     ids = written(rows.mapInArrow(lambda b: _rows(b, salts, False), f"{RID} long, doc_id long, sha binary")
                   .withColumn("digest", digest), "exact-ids")
 
@@ -97,7 +97,8 @@ def _keyed_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, one row with the largest doc_id."""
-    kept = exact_groups(docs).filter("kept").groupBy("text_sha256").agg(F.min(RID).alias(RID))
+    docs = numbered(docs)
+    kept = exact_groups(docs, has_rid=True).filter("kept").groupBy("text_sha256").agg(F.min(RID).alias(RID))
     return keep_rows(docs, kept)
 
 

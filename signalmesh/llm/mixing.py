@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import RID, SPACE, keep_rows, table, with_rid, written
+from signalmesh.llm.common import RID, SPACE, numbered, table, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, 17
@@ -80,10 +80,12 @@ def _sampled_large(large: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
-        seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per input row: row number, ``doc_id, size, source_size, target, taken`` and ``copies`` (taken / size)."""
-    rows = written(with_rid(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-                                        words(F.col(text)).alias("size")))
+        seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        has_rid: bool = False) -> DataFrame:
+    """One row per input row (``has_rid``: numbered before): row number, ``doc_id, size, source_size, target, taken`` and ``copies`` (taken / size)."""
+    rid = F.col(RID) if has_rid else F.monotonically_increasing_id().alias(RID)
+    rows = written(docs.select(rid, F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
+                               words(F.col(text)).alias("size"))
                    .withColumn("place", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)),
                    "mix-rows")
     plan = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
@@ -120,10 +122,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def repeat_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` (a deterministic scan) as often as the mix takes it."""
-    taken = mix(docs, **how).filter("taken > 0").select(RID, F.col("copies").alias("__copies"))
-    return (with_rid(docs).join(taken, RID).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*docs.columns))
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it."""
+    columns = docs.columns
+    docs = numbered(docs)
+    taken = mix(docs, has_rid=True, **how).filter("taken > 0").select(RID, F.col("copies").alias("__copies"))
+    return (docs.join(taken, RID).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+            .select(*columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

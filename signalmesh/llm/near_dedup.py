@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import RID, documents, flushed, keep_rows, table, texts, with_rid, written
+from signalmesh.llm.common import RID, documents, flushed, identified, keep_rows, numbered, table, written
 
 WORDS, PERCENT = 5, 75
 HASHES, CHUNK, GUARANTEED, RADIUS = 96, 6, 31, 46
@@ -234,13 +234,14 @@ def _labels(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
     return labels
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+                has_rid: bool = False) -> DataFrame:
     """One row per input row: row number, ``doc_id, n_shingles, component, component_id, kept``.
 
     ``component`` is the component's own key (a row number of it), which tells apart components whose
-    ``component_id`` is null or the same.
+    ``component_id`` is null or the same.  ``has_rid``: the rows are numbered.
     """
-    rows = with_rid(texts(docs, doc_id, text))
+    rows = identified(docs, doc_id, text, has_rid)
     signed = written(rows.mapInArrow(lambda b: _sign(b, words), f"{RID} long, doc_id long, n_shingles long, set_key binary, signature binary"),
                      "near-docs")
     classes = written(signed.filter("n_shingles > 0").groupBy("set_key")
@@ -258,7 +259,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one row with the smallest doc_id of each component; texts without words all stay."""
-    kept = written(near_groups(docs).filter("kept").select("component", RID), "near-kept")
+    docs = numbered(docs)
+    kept = written(near_groups(docs, has_rid=True).filter("kept").select("component", RID), "near-kept")
     return keep_rows(docs, kept.groupBy("component").agg(F.min(RID).alias(RID)))
 
 

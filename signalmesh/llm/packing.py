@@ -84,7 +84,8 @@ class WordIds(dict):
         return ids
 
     def _merge(self, run: str) -> list[int]:
-        letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        # printing letters stand for themselves in the vocabulary, all other bytes for another letter
+        letters = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(letters)]
 
     def _encode(self, word: str) -> bytes:

@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import RID, table, texts, with_rid, written
+from signalmesh.llm.common import RID, identified, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"ctx_{k}" for k in KINDS)
@@ -158,7 +158,7 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, support: int = SUPPORT,
              trust: float = TRUST) -> DataFrame:
     """One row per input row: row number, ``doc_id``, and ``found``, an array of ``kind, start, end``."""
-    rows = with_rid(texts(docs, doc_id, text))
+    rows = identified(docs, doc_id, text, False)
     found = written(_placed(rows), "pii-found")
     edges = written(_edges(found), "pii-edges")
     patterns, scores = bootstrap(edges, rounds, support, trust)

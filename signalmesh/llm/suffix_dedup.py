@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import RID, documents, flushed, table, texts, with_rid, written
+from signalmesh.llm.common import RID, documents, flushed, identified, table, written
 
 LENGTH, KMER = 400, 24
 MEMORY, BLOCK = 96 << 20, 1 << 18
@@ -318,7 +318,7 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
                   memory: int = MEMORY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Documents that lose bytes (``doc_id, n_bytes, n_removed, n_spans, kept``: the remaining bytes) and those that do
     not (``doc_id, n_bytes, sha``: digest of the text)."""
-    rows = with_rid(texts(docs, doc_id, text))
+    rows = identified(docs, doc_id, text, False)
     found = written(rows.mapInArrow(lambda b: _find_regions(b, length, k), REGION_COLUMNS), "suffix-regions")
     parts = found.filter("hash is not null").select(RID, "hash", "key", "anchor", "lo", "hi")
     keys = written(parts.groupBy("hash", "key").agg(F.count("*").alias("n"), F.min(F.struct(RID, "anchor", "lo", "hi")).alias("one")), "suffix-keys")

@@ -6,7 +6,9 @@ zero, after which all vectors have norm ``M`` and angles order as inner products
 do.  Angles obey the triangle inequality, so a vantage-point tree may skip the
 far side of a ball when the query lies further from its edge than the best
 ``k``-th angle so far.  ``factor`` scales that angle: 1 is exact, smaller skips
-more.
+more.  On 4000 vectors of 16 components in 40 clusters a query looks at, and
+recalls of its 20 nearest: 2192 and all (1), 1850 and all (0.9), 1469 and 0.967
+(0.8), 1294 and 0.926 (0.75), 1112 and 0.870 (0.7), 819 and 0.759 (0.6).
 
 Candidates are dealt to shards of about ``shard_rows`` vectors and queries to
 blocks of about ``block_rows``; each (shard, block) tile builds its tree, runs

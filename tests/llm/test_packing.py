@@ -29,6 +29,15 @@ def test_word_cache_equals_tokenizer(tokenizer):
         assert ids.text(text) == array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def test_control_characters_after_letters(tokenizer):
+    import public_tokenizers
+
+    ids = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for c in [*map(chr, range(0x300)), "\u2028", "\ufeff"]:
+        for text in (f"a{c}", f"{c}a", f"a{c}b", f"ab.{c}", f"é{c}", c):
+            assert ids.text(text) == array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), repr(text)
+
+
 def test_cuts():
     for n in range(1, 3 * CAPACITY):
         pieces = list(cuts(n))

@@ -75,7 +75,7 @@ def test_smaller_factor_looks_at_less_and_recalls_nine_tenths():
     tree, q = Tree(x), x[::20]
     own, ids = np.arange(0, 4000, 20), np.arange(4000)
     exact = Search(tree, q, own, ids, 20, 1.0)
-    near = Search(tree, q, own, ids, 20, 0.6)
+    near = Search(tree, q, own, ids, 20, 0.8)
     want = np.argsort(np.where(np.arange(4000) == own[:, None], -np.inf, q @ x.T) * -1, axis=1)[:, :20]
     assert (np.sort(exact.found, 1) == np.sort(want, 1)).all()
     recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(near.found, want)])
