@@ -41,7 +41,7 @@ from signalmesh.llm.common import documents, table, texts, written
 LEAST, SHARE, TOP, SCALE = 10, 50, 2000, 1_000_000
 SALTS = 16
 #: Words a worker puts together, bytes of text whose suffixes a sorting task holds, and pointers of a partition that is sorted out at once.
-STRETCH, TASK_BYTES, FEW = 1 << 19, 3 << 20, 24
+STRETCH, TASK_BYTES, FEW = 1 << 19, 3 << 20, 1000
 #: Bits of the filter a frequent pair (4 of them are its own), and of the filter at most.
 BITS_EACH, HASHES, MOST_BITS = 16, 4, 1 << 27
 #: Bytes that end a piece.
