@@ -5,10 +5,11 @@ told by the byte offset of its end, and the places where tokens of both streams
 end cut the streams into groups.  Over most of a text the groups are one token
 to one token: there ``a_ends[i + t] == b_ends[j + t]`` at an unchanged index
 shift ``j - i``.  Such a run is found by exponential probing: blocks of doubling
-width are compared at the current shift until one differs, and halving finds
-the first difference in it.  The irregular group that stands there is resolved
-token by token, which also names its links (the pairs whose byte ranges
-overlap), and the shift is updated to where it ends.
+width are compared at the current shift until one differs, and the lowest bit in
+which the two blocks differ tells the first difference in it.  The irregular group that stands there is resolved
+token by token, and the shift is updated to where it ends.  The links of a
+text's irregular groups (the pairs whose byte ranges overlap) are named together:
+the ends of both sides cut a group's bytes into parts, and each is one link.
 
 Link counts of the whole corpus come back to each document without any table
 held by all tasks: a worker cuts its documents into chunks of at most 256 and
@@ -37,6 +38,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ from signalmesh.llm.common import documents, table, texts, written
 BYTE_BPE, BYTE_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Documents of a chunk (an index is one byte), and the links after which it is closed.
 CHUNK_DOCS, CHUNK_LINKS = 256, 1 << 20
+#: What follows an id in the text of a group: another id of its side, the other side, the next group.
+SEPARATORS = ",|;"
 #: Characters of a text tokenised at once.
 PART = 1 << 17
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
@@ -79,14 +83,13 @@ def runs(a_ends: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple[int, int, int
     a, b = memoryview(a_raw).cast("q"), memoryview(b_raw).cast("q")
     while i < n:
         if a[i] == b[j]:
-            at, shift, width = 8 * i, 8 * (j - i), 32
-            while at < 8 * n and a_raw[at: at + width] == b_raw[at + shift: at + shift + width]:
+            at, shift, width = 8 * i, 8 * (j - i), 64
+            while (x := a_raw[at: at + width]) == (y := b_raw[at + shift: at + shift + width]) and x:
                 at += width
                 width *= 2
-            while width > 8 and at < 8 * n:  # the block at ``at`` differs somewhere: halve it
-                width //= 2
-                if a_raw[at: at + width] == b_raw[at + shift: at + shift + width]:
-                    at += width
+            # the block at ``at`` differs somewhere (or is past the end): its lowest unlike bit tells where
+            unlike = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+            at += (unlike & -unlike).bit_length() // 64 * 8
             i_to = min(at // 8, n)
             yield i, -i_to, j, j + i_to - i
             i, j = i_to, j + i_to - i
@@ -105,36 +108,34 @@ def runs(a_ends: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple[int, int, int
         i, j = x + 1, y + 1
 
 
-def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, names: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, list[str]]:
-    """Number of groups, the links' ids of either side, and the groups as text, a stretch each (joined by ``;``); ``names``: ids as text."""
-    a_str, b_str = names[a].tolist(), names[b].tolist()
-    a_view, b_view = memoryview(np.ascontiguousarray(a_ends, np.int64)), memoryview(np.ascontiguousarray(b_ends, np.int64))
-    starts, others, sizes, at_a, at_b, said = [], [], [], [], [], []
-    n_irregular = 0
-    pair, groups = "|".join, ";".join
-    for i, i_to, j, j_to in runs(a_ends, b_ends):
-        if i_to < 0:
-            starts.append(i)
-            others.append(j)
-            sizes.append(-i_to - i)
-            said.append(groups(map(pair, zip(a_str[i:-i_to], b_str[j:j_to]))))
-            continue
-        n_irregular += 1
-        said.append(f"{','.join(a_str[i:i_to])}|{','.join(b_str[j:j_to])}")
-        while True:  # the links of an irregular group
-            at_a.append(i)
-            at_b.append(j)
-            apart = a_view[i] - b_view[j]
-            if apart < 0:
-                i += 1
-            elif apart > 0:
-                j += 1
-            else:
-                break
-    sizes = np.array(sizes, np.int64)
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    link = lambda ids, first, more: np.concatenate([ids[np.repeat(np.array(first, np.int64), sizes) + within], ids[np.array(more, np.int64)]])
-    return int(sizes.sum()) + n_irregular, link(a, starts, at_a), link(b, others, at_b), said
+def _members(n: int, first: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` tokens lie in an irregular group ``first[k]:to[k]``, and which are the last of any group."""
+    step = np.zeros(n + 1, np.int8)
+    step[first] += 1
+    step[to] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    last = ~inside
+    last[to - 1] = True
+    return inside, last
+
+
+def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, names: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, str]:
+    """Number of groups, the links' ids of either side, and the groups as text; ``names``: ids as text, followed by each of ``SEPARATORS``."""
+    stretches = np.fromiter(chain.from_iterable(runs(a_ends, b_ends)), np.int64).reshape(-1, 4)
+    i, i_to, j, j_to = stretches[stretches[:, 1] > 0].T
+    (in_a, last_a), (in_b, last_b) = _members(len(a), i, i_to), _members(len(b), j, j_to)
+    # an irregular group's links: its byte range is cut at every end of either side, and each part lies in one token of each
+    at_a, at_b = np.flatnonzero(in_a), np.flatnonzero(in_b)
+    to_a, to_b = a_ends[at_a], b_ends[at_b]
+    cuts = np.sort(np.concatenate([to_a, to_b[~last_b[at_b]]]), kind="stable")
+    link_a = np.concatenate([a[~in_a], a[at_a[np.searchsorted(to_a, cuts)]]])
+    link_b = np.concatenate([b[~in_b], b[at_b[np.searchsorted(to_b, cuts)]]])
+    # the text: a group's tokens of one side, then those of the other
+    upto_a, upto_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    said = np.empty(len(a) + len(b), object)
+    said[np.arange(len(a)) + np.concatenate([[0], upto_b])[np.cumsum(last_a) - last_a]] = names[last_a.astype(np.int8), a]
+    said[np.arange(len(b)) + upto_a[np.cumsum(last_b) - last_b]] = names[last_b.astype(np.int8) * 2, b]
+    return len(upto_a), link_a, link_b, "".join(said.tolist())[:-1]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -196,7 +197,7 @@ class Sides:
             held = [t.get(i, b"") for i in range(max(t) + 1)]
             self.bytes.append(np.array([*held, None], object)[:-1])
             self.sizes.append(np.array(list(map(len, held)), np.int64))
-        self.names = np.array([str(i) for i in range(max(map(len, self.bytes)))] + [None], object)[:-1]
+        self.names = np.array([[f"{i}{after}" for i in range(max(map(len, self.bytes)))] for after in SEPARATORS], object)
 
     def parts(self, text: str) -> Iterator[str]:
         """The text without the spaces it is cut at."""
@@ -232,7 +233,7 @@ class Chunk:
     def add(self, doc_id, text: str, sides: Sides) -> None:
         a, b, a_ends, b_ends = sides.tokens(text)
         n_groups, link_a, link_b, said = align(a, b, a_ends, b_ends, sides.names)
-        digest = hashlib.sha256(";".join(said).encode()).hexdigest() if len(a) else ""
+        digest = hashlib.sha256(said.encode()).hexdigest() if len(a) else ""
         self.docs.append((doc_id, len(a), len(b), n_groups, len(link_a), digest))
         # a link as one number: both ids, and the document's index
         self.pairs.append(link_a.astype(np.int64) << np.int64(40) | link_b.astype(np.int64) << np.int64(8) | np.int64(len(self.docs) - 1))

@@ -8,12 +8,14 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from signalmesh.llm.token_align import ByteTokens, PieceTokens, Sides, align, align_tokenizers, op11_token_align, runs
+from signalmesh.llm.token_align import SEPARATORS, ByteTokens, PieceTokens, Sides, align, align_tokenizers, op11_token_align, runs
 from tests.llm.fixtures import ODD_TEXTS, SF, documents, odd_documents
 
 STRANGE = ["▁", "a▁b", "<0x41>", "<s> </s> <unk>", "<|endoftext|> x", "日本語 のテキスト", "　 wide", "a" * 3000, " " * 1500, "x " * 300,
            "1 234,5", "it's we'll 'S", "ǅ ɐ Ω λ", " private", "tail ", "  two  gaps  ", "\r\n\r\n", "\x7f\x01"]
 
+NAMES = np.array([[f"{k}{after}" for k in range(99)] for after in SEPARATORS], object)
+
 
 @pytest.fixture(scope="module")
 def vocabularies():
@@ -91,15 +93,14 @@ def test_runs_cover_both_sides_and_stop_at_shared_ends():
         spans = [list(zip([0, *e], e)) for e in (a, b)]
         links = [(x, y) for x, (s, e) in enumerate(spans[0]) for y, (t, f) in enumerate(spans[1]) if s < f and t < e]
         at = [np.arange(len(e)) for e in (a, b)]
-        n, link_a, link_b, _ = align(*at, np.array(a), np.array(b), np.array([str(k) for k in range(99)], object))
+        n, link_a, link_b, _ = align(*at, np.array(a), np.array(b), NAMES)
         assert sorted(zip(link_a.tolist(), link_b.tolist())) == links and n == len(ends)
 
 
 def test_links_of_an_irregular_group():
-    names = np.array(list(map(str, range(9))), object)
-    n, a, b, said = align(np.array([1, 2, 3]), np.array([7, 8]), np.array([2, 5, 6]), np.array([4, 6]), names)
-    assert (n, a.tolist(), b.tolist(), said) == (1, [1, 2, 2, 3], [7, 7, 8, 8], ["1,2,3|7,8"])
-    assert align(np.array([1, 2]), np.array([7, 8]), np.array([1, 2]), np.array([1, 2]), names)[3] == ["1|7;2|8"]
+    n, a, b, said = align(np.array([1, 2, 3]), np.array([7, 8]), np.array([2, 5, 6]), np.array([4, 6]), NAMES)
+    assert (n, a.tolist(), b.tolist(), said) == (1, [1, 2, 2, 3], [7, 7, 8, 8], "1,2,3|7,8")
+    assert align(np.array([1, 2]), np.array([7, 8]), np.array([1, 2]), np.array([1, 2]), NAMES)[3] == "1|7;2|8"
 
 
 def test_parts_and_both_readers_give_the_whole_text_s_ids(vocabularies, spark):
