@@ -12,9 +12,9 @@ text's irregular groups (the pairs whose byte ranges overlap) are named together
 the ends of both sides cut a group's bytes into parts, and each is one link.
 
 Link counts of the whole corpus come back to each document without any table
-held by all tasks: a worker cuts its documents into chunks of at most 256 and
-writes, for each id pair of a chunk, the chunk's documents that hold it (a byte
-a link).  Pairs are counted from these rows; the counts meet them again by pair
+held by all tasks: a worker cuts its documents into chunks of about two million
+links and writes, for each id pair of a chunk, the chunk's documents that hold it
+(two bytes a link).  Pairs are counted from these rows; the counts meet them again by pair
 and then by chunk.  A pair that is everywhere so has one row a chunk, whatever
 its number of links.  Token streams are encoded once: documents and pairs
 leave in one written table.
@@ -49,8 +49,10 @@ from pyspark.sql import functions as F
 from signalmesh.llm.common import documents, table, texts, written
 
 BYTE_BPE, BYTE_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: Documents of a chunk (an index is one byte), and the links after which it is closed.
-CHUNK_DOCS, CHUNK_LINKS = 256, 1 << 20
+#: Documents of a chunk (an index is two bytes), and the links after which it is closed.
+CHUNK_DOCS, CHUNK_LINKS = 4096, 1 << 21
+#: Bits of a document's index and of an id of the piece vocabulary in a number that holds a link.
+INDEX_BITS, ID_BITS = 12, 22
 #: What follows an id in the text of a group: another id of its side, the other side, the next group.
 SEPARATORS = ",|;"
 #: Characters of a text tokenised at once.
@@ -236,7 +238,7 @@ class Chunk:
         digest = hashlib.sha256(said.encode()).hexdigest() if len(a) else ""
         self.docs.append((doc_id, len(a), len(b), n_groups, len(link_a), digest))
         # a link as one number: both ids, and the document's index
-        self.pairs.append(link_a.astype(np.int64) << np.int64(40) | link_b.astype(np.int64) << np.int64(8) | np.int64(len(self.docs) - 1))
+        self.pairs.append((link_a.astype(np.int64) << ID_BITS | link_b.astype(np.int64)) << INDEX_BITS | np.int64(len(self.docs) - 1))
         self.n_links += len(link_a)
 
     def full(self) -> bool:
@@ -251,13 +253,14 @@ class Chunk:
         if not self.n_links:
             return
         pairs = np.sort(np.concatenate(self.pairs))
-        docs, pairs = pairs.astype(np.uint8), pairs >> np.int64(8)
+        docs, pairs = (pairs & (1 << INDEX_BITS) - 1).astype("<u2"), pairs >> INDEX_BITS
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        bounds = np.r_[first, len(pairs)].astype(np.int32)
+        bounds = (np.r_[first, len(pairs)] * docs.itemsize).astype(np.int32)
+        pairs = pairs[first]
         links = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(docs.tobytes())])
         n = len(first)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.number, np.int64)), *(pa.nulls(n, f.type) for f in list(OUT)[1:8]),
-                                          pa.array(pairs[first]), links], schema=OUT)
+                                          pa.array(pairs >> ID_BITS << 32 | pairs & (1 << ID_BITS) - 1), links], schema=OUT)
 
 
 def _aligned(batches: Iterable[pa.RecordBatch], paths: tuple[str | None, str | None, str | None]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +286,8 @@ def _summed(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     best, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(pairs):
         held = pairs["links"].to_pylist()
-        at = np.frombuffer(b"".join(held), np.uint8)
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        at = np.frombuffer(b"".join(held), "<u2")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // at.itemsize
         np.add.at(total, at, np.repeat(pairs["n"].to_numpy(), sizes))
         np.add.at(best, at, np.repeat(pairs["n"].to_numpy() == pairs["top"].to_numpy(), sizes).astype(np.int64))
     columns = {"n_best": pa.array(best[idx]), "count_sum": pa.array(total[idx])}
@@ -302,7 +305,7 @@ def align_tokenizers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     paths = (byte_bpe, byte_ranks, pieces)
     both = written(texts(docs, doc_id, text).mapInArrow(lambda b: _aligned(b, paths), OUT_SQL), "align-chunks")
     held = both.filter("pair is not null").select("chunk", "pair", "links")
-    counts = written(held.groupBy("pair").agg(F.sum(F.octet_length("links")).cast("long").alias("n")), "align-counts")
+    counts = written(held.groupBy("pair").agg(F.shiftright(F.sum(F.octet_length("links")), 1).cast("long").alias("n")), "align-counts")
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     counts = counts.withColumn("b_id", b_id)
     # a B id has at most one pair for each entry of the other vocabulary
