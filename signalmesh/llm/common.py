@@ -7,6 +7,7 @@ empty unless an operator says otherwise.
 
 from __future__ import annotations
 
+import gc
 import shutil
 import string
 import tempfile
@@ -106,6 +107,20 @@ def flushed(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, weigh=
         yield _batch(part, schema)
 
 
+def given_back(batches: Iterable[pa.RecordBatch], *caches: dict) -> Iterator[pa.RecordBatch]:
+    """A task's batches; when it ends, the worker's caches are emptied and free memory returned.
+
+    A Python worker serves the tasks of many stages: what one of them keeps counts in all later ones.
+    """
+    try:
+        yield from batches
+    finally:
+        for cache in caches:
+            cache.clear()
+        gc.collect()  # also the caches of models that hold each other
+        pa.default_memory_pool().release_unused()
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmesh.llm.common import RID, documents, flushed, identified, keep_rows, numbered, table, written
+from signalmesh.llm.common import RID, documents, flushed, given_back, identified, keep_rows, numbered, table, written
 
 WORDS, PERCENT = 5, 75
 HASHES, CHUNK, GUARANTEED, RADIUS = 96, 6, 31, 46
@@ -110,12 +110,12 @@ def _sign(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             else:
                 yield rid, doc_id, 0, None, None
 
-    yield from flushed(rows(), SIGNATURES)
+    yield from given_back(flushed(rows(), SIGNATURES), _word_hashes())
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    yield from flushed(((node, shingle_set(text, words).astype("<u8").tobytes()) for node, text in documents(batches, "node", "text")),
-                       SETS, weigh=lambda r: len(r[1]))
+    sets = ((node, shingle_set(text, words).astype("<u8").tobytes()) for node, text in documents(batches, "node", "text"))
+    yield from given_back(flushed(sets, SETS, weigh=lambda r: len(r[1])), _word_hashes())
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
