@@ -117,10 +117,9 @@ def selected_posts(posts: DataFrame, p: Params) -> DataFrame:
     top = top_voted_posts(posts, p)
     first_by_vote = Window.partitionBy("portal", "id").orderBy("vote_rank")
     top = top.withColumn("__r", F.row_number().over(first_by_vote)).filter(F.col("__r") == 1).drop("__r")
-    # Bounded by top_voted_limit x portals: safe to broadcast.
-    top_keys = F.broadcast(top.select("portal", "id"))
-    taken = recent.select("portal", "id").join(top_keys, ["portal", "id"], "left_semi")
-    top_only = top.join(F.broadcast(taken), ["portal", "id"], "left_anti")
+    # at most top_voted_limit keys a portal; how many portals there are is the data's, so adaptive execution chooses the joins
+    taken = recent.select("portal", "id").join(top.select("portal", "id"), ["portal", "id"], "left_semi")
+    top_only = top.join(taken, ["portal", "id"], "left_anti")
     recent = recent.select(*posts.columns, F.lit(0).alias("grp"), F.col("feed_seq").alias("k1"),
                            F.lit(0).cast("bigint").alias("k2"))
     top_only = top_only.select(*posts.columns, F.lit(1).alias("grp"),

@@ -25,7 +25,7 @@ from signalmesh.operators import quotes as qt
 from signalmesh.operators import selection as sel
 from signalmesh.operators import themes as th
 from signalmesh.params import Params
-from signalmesh.session import materialize
+from signalmesh.session import discard, materialize
 from signalmesh.sources import fixtures
 from signalmesh.sources.landed import Landed
 
@@ -118,8 +118,9 @@ class Analysis:
         return qt.theme_titles(self.points)
 
     def unpersist(self) -> None:
-        self.signals.unpersist()
-
+        """Delete the tables written for this analysis; its frames cannot be read afterwards."""
+        for df in (self.signals, self.scores, *(self._small or {}).values(), *(self._emerging or ())):
+            discard(df)
 
 
 def analyze(feeds: Feeds, cfg: ThemesConfig, p: Params, persist: bool = True) -> Analysis:

@@ -40,9 +40,16 @@ PLAN_DOCUMENT = ("priorities array<struct<rank:bigint, theme:string, theme_id:st
 _CACHE: dict = {}
 
 
+def files_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Sizes and times of the tables' files as one number each: a scan without columns."""
+    file = F.struct(*[f"_metadata.{c}" for c in ("file_path", "file_size", "file_modification_time")])
+    frames = [fx.table(spark, sf_dir, n).select(F.xxhash64(file).alias("h")).distinct().agg(F.bit_xor("h"), F.count("*")) for n in names]
+    return tuple(tuple(df.first()) for df in frames)
+
+
 def analysis(spark: SparkSession, sf_dir: str, **kw) -> an.Analysis:
-    """One persisted analysis per (session, tables, parameters)."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(kw.items())))
+    """One written analysis per (session, tables as they are now, parameters)."""
+    key = (spark.sparkContext.applicationId, sf_dir, files_state(spark, sf_dir, "documents", "conversations"), tuple(sorted(kw.items())))
     if key not in _CACHE:
         p = Params(**{k: v for k, v in kw.items() if k != "cfg"})
         _CACHE[key] = an.analyze(an.fixture_feeds(spark, sf_dir), kw.get("cfg", FIXTURE_THEMES), p)

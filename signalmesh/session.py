@@ -55,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="signalmesh-ckpt-")
     sc.setCheckpointDir(local_dir)
@@ -76,6 +76,20 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def discard(df) -> None:
+    """Delete the tables of :func:`materialize` that ``df`` reads; other files it reads are left alone.
+
+    ``df`` and what was made of it cannot be read afterwards.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    own = path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables").toUri().getPath()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = path(folder)
+        if at.getParent().toUri().getPath() == own:
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def attach_row(df, one_row):
     """Attach the columns of a single-row frame to every row of ``df``.
 
