@@ -23,7 +23,7 @@ from signalmesh.llm.packing import harmonic_pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language the model tells; rejected: no letters at all, or no language with half of the words."""
+    """Texts whose language the model tells; rejected: no letters at all, or no language with a score of ``lang_id.AT_LEAST``."""
     return keep_identified(docs)
 
 
