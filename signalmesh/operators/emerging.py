@@ -18,16 +18,17 @@ greedy-MIS argument of Blelloch, Fineman and Shun, SPAA 2012):
 
 Every round the globally smallest undecided n-gram is decided, and an
 accepted n-gram shares no live signal with any smaller undecided one, so the
-result equals the sequential walk.  Rounds are chained a few at a time; the
-state after each group is written to the reliable checkpoint folder and read
-back, so lineage stays a few rounds deep and a lost executor recomputes at
-most one group.
+result equals the sequential walk.  Signals and n-grams are first numbered in
+their order, so that a posting is two numbers and ranks compare as numbers.
+A round is one job of three exchanges; it writes the postings it accepts beside
+those still undecided.  The former are final and never read by a later round,
+rejected ones and those of claimed signals are not written again, so what a
+round reads and writes falls from round to round.
 """
 
 from __future__ import annotations
 
 import logging
-import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 from signalmesh.config import ThemesConfig
 from signalmesh.functions.text import ngrams, tokens
 from signalmesh.operators.normalize import with_text
-from signalmesh.session import ensure_checkpoint_dir, materialize
+from signalmesh.session import discard, materialize, remove, tables_folder
 
 log = logging.getLogger(__name__)
 
-UNDECIDED, ACCEPTED, REJECTED, FINAL = 0, 1, -1, 2
+UNDECIDED, ACCEPTED, REJECTED = 0, 1, -1
 
 
 def _keyed(unmatched: DataFrame) -> DataFrame:
@@ -86,79 +87,85 @@ def ranked(kept: DataFrame) -> DataFrame:
     return g.withColumn("rk", F.struct((-F.col("df")).alias("neg_df"), F.col("first_seen").alias("first_seen")))
 
 
-def _round_table(spark, base: str, rnd: int, df: DataFrame) -> DataFrame:
-    """Write a round's state to the shared checkpoint folder and read it back."""
-    path = f"{base}/round-{rnd:05d}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _undecided(state: DataFrame) -> DataFrame:
+    """The undecided postings of unclaimed signals, each with its signal's smallest rank ``m``."""
+    by_signal = Window.partitionBy("ord")
+    return (state.withColumn("claimed", F.max(F.col("st") == ACCEPTED).over(by_signal))
+            .withColumn("m", F.min(F.when(F.col("st") == UNDECIDED, F.col("rk"))).over(by_signal))
+            .filter((F.col("st") == UNDECIDED) & ~F.col("claimed")))
 
 
 def claim_round(state: DataFrame, min_frequency: int) -> DataFrame:
-    """One round on ``(ngram, rk, ord, st, cnt)``; returns the next state.
+    """One round on ``(rk, ord, st, cnt)``: the postings it accepts and those it leaves undecided.
 
-    Rows accepted in the previous round claim their signals and then become
-    FINAL; FINAL rows (at most one per signal -- a signal is claimed once) are
-    carried along unchanged, so the latest state holds the whole result.
+    ``state`` is the last round's result; the postings accepted there claim their signals here.
     """
-    final = state.filter(F.col("st").isin(ACCEPTED, FINAL)).withColumn("st", F.lit(FINAL))
-    by_signal = Window.partitionBy("ord")
-    s = (state.filter(F.col("st") != FINAL)
-         .withColumn("claimed", F.max(F.col("st") == ACCEPTED).over(by_signal))
-         .withColumn("m", F.min(F.when(F.col("st") == UNDECIDED, F.col("rk"))).over(by_signal))
-         .filter((F.col("st") == UNDECIDED) & ~F.col("claimed")))
-    decision = s.groupBy("ngram").agg(
+    s = _undecided(state)
+    decision = s.groupBy("rk").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min((F.col("rk") == F.col("m")).cast("int")).alias("ok"),
     ).select(
-        "ngram", "cnt",
+        "rk", "cnt",
         F.when(F.col("cnt") < F.lit(min_frequency), F.lit(REJECTED))
         .when(F.col("ok") == 1, F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)).alias("st"),
     ).filter(F.col("st") != REJECTED)
-    nxt = s.select("ngram", "rk", "ord").join(decision, "ngram").select("ngram", "rk", "ord", "st", "cnt")
-    return nxt.unionByName(final)
+    return s.select("rk", "ord").join(decision, "rk").select("rk", "ord", "cnt", "st")
 
 
-def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000,
-                 rounds_per_write: int = 3) -> DataFrame:
-    """A9 core on postings ``(ngram, rk, ord)`` -> accepted ``(ngram, rk, ord, cnt)``.
+def greedy_claim(postings: DataFrame, min_frequency: int, max_rounds: int = 100_000) -> DataFrame:
+    """A9 core on postings ``(rk, ord)`` (an n-gram's rank, a signal) -> accepted ``(rk, ord, cnt)``.
 
-    Rounds are chained ``rounds_per_write`` at a time into one job whose final
-    state is written to the reliable checkpoint folder and read back: lineage
-    never spans more than that many rounds, and an executor loss recomputes
-    at most those.  The undecided count rides along the write as an observed
-    metric, so termination costs no extra job.
+    A round's table has a folder of accepted postings, which are part of the
+    result, and one of undecided ones, deleted once the next round is written.
+    The undecided count rides along the write as an observed metric, so
+    termination costs no extra job.
     """
     spark = postings.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/emerging-{uuid.uuid4().hex}"
-    state = _round_table(spark, base, 0, postings.select(
-        "ngram", "rk", "ord", F.lit(UNDECIDED).alias("st"), F.lit(0).cast("bigint").alias("cnt")))
-    rnd = 0
-    while rnd < max_rounds:
-        t_group = time.perf_counter()
-        for _ in range(rounds_per_write):
-            state = claim_round(state, min_frequency)
-            rnd += 1
-        obs = Observation(f"emerging-{uuid.uuid4().hex[:12]}-{rnd}")
-        state = _round_table(spark, base, rnd, state.observe(
-            obs, F.count(F.when(F.col("st") == UNDECIDED, 1)).alias("undecided")))
+    base = f"{tables_folder(spark)}/claims-{uuid.uuid4().hex}"
+    state = postings.select("rk", "ord", F.lit(0).cast("bigint").alias("cnt"), F.lit(UNDECIDED).alias("st"))
+    schema, rounds = state.schema, []
+    while len(rounds) < max_rounds:
+        obs, path = Observation(f"claims-{uuid.uuid4().hex}"), f"{base}/round={len(rounds)}"
+        (claim_round(state, min_frequency).observe(obs, F.count(F.when(F.col("st") == UNDECIDED, 1)).alias("undecided"))
+         .write.partitionBy("st").parquet(path))
+        if rounds:
+            remove(spark, f"{rounds[-1]}/st={UNDECIDED}")
+        rounds.append(path)
         undecided = obs.get["undecided"]
-        log.debug("emerging rounds ..%d: %d undecided postings, %.2fs", rnd, undecided, time.perf_counter() - t_group)
+        log.debug("round %d: %d undecided postings", len(rounds), undecided)
         if undecided == 0:
-            log.info("emerging themes decided within %d rounds", rnd)
-            break
-    else:
-        raise RuntimeError("emerging-theme rounds did not converge")
-    return state.filter(F.col("st").isin(ACCEPTED, FINAL)).select("ngram", "rk", "ord", "cnt")
+            return spark.read.schema(schema).parquet(base).filter(F.col("st") == ACCEPTED).select("rk", "ord", "cnt")
+        state = spark.read.schema(schema).parquet(path)
+    raise RuntimeError("emerging-theme rounds did not converge")
+
+
+def _in_order(df: DataFrame, number: str, *order) -> DataFrame:
+    """The rows of a written table written in their order, with a number that rises with it: a range sort, no single task."""
+    out = materialize(df.orderBy(*order).withColumn(number, F.monotonically_increasing_id()), number)
+    discard(df)
+    return out
 
 
 def emerging_themes(unmatched: DataFrame, cfg: ThemesConfig) -> tuple[DataFrame, DataFrame]:
     """``emerging(ngram, frequency, rk)`` and ``emerging_points(ngram, rk,
     id, source, title, ord)``; order both by ``rk`` (claim order) and ``ord``."""
     minf = cfg.emerging_theme_min_frequency
-    kept = materialize(frequent(ngram_occurrences(unmatched, cfg.stop_words), minf), "ngram-kept")
-    stats = materialize(ranked(kept).select("ngram", "rk"), "ngram-rank")
-    won = greedy_claim(kept.select("ngram", "ord").join(stats, "ngram"), minf)
-    emerging = won.groupBy("ngram", "rk").agg(F.max("cnt").cast("bigint").alias("frequency"))
-    pts = won.select("ngram", "rk", "ord").distinct().join(_keyed(unmatched).select("ord", "id", "source", "title"), "ord")
-    return emerging, pts.withColumn("ord", F.col("ord").dropFields("h"))
-
+    # tokenized once and written, as the sort samples its input first
+    toks = materialize(_keyed(unmatched).select("ord", "id", "source", "title", tokens(F.col("text"), cfg.stop_words).alias("toks")),
+                       "emerging-tokens")
+    signals = _in_order(toks, "signal", "ord")
+    occ = signals.select("signal", F.posexplode(F.array_distinct(ngrams(F.col("toks")))).alias("pos", "ngram"))
+    counted = materialize(
+        occ.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.min("signal").alias("first"), F.min_by("pos", "signal").alias("pos"))
+        .filter(F.col("df") >= F.lit(minf)), "ngram-df")
+    names = _in_order(counted, "rank", F.desc("df"), "first", "pos")
+    won = greedy_claim(occ.join(names.select("ngram", "rank"), "ngram").select(F.col("rank").alias("rk"), F.col("signal").alias("ord")), minf)
+    first = signals.select(F.col("signal").alias("first"), F.struct("ord").alias("seen"))
+    seen = F.struct(F.col("seen.ord").alias("ord"), F.col("pos").alias("pos"))
+    key = F.struct((-F.col("df")).alias("neg_df"), seen.alias("first_seen")).alias("rk")
+    taken = won.groupBy(F.col("rk").alias("rank")).agg(F.max("cnt").cast("bigint").alias("frequency"))
+    named = materialize(names.join(taken, "rank").join(first, "first").select("rank", "ngram", "frequency", key), "emerging-names")
+    discard(names)
+    pts = (won.select(F.col("rk").alias("rank"), F.col("ord").alias("signal")).join(named.select("rank", "ngram", "rk"), "rank")
+           .join(signals.select("signal", "id", "source", "title", F.col("ord").dropFields("h").alias("ord")), "signal"))
+    return named.select("ngram", "rk", "frequency"), pts.select("ngram", "rk", "ord", "id", "source", "title")

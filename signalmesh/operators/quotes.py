@@ -18,43 +18,29 @@ MAX_TITLES = 50
 NO_QUOTE = "No direct customer quote available"
 
 
-def quote_lookup(signals: DataFrame) -> DataFrame:
-    """J3 lookup side: per prefixed id the quote of the *last* record (by ord)."""
-    last = signals.groupBy("id").agg(F.max_by(F.struct(*QUOTE_INPUTS), "ord").alias("r"))
-    return last.select("id", F.col("r.*")).select("id", signal_quote().alias("quote"))
+def with_quote(signals: DataFrame) -> DataFrame:
+    """Signals with their ready ``quote`` (X17), so that later joins carry no text but it."""
+    return signals if "quote" in signals.columns else signals.withColumn("quote", signal_quote())
 
 
-QUOTE_INPUTS = ("source", "title", "body", "msg_dup", "first_comment", "votes")
-PROBE = 8
+def quote_lookup(signals: DataFrame) -> DataFrame:
+    """J3 lookup side: per prefixed id the quote of the *last* record (by ord)."""
+    q = with_quote(signals).select("id", "ord", F.struct("quote").alias("q"))
+    return q.groupBy("id").agg(F.max_by("q", "ord").alias("q")).select("id", F.col("q.quote").alias("quote"))
 
 
-def theme_quotes(points: DataFrame, signals: DataFrame, key: str = "theme_idx", k: int = MAX_QUOTES,
-                 probe: int = PROBE) -> DataFrame:
+def theme_quotes(points: DataFrame, signals: DataFrame, key: str = "theme_idx", k: int = MAX_QUOTES) -> DataFrame:
     """First ``k`` usable quotes per theme in point order -> ``(key, quote_rank, quote)``.
 
-    Quotes (an agent-pattern scan of whole texts) are evaluated lazily: first
-    for the ``probe`` earliest points of every theme (a per-theme top-k, so at
-    most themes x probe rows); only a theme that finds fewer than ``k`` usable
-    quotes there *and* has more points falls back to all of its points.  The
-    first ``k`` usable quotes are the same either way.  Themes with none get
-    the sentinel.
+    Ids, places and quotes of at most 200 characters are all that is joined;
+    themes without a usable quote get the sentinel.
     """
     w = Window.partitionBy(key).orderBy("ord")
-    first = points.select(key, "id", "ord").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= probe)
-    # bounded by themes x probe rows: safe to broadcast
-    probe_ids = F.broadcast(first.select("id").distinct())
-    probed = first.join(quote_lookup(signals.join(probe_ids, "id", "left_semi")), "id")
-    per_theme = probed.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
-                                        F.count("quote").alias("got"))
-    # short: fewer than k usable among a *full* probe -> the theme may hold more
-    short = F.broadcast(per_theme.filter((F.col("got") < k) & (F.col("n") >= probe)).select(key))
-    rest_pts = points.select(key, "id", "ord").join(short, key, "left_semi")
-    rest = rest_pts.join(quote_lookup(signals.join(rest_pts.select("id").distinct(), "id", "left_semi")), "id")
-    cands = (probed.join(short, key, "left_anti").select(key, "ord", "quote")
-             .unionByName(rest.select(key, "ord", "quote"))).filter(F.col("quote").isNotNull())
-    got = (cands.withColumn("quote_rank", F.row_number().over(w)).filter(F.col("quote_rank") <= k)
+    usable = quote_lookup(signals).filter(F.col("quote").isNotNull())
+    got = (points.select(key, "id", "ord").join(usable, "id").select(key, "ord", "quote")
+           .withColumn("quote_rank", F.row_number().over(w)).filter(F.col("quote_rank") <= k)
            .select(key, F.col("quote_rank").cast("bigint"), "quote"))
-    missing = per_theme.select(key).join(got.select(key).distinct(), key, "left_anti").select(
+    missing = points.select(key).distinct().join(got.select(key).distinct(), key, "left_anti").select(
         key, F.lit(1).cast("bigint").alias("quote_rank"), F.lit(NO_QUOTE).alias("quote"))
     return got.unionByName(missing)
 

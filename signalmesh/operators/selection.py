@@ -5,9 +5,9 @@ Scale notes
 * W2 (top-N per portal) is ``row_number <= N``; Catalyst plans it with a
   ``WindowGroupLimit`` before the shuffle, so each map task ships at most N
   rows per portal even when one portal holds most posts.
-* W3 broadcasts only the top-voted set, whose size is bounded by
-  ``top_voted_limit`` (<= 200) x number of portals; the recent set is never
-  broadcast.
+* W3 is one scan and two windows: a post is a candidate as a recent one, as a
+  top-voted one or as both, and one ``row_number <= N`` bounds both kinds ahead
+  of the shuffle.  Nothing is joined.
 """
 
 from __future__ import annotations
@@ -110,22 +110,17 @@ def selected_posts(posts: DataFrame, p: Params) -> DataFrame:
     Adds the ordering columns ``grp, k1, k2`` used by :func:`request_ord`.
     """
     posts = filter_portal(posts, p)
-    recent = recent_posts(posts, p)
-    first_in_feed = Window.partitionBy("portal", "id").orderBy("feed_seq")
-    recent = (recent.withColumn("__r", F.row_number().over(first_in_feed)).filter(F.col("__r") == 1)
-              .drop("__r"))
-    top = top_voted_posts(posts, p)
-    first_by_vote = Window.partitionBy("portal", "id").orderBy("vote_rank")
-    top = top.withColumn("__r", F.row_number().over(first_by_vote)).filter(F.col("__r") == 1).drop("__r")
-    # at most top_voted_limit keys a portal; how many portals there are is the data's, so adaptive execution chooses the joins
-    taken = recent.select("portal", "id").join(top.select("portal", "id"), ["portal", "id"], "left_semi")
-    top_only = top.join(taken, ["portal", "id"], "left_anti")
-    recent = recent.select(*posts.columns, F.lit(0).alias("grp"), F.col("feed_seq").alias("k1"),
-                           F.lit(0).cast("bigint").alias("k2"))
-    top_only = top_only.select(*posts.columns, F.lit(1).alias("grp"),
-                               (-F.coalesce(F.col("votes_count"), F.lit(0))).cast("bigint").alias("k1"),
-                               F.col("feed_seq").cast("bigint").alias("k2"))
-    return recent.unionByName(top_only)
+    votes = F.coalesce(F.col("votes_count"), F.lit(0)).cast("bigint")
+    seq = F.col("feed_seq").cast("bigint")
+    grp = F.col("grp")
+    recent = F.coalesce(_created(posts) >= window_start(p), F.lit(False))
+    cands = (posts.withColumn("grp", F.explode(F.when(recent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+             .withColumn("k1", F.when(grp == 0, seq).otherwise(-votes)).withColumn("k2", F.when(grp == 0, F.lit(0).cast("bigint")).otherwise(seq)))
+    # recent posts compete within their id (the first stays), top-voted ones within their portal (N stay)
+    best = Window.partitionBy("portal", "grp", F.when(grp == 0, F.col("id"))).orderBy("k1", "k2")
+    cands = cands.withColumn("__r", F.row_number().over(best)).filter((F.col("__r") <= p.top_voted_limit) & ((grp == 1) | (F.col("__r") == 1)))
+    first = Window.partitionBy("portal", "id").orderBy("grp", "k1", "k2")
+    return cands.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") == 1).drop("__r")
 
 
 def attach_comment_list(posts: DataFrame, comments: DataFrame) -> DataFrame:

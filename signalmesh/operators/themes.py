@@ -72,9 +72,15 @@ def theme_points(tagged: DataFrame) -> DataFrame:
 
 def unmatched_signals(tagged: DataFrame) -> DataFrame:
     """Signals whose id matched no theme -- by id, not by row: a row with no
-    hit still counts as matched when another row with its id hit."""
-    hit_ids = tagged.filter(F.size("theme_idxs") > 0).select("id").distinct()
-    return tagged.filter(F.size("theme_idxs") == 0).join(hit_ids, "id", "left_anti")
+    hit still counts as matched when another row with its id hit.
+
+    Only ids that have rows of both kinds need the anti join (an aggregate of ids
+    and flags finds them); of an ordinary feed these are none or few.
+    """
+    hit = F.size("theme_idxs") > 0
+    both = (tagged.select("id", hit.alias("hit")).groupBy("id").agg(F.max("hit").alias("any"), F.min("hit").alias("all"))
+            .filter(F.col("any") & ~F.col("all")).select("id"))
+    return tagged.filter(~hit).join(both, "id", "left_anti")
 
 
 def theme_aggregates(points: DataFrame, p: Params) -> DataFrame:

@@ -97,6 +97,8 @@ class Analysis:
         if self._emerging is None:
             e, pts = em.emerging_themes(self.unmatched, self.cfg)
             self._emerging = (materialize(e, "emerging"), materialize(pts, "emerging_points"))
+            for made in (e, pts):  # the rounds' tables; the results are tables of their own
+                discard(made)
         return self._emerging
 
     def summary(self) -> DataFrame:
@@ -129,7 +131,7 @@ def analyze(feeds: Feeds, cfg: ThemesConfig, p: Params, persist: bool = True) ->
     requests = clean_requests(feeds, p)
     # J1 predicates are evaluated once, while the signals are built and cached;
     # every consumer (A1, J2, J3, W4, W5, A8) reads the cached table.
-    signals = th.tag_signals(nz.all_signals(nz.ticket_signals(tickets), nz.request_signals(requests)), cfg)
+    signals = qt.with_quote(th.tag_signals(nz.all_signals(nz.ticket_signals(tickets), nz.request_signals(requests)), cfg))
     if persist:
         # written once to the reliable checkpoint folder: downstream plans are
         # shallow file scans and an executor loss never re-runs the redaction

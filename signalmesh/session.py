@@ -62,6 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local_dir
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where written tables lie, in the reliable checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
+
+
 def materialize(df, name: str):
     """Write ``df`` under the reliable checkpoint folder and read it back.
 
@@ -71,23 +76,28 @@ def materialize(df, name: str):
     import uuid
 
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a job has written and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df) -> None:
-    """Delete the tables of :func:`materialize` that ``df`` reads; other files it reads are left alone.
+    """Delete the written tables that ``df`` reads (those in :func:`tables_folder`); other files it reads are left alone.
 
     ``df`` and what was made of it cannot be read afterwards.
     """
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
-    own = path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables").toUri().getPath()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = path(folder)
-        if at.getParent().toUri().getPath() == own:
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    own = path(tables_folder(spark)).toUri().getPath() + "/"
+    files = [path(f).toUri().getPath() for f in df.inputFiles()]
+    for name in {f[len(own):].split("/")[0] for f in files if f.startswith(own)}:
+        remove(spark, f"{tables_folder(spark)}/{name}")
 
 
 def attach_row(df, one_row):
