@@ -13,17 +13,20 @@ deviations above the average.
 
 Texts with equal shingle sets are first merged to one class (grouping by a
 128-bit digest of the set), which copies of any number cannot overload.  Keys
-with one class are dropped.  Under the others, not all pairs are compared: in a
-round a few classes of a key (its hubs, the smallest of each of ``h`` salts) meet
-the others, pairs whose signatures are within the radius are confirmed on their
-full shingle sets, and classes connected so far get a common label (components
-of the few labels that the round's links join).  Pairs that have one label need no test, so a key of thousands of near copies is done
-after its first hub; hubs leave their keys, keys whose classes have one label
-leave the index, and ``h`` grows 32-fold a round until no key is left.  Links
-that are skipped so lie within one component; no component is lost.
+with one class are dropped.  Under the others, not all pairs become rows.  First
+the smallest class of a key (its hub) meets the others: pairs whose signatures
+are within the radius are confirmed on their full shingle sets, and classes
+connected so far get a common label.  Pairs that have one label need no test, so
+a key of thousands of near copies is done after its hub.  Classes of keys that
+still hold several labels are then compared in tiles: their full sets meet in
+blocks bounded by rows and bytes, a pair of blocks a task, which counts common
+shingles by matrix products and returns a spanning forest of the links it finds.
+Where keys overlap so much that their pairs outnumber those of all their classes
+together, the classes are compared as one group and no pair twice.  Links that
+are left out so lie within one component; no component is lost.
 
 Components come from alternating large-star and small-star steps.
-Every round's tables are written to the shared checkpoint folder.
+Each step's tables are written to the shared checkpoint folder.
 
 Defined results: null, empty and blank texts have no shingles and are alone;
 texts with fewer than five words are one shingle; rows repeating a doc_id are
@@ -50,8 +53,10 @@ HASHES, CHUNK, GUARANTEED, RADIUS = 96, 6, 31, 46
 CACHED = 400_000
 #: Shingles hashed together.
 BLOCK = 4096
-#: Hubs a key has in its first round, and the growth of that number.
-HUBS, GROWTH = 1, 32
+#: A block's classes and bytes of shingles on average (a memory bound only: a group has as many blocks as it needs).
+TILE_ROWS, TILE_BYTES = 1000, 4 << 20
+#: Shingles of at least this many of a tile's sets are counted by matrix products, that many columns at once.
+DENSE, COLUMNS = 16, 1024
 
 SIGNATURES = pa.schema([(RID, pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -203,34 +208,119 @@ def _tested(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return written(near.join(full("a"), "a").join(full("b"), "b").mapInArrow(lambda b: _confirmed(b, percent), "a long, b long"), "near-links")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share (a square matrix; sets are sorted and have no repeats)."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    degree = np.diff(np.r_[starts, len(values)])
+    common = np.zeros((n, n), np.float32)
+    for d in range(2, DENSE):
+        members = owner[starts[degree == d][:, None] + np.arange(d)]
+        for x in range(d):
+            for y in range(x + 1, d):
+                common += np.bincount(members[:, x] * n + members[:, y], minlength=n * n).reshape(n, n) if len(members) else 0
+    common += common.T
+    many = np.flatnonzero(degree >= DENSE)
+    for at in range(0, len(many), COLUMNS):
+        part = many[at: at + COLUMNS]
+        hold = np.zeros((n, len(part)), np.float32)
+        rows = np.concatenate([owner[starts[c]: starts[c] + degree[c]] for c in part])
+        hold[rows, np.repeat(np.arange(len(part)), degree[part])] = 1
+        common += hold @ hold.T
+    return common
+
+
+def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a graph given by its square matrix."""
+    seen = np.zeros(len(linked), bool)
+    for root in range(len(linked)):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(linked[at] & ~seen)
+            seen[new] = True
+            todo.extend(new.tolist())
+            yield from ((at, x) for x in new.tolist())
+
+
+def _tile(t: pa.Table, percent: int) -> pa.Table:
+    """Labels that a tile's links join: all pairs of one block, or those across two."""
+    label, block = t["label"].to_numpy(), t["block"].to_numpy()
+    a, b = [], []
+    if (label != label[0]).any():
+        sets = [np.frombuffer(x, "<u8") for x in t["shingles"].to_pylist()]
+        size, common = np.array([len(x) for x in sets], np.int64), common_counts(sets).astype(np.int64)
+        linked = 100 * common >= percent * (size[:, None] + size - common)
+        linked &= label[:, None] != label
+        if t["i"][0] != t["j"][0]:
+            linked &= block[:, None] != block
+        edges = list(forest(linked))
+        a, b = [label[x] for x, _ in edges], [label[y] for _, y in edges]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _groups(active: DataFrame, classes: DataFrame) -> DataFrame:
+    """``group, node``: sets of classes to be compared among themselves, so that all that share a key are.
+
+    Groups are keys, or all classes that a chain of keys connects where that makes fewer pairs.
+    """
+    hub = active.groupBy("key").agg(F.min("node").alias("hub"))
+    chained = components(active.join(hub, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    of = written(active.select("key", "node").join(chained.withColumnRenamed("component", "chain"), "node"), "near-chains")
+    pairs = lambda df: df.agg(F.count("*").cast("double").alias("n")).withColumn("pairs", F.col("n") * F.col("n"))
+    by_key = pairs(of.groupBy("chain", "key")).groupBy("chain").agg(F.sum("pairs").alias("by_key"))
+    whole = pairs(of.select("chain", "node").distinct().groupBy("chain")).join(by_key, "chain").filter("pairs <= by_key").select("chain")
+    one = of.join(whole, "chain", "left_semi").select(F.lit(0).alias("kind"), F.col("chain").alias("group"), "node").distinct()
+    many = of.join(whole, "chain", "left_anti").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node")
+    return written(one.unionByName(many).join(classes.select("node", "n"), "node"), "near-groups")
+
+
+def _tiled(active: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
+           most_rows: int = TILE_ROWS, most_bytes: int = TILE_BYTES) -> DataFrame:
+    """``a, b``: labels joined by links between classes of one key (a spanning forest of a tile's)."""
+    groups = _groups(active, classes)
+    blocks = groups.groupBy("kind", "group").agg(F.greatest(
+        F.ceil(F.count("*") / most_rows), F.ceil(F.sum(F.col("n") * 8) / most_bytes)).cast("int").alias("blocks"))
+    placed = (groups.join(blocks, ["kind", "group"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("kind", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node"))
+    full = placed.join(labels, "node").join(sets, "node").drop("node")
+    tile, parts = ["kind", "group", "i", "j"], int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(parts, *tile).groupBy(*tile).applyInArrow(lambda t: _tile(t, percent), "a long, b long")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labels after ``links`` between them, and the changed ones with what they became."""
+    moved = written(components(links).select(F.col("node").alias("label"), "component"), "near-moved")
+    return written(_relabelled(labels, moved), "near-labels"), moved
+
+
+def _relabelled(df: DataFrame, moved: DataFrame) -> DataFrame:
+    return df.join(moved, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
 def _labels(classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``node, label``: the component of every class that shares a key with another (its smallest node)."""
     index = classes.select("node", "signature").mapInArrow(_index, "key long, node long")
     shared = written(index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                     .filter("low < high").select("key"), "near-keys")
-    active = written(index.join(shared, "key").withColumn("label", F.col("node")), "near-index")
-    labels = written(active.select("node", "label").distinct(), "near-labels")
+                     .filter("low < high").select("key", F.col("low").alias("hub")), "near-keys")
+    active = written(index.join(shared, "key"), "near-index")
+    labels = written(active.select("node", F.col("node").alias("label")).distinct(), "near-labels")
     sets = written(rows.join(labels.select(F.col("node").alias(RID)), RID, "left_semi").select(F.col(RID).alias("node"), "text")
                    .mapInArrow(lambda b: _set_rows(b, words), "node long, shingles binary"), "near-sets")
-    hubs = HUBS
-    while not active.isEmpty():
-        salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        hub = written(active.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "label")).alias("hub"))
-                      .select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "near-hubs")
-        pairs = written(active.join(hub, "key").filter("label <> hub_label")
-                        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "near-candidates")
-        new = _tested(pairs, classes, sets, percent)
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-        joined = new.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-        moved = written(components(joined).select(F.col("node").alias("label"), "component"), "near-moved")
-        relabel = lambda df: (df.join(moved, "label", "left").withColumn("label", F.coalesce("component", "label"))
-                              .drop("component"))
-        labels = written(relabel(labels), "near-labels")
-        left = written(relabel(active.join(hub.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"))
-                       .select("key", "node", "label"), "near-index")
-        open_ = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        active = written(left.join(open_, "key"), "near-index")
-        hubs *= GROWTH
+    pairs = written(active.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
+    # so far every class is its own label
+    labels, moved = _joined(labels, _tested(pairs, classes, sets, percent))
+    left = written(_relabelled(active.filter("node <> hub").select("key", "node", F.col("node").alias("label")), moved), "near-index")
+    open_ = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    left = written(left.join(open_, "key").select("key", "node"), "near-index")
+    if not left.isEmpty():
+        labels, _ = _joined(labels, written(_tiled(left, labels, classes, sets, percent), "near-links"))
     return labels
 
 

@@ -1,10 +1,12 @@
 import random
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 
 import corpus_pipeline
-from signalmesh.llm.near_dedup import GUARANTEED, HASHES, components, drop_near_copies, index_keys, near_groups, op8_minhash_near_dedup
+from signalmesh.llm import near_dedup
+from signalmesh.llm.near_dedup import GUARANTEED, HASHES, common_counts, components, drop_near_copies, forest, index_keys, near_groups, op8_minhash_near_dedup
 from tests.llm.fixtures import SF2, documents, odd_documents
 
 
@@ -96,6 +98,38 @@ def test_chains_and_families_need_several_rounds(spark, tmp_path):
     assert drop_near_copies(docs).count() == len({c for _, _, c, _ in want})
 
 
+def test_family_around_the_limit_in_many_tiles(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [word() for _ in range(200)]
+    rows = []
+    for n in range(150):  # each replaces a few words of one text: similarities on both sides of the limit
+        text = list(base)
+        for at in rng.sample(range(200), rng.choice([3, 5, 6, 7])):
+            text[at] = word()
+        rows.append((n, " ".join(text)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = brute([tuple(r) for r in docs.collect()])
+    assert 1 < len({c for _, _, c, _ in want}) < 150
+    assert got(near_groups(docs)) == want
+    monkeypatch.setattr(near_dedup, "_tiled", partial(near_dedup._tiled, most_rows=20))
+    assert got(near_groups(docs)) == want
+
+
+def test_common_counts_and_forest():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(1, 280), replace=False), rng.integers(0, 1 << 62, 5).astype(np.uint64)]) for _ in range(60)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    apart = ~np.eye(len(sets), dtype=bool)
+    assert (common_counts(sets)[apart] == want[apart]).all()
+    linked = np.zeros((6, 6), bool)
+    for x, y in ((0, 3), (3, 5), (0, 5), (1, 2)):
+        linked[x, y] = linked[y, x] = True
+    assert sorted(map(sorted, forest(linked))) in ([[0, 3], [0, 5], [1, 2]], [[0, 3], [1, 2], [3, 5]])
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, (300, HASHES)).astype("<u2")
