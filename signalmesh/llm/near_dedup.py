@@ -269,14 +269,17 @@ def _groups(active: DataFrame, classes: DataFrame) -> DataFrame:
 
     Groups are keys, or all classes that a chain of keys connects where that makes fewer pairs.
     """
-    hub = active.groupBy("key").agg(F.min("node").alias("hub"))
-    chained = components(active.join(hub, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    of = written(active.select("key", "node").join(chained.withColumnRenamed("component", "chain"), "node"), "near-chains")
-    pairs = lambda df: df.agg(F.count("*").cast("double").alias("n")).withColumn("pairs", F.col("n") * F.col("n"))
-    by_key = pairs(of.groupBy("chain", "key")).groupBy("chain").agg(F.sum("pairs").alias("by_key"))
-    whole = pairs(of.select("chain", "node").distinct().groupBy("chain")).join(by_key, "chain").filter("pairs <= by_key").select("chain")
-    one = of.join(whole, "chain", "left_semi").select(F.lit(0).alias("kind"), F.col("chain").alias("group"), "node").distinct()
-    many = of.join(whole, "chain", "left_anti").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node")
+    keys = written(active.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").cast("double").alias("n")), "near-open")
+    chained = written(components(active.join(keys, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+                      .withColumnRenamed("component", "chain"), "near-chains")
+    # a key's chain is its hub's, so that chains are weighed with a row a key and a row a class
+    chain_of = keys.join(chained.withColumnRenamed("node", "hub"), "hub")
+    by_key = chain_of.groupBy("chain").agg(F.sum(F.col("n") * F.col("n")).alias("by_key"))
+    whole = written(chained.groupBy("chain").agg(F.count("*").cast("double").alias("n")).join(by_key, "chain")
+                    .filter(F.col("n") * F.col("n") <= F.col("by_key")).select("chain"), "near-whole")
+    one = chained.join(whole, "chain", "left_semi").select(F.lit(0).alias("kind"), F.col("chain").alias("group"), "node")
+    apart = chain_of.join(whole, "chain", "left_anti").select("key")
+    many = active.join(apart, "key").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node")
     return written(one.unionByName(many).join(classes.select("node", "n"), "node"), "near-groups")
 
 
