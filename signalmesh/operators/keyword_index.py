@@ -5,23 +5,27 @@ tens of thousands of keywords does not: the plan would grow with it and every te
 tested for every keyword.  Here the catalogue is a table and texts meet it by
 an equi-join on words, so that the plan is the same for any catalogue.
 
-Every keyword hangs on one of its words (runs of ``[A-Za-z0-9_]``), its anchor:
+Every keyword hangs on one of its parts, its anchor; a word is a run of ``[A-Za-z0-9_]``:
 
 * a keyword without a space matches between word boundaries, so each of its words
   is a whole word of the text (``exact``);
-* a keyword with a space is a plain substring, so its inner words are whole
-  words of the text, but the first may be the end (``tail``) and the last the
-  beginning (``head``) of a longer one (``double opt`` is in ``double option``);
+* a keyword with a space is a plain substring.  Where two of its words are parted by
+  one space, the text has that joint too: it hangs on the space and at most
+  ``AROUND`` letters on either side (``joint``), the longest it has.  Without a joint its
+  inner words are whole words of the text, but the first may be the end (``tail``) and the
+  last the beginning (``head``) of a longer one;
 * a keyword without any word hangs on its first character (``sign``).
 
 Exact anchors are preferred, then long ones, which are rare.  A text so offers
-its distinct words, their heads and tails of the lengths that anchors have, and
-the signs; the lengths are as many as the longest anchor has letters at most.  A
-keyword that is its anchor is found by the join alone.  The others are confirmed in place,
-on the texts of the rows that the join left.
-
-The join's sides are left to Spark: a small index is broadcast by its size, a
-large one is joined by sorting, where a word that is in every text can be split.
+its distinct words, their heads and tails of the lengths that anchors have, the
+signs, and its pairs of words with one space between.  A keyword that is its anchor is
+found by the join alone, and one that is a pair of words is confirmed on the pair that
+offered the joint.  The others are confirmed on the texts of the rows that the join left.
+
+A text offers many times its own size and common keywords hit nearly every text, so
+neither is shuffled: the index is dealt into slices of at most about ``SLICE`` keywords, each
+of which is broadcast and met where the texts are read, and a task ships each
+theme of a row once.  One slice is in memory at a time, whatever the catalogue.
 """
 
 from __future__ import annotations
@@ -31,9 +35,14 @@ from pyspark.sql import functions as F
 
 from signalmesh.functions.pii import WORD
 from signalmesh.functions.text import B_LEFT, B_RIGHT
+from signalmesh.session import materialize
 
-EXACT, HEAD, TAIL, SIGN = "=<>?"
+EXACT, HEAD, TAIL, SIGN, JOINT = "=<>?|"
 WORDS = f"[{WORD}]+"
+#: Two words and the space between, from every word of a text.
+PAIRS = rf"(?<![{WORD}])(?=([{WORD}]+ [{WORD}]+))"
+#: Letters of a joint on either side; keywords of a slice, about.
+AROUND, SLICE = 4, 1_000_000
 # Characters with a meaning in a pattern.
 META = r"([.*+?^${}()|\[\]\\\-/])"
 
@@ -42,10 +51,20 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORDS), 0)
 
 
+def _pairs(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(PAIRS), 1))
+
+
+def _joint(pair: Column, before: Column, after: Column) -> Column:
+    """The space of ``pair`` with ``before`` and ``after`` letters around it."""
+    return F.concat(F.lit(JOINT), F.substring(pair, F.instr(pair, " ") - before, before + 1 + after))
+
+
 def keyword_index(keywords: DataFrame, theme: str = "theme_idx", keyword: str = "keyword") -> DataFrame:
-    """``theme, keyword, anchor, whole``: one row per theme and distinct lower-cased keyword; empty ones match nothing.
+    """``theme, keyword, anchor, whole, pair``: one row per theme and distinct lower-cased keyword; empty ones match nothing.
 
-    An anchor is its kind's mark and a word, so that both are one join key.
+    An anchor is its kind's mark and a string, so that both are one join key.
+    ``whole``: the anchor alone tells; ``pair``: the two words that offer it do.
     """
     k = (keywords.select(F.col(theme).alias("theme"), F.lower(F.col(keyword)).alias("keyword")).distinct()
          .filter(F.coalesce(F.length("keyword"), F.lit(0)) > 0).withColumn("words", _words(F.col("keyword"))))
@@ -58,27 +77,37 @@ def keyword_index(keywords: DataFrame, theme: str = "theme_idx", keyword: str =
         kind = F.when(phrase & opens & (i == 0), TAIL).when(phrase & closes & (i == last), HEAD).otherwise(EXACT)
         return F.struct((kind == EXACT).alias("first"), F.length(word).alias("length"), F.concat(kind, word).alias("anchor"))
 
-    best = F.array_max(F.transform("words", anchor))
+    def joint(pair: Column) -> Column:
+        at = F.instr(pair, " ")
+        at = _joint(pair, F.least(at - 1, F.lit(AROUND)), F.least(F.length(pair) - at, F.lit(AROUND)))
+        return F.struct(F.lit(True).alias("first"), F.length(at).alias("length"), at.alias("anchor"))
+
+    best = F.coalesce(F.array_max(F.transform(_pairs(F.col("keyword")), joint)), F.array_max(F.transform("words", anchor)))
     k = k.withColumn("a", F.coalesce(best, F.struct(F.lit(False).alias("first"), F.lit(1).alias("length"),
                                                     F.concat(F.lit(SIGN), F.substring("keyword", 1, 1)).alias("anchor"))))
-    return k.select("theme", "keyword", F.col("a.anchor").alias("anchor"), (F.col("a.anchor") == F.concat(F.lit(EXACT), "keyword")).alias("whole"))
+    return k.select("theme", "keyword", F.col("a.anchor").alias("anchor"), (F.col("a.anchor") == F.concat(F.lit(EXACT), "keyword")).alias("whole"),
+                    F.regexp_like("keyword", F.lit(f"^[{WORD}]+ [{WORD}]+$")).alias("pair"))
 
 
-def _lengths(index: DataFrame) -> dict[str, list[int]]:
-    """The lengths that heads and tails have: no more than the longest anchor's letters."""
-    rows = index.select(F.left("anchor", F.lit(1)).alias("kind"), (F.length("anchor") - 1).alias("n")).distinct().collect()
-    return {kind: sorted(r.n for r in rows if r.kind == kind) for kind in (HEAD, TAIL, SIGN)}
+def _lengths(index: DataFrame) -> dict[str, list]:
+    """The lengths that heads, tails and signs have, no more than the longest anchor's letters, and those of joints before and after the space."""
+    anchor = F.substring_index("anchor", " ", 1)
+    rows = index.select(F.left("anchor", F.lit(1)).alias("kind"), (F.length(anchor) - 1).alias("n"),
+                        (F.length("anchor") - F.length(anchor) - 1).alias("after")).distinct().collect()
+    return {kind: sorted({r.n for r in rows if r.kind == kind}) for kind in (HEAD, TAIL, SIGN)} | {
+        JOINT: sorted((r.n, r.after) for r in rows if r.kind == JOINT)}
 
 
-def offered(text: Column, lengths: dict[str, list[int]]) -> Column:
-    """What a text offers to anchors, each once (strings, which Spark tells apart by hashing)."""
+def offered(text: Column, lengths: dict[str, list]) -> Column:
+    """What a text offers to anchors, each once (strings, which Spark tells apart by hashing); pairs whole, as :func:`with_anchors` cuts them."""
     offer = lambda kind, c: F.concat(F.lit(kind), c)
     words = F.array_distinct(_words(text))
     parts = [F.transform(words, lambda w: offer(EXACT, w))]
 
     def cuts(kind: str, cut) -> Column:
         sizes = F.array(*map(F.lit, lengths[kind]))
-        return F.flatten(F.transform(words, lambda w: F.transform(F.filter(sizes, lambda n: n <= F.length(w)), lambda n: offer(kind, cut(w, n)))))
+        return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
+            F.filter(sizes, lambda n: n <= F.length(w)), lambda n: offer(kind, cut(w, n))))))
 
     if lengths[HEAD]:
         parts.append(cuts(HEAD, lambda w, n: F.substring(w, F.lit(1), n)))
@@ -87,7 +116,19 @@ def offered(text: Column, lengths: dict[str, list[int]]) -> Column:
     if lengths[SIGN]:
         signs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[^{WORD}]"), 0))
         parts.append(F.transform(signs, lambda s: offer(SIGN, s)))
-    return F.array_distinct(F.concat(*parts))
+    if lengths[JOINT]:
+        parts.append(F.transform(_pairs(text), lambda p: offer(JOINT, p)))
+    return F.concat(*parts)
+
+
+def with_anchors(tokens: DataFrame, lengths: dict[str, list]) -> DataFrame:
+    """The anchors that an offered ``token`` meets: itself, or a pair's joints of the lengths that anchors have."""
+    token, at = F.col("token"), F.instr("token", " ")
+    pair = F.startswith(token, F.lit(JOINT))
+    joints = [F.when(~pair, token).when((at - 2 >= i) & (F.length(token) - at >= j), _joint(token, F.lit(i), F.lit(j))) for i, j in lengths[JOINT]]
+    if len(joints) < 2:
+        return tokens.withColumn("anchor", joints[0] if joints else token)
+    return tokens.withColumn("anchor", F.explode(F.when(pair, F.array(*joints)).otherwise(F.array(token))))
 
 
 def confirmed(text: Column, keyword: Column) -> Column:
@@ -96,17 +137,43 @@ def confirmed(text: Column, keyword: Column) -> Column:
     return F.when(F.contains(keyword, F.lit(" ")), F.contains(text, keyword)).otherwise(F.regexp_like(text, pattern))
 
 
-def match_by_index(rows: DataFrame, index: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def _hits(tokens: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct ``key..., theme, keyword``; a keyword is named where it is still to be confirmed."""
+    # a keyword's themes (no more than there are, a null one among them) ride on one row
+    at = (index.withColumn("keyword", F.when(~F.col("whole"), F.col("keyword"))).groupBy("anchor", "keyword", "pair")
+          .agg(F.transform(F.collect_list(F.struct("theme")), lambda x: x["theme"]).alias("themes")))
+    whole = F.col("keyword").isNull()
+    known = F.lit(True)
+    for c in key:  # confirming joins by key, which a null one never meets
+        known = known & F.col(c).isNotNull()
+    met = tokens.join(F.broadcast(at), "anchor").filter(whole | (known & (~F.col("pair") | F.contains("token", F.col("keyword")))))
+    return met.select(*key, F.explode("themes").alias("theme"), F.when(~F.col("pair"), F.col("keyword")).alias("keyword")).distinct()
+
+
+def match_by_index(rows: DataFrame, index: DataFrame, key: list[str], text: str = "text", slice_size: int = SLICE) -> DataFrame:
     """Distinct ``key..., theme`` of the rows whose lower-case ``text`` hits a keyword of the theme.
 
     ``key`` tells rows apart (rows that share one count as one row with all
     their hits).  Null texts match nothing.
     """
     lengths = _lengths(index)
-    tokens = rows.select(*key, F.explode(offered(F.coalesce(F.col(text), F.lit("")), lengths)).alias("anchor"))
-    hits = tokens.join(index, "anchor")
-    sure = hits.filter("whole").select(*key, "theme")
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("whole") & ~F.col("pair")).alias("open")).first()
+    tokens = with_anchors(rows.select(*key, F.explode(offered(F.coalesce(F.col(text), F.lit("")), lengths)).alias("token")), lengths)
+    slices = -(-size.n // slice_size) or 1
+    if slices == 1:
+        hits = _hits(tokens, index, key)
+    else:  # each written before the next is broadcast; dealt by keyword, so that a common anchor is dealt too
+        of = F.pmod(F.xxhash64("keyword"), F.lit(slices))
+        parts = [materialize(_hits(tokens, index.filter(of == i), key), "keyword-hits") for i in range(slices)]
+        hits = parts[0]
+        for part in parts[1:]:
+            hits = hits.unionByName(part)
+    if not size.open:
+        return hits.select(*key, "theme") if slices == 1 else hits.select(*key, "theme").distinct()
+    if slices == 1:
+        hits = materialize(hits, "keyword-hits")
+    sure = hits.filter("keyword is null").select(*key, "theme")
     # texts are joined to candidates afterwards, so that no word carries its text
-    maybe = hits.filter("not whole").select(*key, "theme", "keyword").distinct()
+    maybe = hits.filter("keyword is not null")
     told = maybe.join(rows.select(*key, F.col(text).alias("__text")), key).filter(confirmed(F.col("__text"), F.col("keyword"))).select(*key, "theme")
     return sure.unionByName(told).distinct()

@@ -82,3 +82,34 @@ def test_fifty_thousand_keywords_have_the_same_plan(spark, capsys):
     assert few == sorted({77 % 9, 5 % 9, 6 % 9, 9})
     assert many == sorted({77 % 9, 5 % 9, 6 % 9, 49999 % 9, 9})
     assert abs(len(small) - len(large)) < 0.2 * len(small)
+
+
+def test_pairs_hang_on_the_space_between_their_words(spark):
+    index = ki.keyword_index(spark.createDataFrame([(0, "double opt"), (1, "a b c"), (2, "foo  bar"), (3, "api")], "theme_idx int, keyword string"))
+    got = {r.keyword: (r.anchor, r.whole, r.pair) for r in index.collect()}
+    assert got["double opt"] == ("|uble opt", False, True) and got["api"] == ("=api", True, False)
+    assert got["a b c"][0] in ("|a b", "|b c") and not got["a b c"][2] and got["foo  bar"][0][0] in "<>"
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_slices_of_the_index_are_met_in_place(spark, size):
+    rows = list(enumerate(t if t is None else t.lower() for t in TEXTS))
+    keywords = [(t % 5, k) for t, k in enumerate(STRANGE)] + [(9, "double opt"), (9, "slots")]
+    index = ki.keyword_index(spark.createDataFrame(keywords, "theme_idx int, keyword string"))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [tuple(r) for r in ki.match_by_index(df, index, ["id"], slice_size=size).collect()]
+    assert len(got) == len(set(got)) and set(got) == by_predicate(spark, rows, keywords)
+
+
+def test_offered_words_are_not_shuffled(spark, capsys):
+    index = ki.keyword_index(spark.createDataFrame([(0, "api"), (1, "double opt")], "theme_idx int, keyword string"))
+    df = spark.createDataFrame([(1, "the api, redouble option")], "id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = ki.match_by_index(df, index, ["id"])
+        hits.explain("simple")
+        assert "SortMergeJoin" not in capsys.readouterr().out
+        assert {tuple(r) for r in hits.collect()} == {(1, 0), (1, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
