@@ -104,27 +104,42 @@ def _categories(s0: Column, s1: Column, card_hit: Column, s2: Column, s3: Column
     )
 
 
+def _once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it: a name bound within an expression."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
+def _cards(s: Column) -> Column:
+    """``struct(text, hit)`` of the card step."""
+    def redacted(m: Column, valid: Column) -> Column:
+        repl = F.zip_with(m, valid, lambda x, ok: F.when(ok, F.lit(CARD_TAG)).otherwise(x))
+        joined = F.array_join(F.zip_with(F.split(s, CARD_RE, -1), repl, lambda a, r: F.concat(a, F.coalesce(r, F.lit("")))), "")
+        return F.struct(joined.alias("text"), F.coalesce(F.exists(valid, lambda x: x), F.lit(False)).alias("hit"))
+
+    some = _once(card_matches(s), lambda m: _once(card_valid(m), lambda valid: redacted(m, valid)))
+    return F.when(s.rlike(CARD_RE), some).otherwise(F.struct(s.alias("text"), F.lit(False).alias("hit")))
+
+
 def scrub_expr(c: Column) -> Column:
-    """X5+X6 as one expression: ``struct(text, pii)``.
+    """X5+X6 as one expression: ``struct(text, pii)``, every regex pass once.
 
     Intended for lambda bodies (array elements).  For top-level columns use
-    :func:`with_scrub`, which materialises each step once.
+    :func:`with_scrub`, which materialises each step as a column.
     """
-    s0 = F.coalesce(c, F.lit(""))
-    s1 = redact_ssn(s0)
-    s2 = redact_cards(s1)
-    s3 = redact_email(s2)
-    s4 = redact_phone(s3)
-    return F.struct(s4.alias("text"), _categories(s0, s1, card_found(s1), s2, s3, s4).alias("pii"))
+    def done(s0: Column, s1: Column, cards: Column, s3: Column, s4: Column) -> Column:
+        return F.struct(s4.alias("text"), _categories(s0, s1, cards["hit"], cards["text"], s3, s4).alias("pii"))
+
+    return _once(F.coalesce(c, F.lit("")), lambda s0: _once(redact_ssn(s0), lambda s1: _once(_cards(s1), lambda cards: _once(
+        redact_email(cards["text"]), lambda s3: _once(redact_phone(s3), lambda s4: done(s0, s1, cards, s3, s4))))))
 
 
 def scrub_array_expr(arr: Column) -> Column:
     """Element-wise scrub; ``struct(texts, pii)`` with categories unioned."""
     scrubbed = F.transform(F.coalesce(arr, F.array().cast("array<string>")), scrub_expr)
-    return F.struct(
-        F.transform(scrubbed, lambda s: s["text"]).alias("texts"),
-        F.array_distinct(F.flatten(F.transform(scrubbed, lambda s: s["pii"]))).alias("pii"),
-    )
+    return _once(scrubbed, lambda all_: F.struct(
+        F.transform(all_, lambda s: s["text"]).alias("texts"),
+        F.array_distinct(F.flatten(F.transform(all_, lambda s: s["pii"]))).alias("pii"),
+    ))
 
 
 def with_scrub(df: DataFrame, src: str, text_out: str, pii_out: str) -> DataFrame:

@@ -69,3 +69,15 @@ def test_scrub_array(spark):
     r = df.select(pii.scrub_array_expr(F.col("a")).alias("s")).first()
     assert list(r.s.texts) == ["email me at [EMAIL REDACTED]", "no pii here", "card [CC REDACTED]"]
     assert set(r.s.pii) == {"email", "credit_card"}
+
+
+def test_array_scrub_runs_every_pattern_once(spark):
+    lines = ["ssn 123-45-6789", "card 4111 1111 1111 1111 a@b.co", None, "", "card 4111 1111 1111 1112", "call 415-555-0123, 078-05-1120"]
+    df = spark.createDataFrame([(lines,), (None,), ([],)], "a array<string>")
+    out = df.select(pii.scrub_array_expr(F.col("a")).alias("s")).select(F.col("s.texts").alias("t"), F.col("s.pii").alias("p"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count(tag) for tag in (pii.SSN_TAG, pii.EMAIL_TAG, pii.PHONE_TAG)) <= 2  # a projection for each field at most
+    each = pii.with_scrub(df.select(F.monotonically_increasing_id().alias("i"), F.explode("a").alias("l")), "l", "t", "p").collect()
+    got = out.collect()
+    assert got[0].t == [r.t for r in each] and set(got[0].p) == {c for r in each for c in r.p} == set(pii.CATEGORIES)
+    assert [(r.t, r.p) for r in got[1:]] == [([], []), ([], [])]
