@@ -130,8 +130,8 @@ def is_agent_text(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    """Whitespace runs -> one space, then trim (only spaces remain to trim)."""
-    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    """Whitespace runs -> one space, then trim (only spaces remain to trim); a single space is left as it is."""
+    return F.trim(F.regexp_replace(text, f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
 
 
 def cut200(text: Column) -> Column:
@@ -141,7 +141,11 @@ def cut200(text: Column) -> Column:
 
 def ticket_quote(first_message: Column, subject: Column) -> Column:
     """X17, ticket side: collapsed first message, else subject, else null."""
-    msg = collapse_ws(F.coalesce(first_message, F.lit("")))
+    return collapsed_quote(collapse_ws(F.coalesce(first_message, F.lit(""))), subject)
+
+
+def collapsed_quote(msg: Column, subject: Column) -> Column:
+    """:func:`ticket_quote` of a message collapsed before (a column, so that it is collapsed once)."""
     subj = F.coalesce(subject, F.lit(""))
     return (
         F.when((msg != "") & ~is_agent_text(msg), F.concat(F.lit('[Support ticket] "'), cut200(msg), F.lit('"')))

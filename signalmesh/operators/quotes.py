@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmesh.operators.normalize import signal_quote
+from signalmesh.operators.normalize import first_message, signal_quote
 
 # Caps and the sentinel quote.
 MAX_QUOTES = 3
@@ -20,7 +20,10 @@ NO_QUOTE = "No direct customer quote available"
 
 def with_quote(signals: DataFrame) -> DataFrame:
     """Signals with their ready ``quote`` (X17), so that later joins carry no text but it."""
-    return signals if "quote" in signals.columns else signals.withColumn("quote", signal_quote())
+    if "quote" in signals.columns:
+        return signals
+    message = "__message"  # a column of its own: collapsed once, not at every mention
+    return signals.withColumn(message, first_message()).withColumn("quote", signal_quote(F.col(message))).drop(message)
 
 
 def quote_lookup(signals: DataFrame) -> DataFrame:

@@ -568,7 +568,8 @@ def q_evidence_summary(spark, sf):
 
 
 def q_quote_text(spark, sf):
-    return analysis(spark, sf).signals.select("id", nz.signal_quote().alias("quote"))
+    """The quotes that were made with the signals."""
+    return qt.with_quote(analysis(spark, sf).signals).select("id", "quote")
 
 
 def q_detail_projection(spark, sf):

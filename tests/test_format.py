@@ -122,3 +122,17 @@ def test_plan_document_and_config(spark, tmp_path):
     import pytest as _pytest
     with _pytest.raises(ValueError):
         load_themes_config(bad)
+
+
+def test_quotes_collapse_a_message_once(spark):
+    from signalmesh.operators import quotes as qt
+
+    rows = [("REACTIVE", "t", b, d, None, 0) for b in ("a \t b", "  x  ", " ", "", None, "a b  c d", "happy\n\nto  help", "y" * 300) for d in (True, False)]
+    rows += [("PROACTIVE", "t", "b", False, c, 3) for c in (None, " c\n d ", "glad  to")]
+    df = spark.createDataFrame(rows, "source string, title string, body string, msg_dup boolean, first_comment string, votes bigint")
+    out = qt.with_quote(df)
+    plain = df.withColumn("quote", nz.signal_quote())
+    named = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("]{2,}|[")
+    assert named(out) == 4 < named(plain)  # the message once, and a comment's text in three places of its cut
+    assert out.columns == plain.columns and out.collect() == plain.collect()
+    assert {r.quote for r in out.collect()} >= {'[Support ticket] "a b"', '[Support ticket] "a b c d"', '[Feature request, 3 votes] "c d"'}
