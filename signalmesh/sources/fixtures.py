@@ -30,14 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that arrives in fewer splits than the cluster has cores.
+    """Hash-spread a scan whose rows arrive in fewer splits than the cluster has cores.
 
-    Regex redaction over whole texts is CPU-bound; a small file read as one
-    split would run it in one task.  Large inputs already come in many splits
-    and pass through untouched (no extra shuffle at scale).
+    Regex redaction over whole texts is CPU-bound; a file read as one
+    split would run it in one task.  A large file is cut into many splits, but all rows
+    of a row group come in one of them, so the splits that hold rows count
+    (a scan without columns tells them).  Others pass through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if df.rdd.getNumPartitions() < cores or df.select(F.spark_partition_id().alias("p")).distinct().count() < cores:
         # a few very long texts dominate: more, smaller tasks balance the load
         return df.repartition(cores * 4, key)
     return df
