@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmesh.llm.common import RID, documents, flushed, identified, keep_rows, numbered, table, texts, with_rid, written
+from signalmesh.session import only_result
 
 SALTS = 16
 
@@ -98,7 +99,7 @@ def _keyed_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, one row with the largest doc_id."""
     docs = numbered(docs)
-    kept = exact_groups(docs, has_rid=True).filter("kept").groupBy("text_sha256").agg(F.min(RID).alias(RID))
+    kept = only_result(docs.sparkSession, lambda: exact_groups(docs, has_rid=True).filter("kept").groupBy("text_sha256").agg(F.min(RID).alias(RID)), "exact-kept")
     return keep_rows(docs, kept)
 
 

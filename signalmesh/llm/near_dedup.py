@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmesh.llm.common import RID, documents, flushed, given_back, identified, keep_rows, numbered, table, written
+from signalmesh.session import only_result
 
 WORDS, PERCENT = 5, 75
 HASHES, CHUNK, GUARANTEED, RADIUS = 96, 6, 31, 46
@@ -353,7 +354,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one row with the smallest doc_id of each component; texts without words all stay."""
     docs = numbered(docs)
-    kept = written(near_groups(docs, has_rid=True).filter("kept").select("component", RID), "near-kept")
+    kept = only_result(docs.sparkSession, lambda: near_groups(docs, has_rid=True).filter("kept").select("component", RID), "near-kept")
     return keep_rows(docs, kept.groupBy("component").agg(F.min(RID).alias(RID)))
 
 
