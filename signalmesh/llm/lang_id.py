@@ -22,8 +22,8 @@ code; repeated rows are scored each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import array
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,7 +42,7 @@ AT_LEAST = 0.3
 LEXICON = 3
 #: Words whose emissions a worker keeps (a memory bound only).
 CACHED = 300_000
-#: Words scored together.
+#: Words scored, or trained on, together.
 BLOCK = 60_000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -126,45 +126,92 @@ class Model:
         return out
 
 
-def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Fit by full-batch Adagrad on the chains' conditional log-likelihood. ``rows``: (language, line)."""
-    labels = sorted({lang for lang, _ in rows})
-    rng = np.random.default_rng(seed)
-    pure = [(labels.index(lang), c) for lang, line in sorted(rows) for c in chains_of(line)]
-    chains = [(c, [k] * len(c)) for k, c in pure]
-    for i, j in rng.permutation(len(pure))[: len(pure) // 2 * 2].reshape(-1, 2):  # spliced: code-switched by construction
-        (k, c), (m, d) = pure[i], pure[j]
-        left, right = c[: rng.integers(1, len(c) + 1)], d[rng.integers(0, len(d)):]
-        chains.append((left + right, [k] * len(left) + [m] * len(right)))
-    counts = Counter((k, _plain(w)) for k, c in pure for w in c)
+def _lexicon(vocabulary: dict[str, int], word_at: np.ndarray, truth: np.ndarray) -> tuple[dict[str, int], int, np.ndarray]:
+    """The set (of languages whose sample has it often) of each plain word, how many sets there are, and every word's set (0: none)."""
+    plain: dict[str, int] = {}
+    plain_at = np.array([plain.setdefault(_plain(w), len(plain)) for w in vocabulary], dtype=np.int64)
+    names = list(plain)
+    pairs, seen = np.unique(truth.astype(np.int64) * len(plain) + plain_at[word_at], return_counts=True)
     member: dict[str, int] = {}
-    for (k, w), n in counts.items():
-        if w and n >= LEXICON:
+    for at in pairs[seen >= LEXICON].tolist():
+        k, w = at // len(plain), names[at % len(plain)]
+        if w:
             member[w] = member.get(w, 0) | 1 << k
     sets = {bits: i + 1 for i, bits in enumerate(sorted(set(member.values())))}
     lexicon = {w: sets[bits] for w, bits in member.items()}
+    return lexicon, len(sets), np.array([lexicon.get(w, 0) for w in names], dtype=np.int64)[plain_at]
+
+
+def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7, rate: float = 0.3, decay: float = 1e-4,
+          block: int = BLOCK) -> Model:
+    """Fit by full-batch Adagrad on the chains' conditional log-likelihood. ``rows``: (language, line).
+
+    Marginals are worked out for chains of about ``block`` words at a time, features for an eighth
+    as many, so that the sample is held as a few numbers a word and a feature of a distinct word.
+    """
+    labels = sorted({lang for lang, _ in rows})
+    number = {lang: k for k, lang in enumerate(labels)}
+    rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    word_at = np.array([vocabulary.setdefault(w, len(vocabulary)) for c, _ in chains for w in c], dtype=np.int64)
-    truth = np.array([k for _, ks in chains for k in ks], dtype=np.int64)
-    lengths = np.array([len(c) for c, _ in chains], dtype=np.int64)
-    per_word = [features(w) for w in vocabulary]
-    flat = np.array([f for fs in per_word for f in fs], dtype=np.int64)
-    owner = np.repeat(np.arange(len(per_word)), [len(fs) for fs in per_word])
-    in_set = np.array([lexicon.get(_plain(w), 0) for w in vocabulary], dtype=np.int64)
-    size, n = len(labels), len(truth)
-    weights, lex, trans = np.zeros((1 << BITS, size)), np.zeros((len(sets) + 1, size)), np.zeros((size, size))
-    inner = np.ones(n, dtype=bool)
-    inner[np.cumsum(lengths) - 1] = False  # a chain's last word has no successor
-    seen_pairs = np.bincount(truth[:-1][inner[:-1]] * size + truth[1:][inner[:-1]], minlength=size * size).reshape(size, size)
+    word_at, truth, lengths = array.array("i"), array.array("i"), array.array("i")  # chains end to end, each word once as a string
+    for lang, line in sorted(rows):
+        for c in chains_of(line):
+            word_at.extend([vocabulary.setdefault(w, len(vocabulary)) for w in c])
+            truth.extend([number[lang]] * len(c))
+            lengths.append(len(c))
+    starts, pure = np.cumsum(lengths) - lengths, len(lengths)
+    lexicon, sets, in_set = _lexicon(vocabulary, np.array(word_at), np.array(truth))
+    for i, j in rng.permutation(pure)[: pure // 2 * 2].reshape(-1, 2):  # spliced: code-switched by construction
+        left = slice(starts[i], starts[i] + rng.integers(1, lengths[i] + 1))
+        right = slice(starts[j] + rng.integers(0, lengths[j]), starts[j] + lengths[j])
+        lengths.append(left.stop - left.start + right.stop - right.start)
+        for part in (left, right):
+            word_at.extend(word_at[part])
+            truth.extend(truth[part])
+    word_at, truth, lengths = np.array(word_at), np.array(truth), np.array(lengths, dtype=np.int64)
+    flat, per_word = array.array("i"), array.array("i")
+    for w in vocabulary:
+        f = features(w)
+        flat.extend(f)
+        per_word.append(len(f))
+    flat, per_word, size = np.array(flat), np.array(per_word, dtype=np.int64), len(labels)
+    ahead, few = np.r_[0, np.cumsum(per_word)], max(1, block // 8)
+    vocabulary.clear()
+
+    def featured() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Some words at a time: which they are, the features of all, and whose each is (from the first of them)."""
+        for lo in range(0, len(per_word), few):
+            n = per_word[lo: lo + few]
+            yield slice(lo, lo + len(n)), flat[ahead[lo]: ahead[lo + len(n)]], np.repeat(np.arange(len(n)), n)
+
+    weights, lex, trans = np.zeros((1 << BITS, size)), np.zeros((sets + 1, size)), np.zeros((size, size))
+    ends = np.cumsum(lengths)
+    cuts = np.flatnonzero(np.diff((ends - lengths) // block)) + 1
+    blocks = [(int(lo), int(hi), int(ends[lo] - lengths[lo]), int(ends[hi - 1])) for lo, hi in zip([0, *cuts], [*cuts, len(lengths)]) if hi]
+    seen_pairs = np.zeros((size, size))
+    for lo, hi, first, end in blocks:
+        inner = np.ones(end - first, dtype=bool)
+        inner[ends[lo:hi] - 1 - first] = False  # a chain's last word has no successor
+        at = first + np.flatnonzero(inner)
+        seen_pairs += np.bincount(truth[at] * size + truth[at + 1], minlength=size * size).reshape(size, size)
     sums = [np.full_like(x, 1e-8) for x in (weights, lex, trans)]
     for _ in range(epochs):
-        by_word = np.stack([np.bincount(owner, weights[flat, k], len(per_word)) for k in range(size)], 1) + lex[in_set]
-        marg, pairs, _ = marginals(by_word[word_at], lengths, trans)
-        miss = -marg
-        miss[np.arange(n), truth] += 1
-        per = np.stack([np.bincount(word_at, miss[:, k], len(per_word)) for k in range(size)], 1)
-        grads = (np.stack([np.bincount(flat, per[owner, k], 1 << BITS) for k in range(size)], 1) - decay * n * 1e-3 * weights,
-                 np.stack([np.bincount(in_set, per[:, k], len(sets) + 1) for k in range(size)], 1), seen_pairs - pairs)
+        by_word = lex[in_set]
+        for words, of, owner in featured():
+            by_word[words] += np.stack([np.bincount(owner, weights[of, k], len(by_word[words])) for k in range(size)], 1)
+        per, pairs = np.zeros((len(per_word), size)), np.zeros((size, size))
+        for lo, hi, first, end in blocks:
+            own = word_at[first:end]
+            marg, part, _ = marginals(by_word[own], lengths[lo:hi], trans)
+            pairs += part
+            marg[np.arange(end - first), truth[first:end]] -= 1
+            for k in range(size):
+                per[:, k] -= np.bincount(own, marg[:, k], len(per_word))
+        up = -decay * len(truth) * 1e-3 * weights
+        for words, of, owner in featured():
+            for k in range(size):
+                up[:, k] += np.bincount(of, per[words, k][owner], 1 << BITS)
+        grads = (up, np.stack([np.bincount(in_set, per[:, k], sets + 1) for k in range(size)], 1), seen_pairs - pairs)
         for x, g, s in zip((weights, lex, trans), grads, sums):
             s += g * g
             x += rate * g / np.sqrt(s)

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import tracemalloc
 import zlib
 
 from signalmesh.llm import lang_id
@@ -35,6 +36,29 @@ def test_switches_inside_a_line():
     assert [model.labels[k] for k in marg.argmax(1)] == ["en", "en", "de", "de", "de"]
 
 
+def _sample(lines: int, words: int) -> list[tuple[str, str]]:
+    rng = np.random.default_rng(3)
+    return [(lang, " ".join(f"{lang}{x:04d}" for x in rng.integers(0, words, 60))) for lang in ("aa", "bb", "cc") for _ in range(lines)]
+
+
+def test_training_in_blocks_is_the_same_model():
+    rows = _sample(20, 300) + [("aa", "12 34"), ("cc", "\t")]
+    whole, parts = train(rows, epochs=5, block=1 << 30), train(rows, epochs=5, block=70)
+    assert whole.labels == parts.labels and whole.lexicon == parts.lexicon
+    for x, y in ((whole.weights, parts.weights), (whole.lexicon_weights, parts.lexicon_weights), (whole.trans, parts.trans)):
+        assert np.allclose(x, y, atol=1e-6)
+
+
+def test_training_memory_is_a_few_bytes_a_word():
+    rows = _sample(1500, 9000)  # 270,000 words, of them 27,000 distinct ones
+    tracemalloc.start()
+    try:
+        train(rows, epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in documents(spark, SF2).collect()}
     got = op4_lang_id(spark, SF2).collect()
