@@ -1,11 +1,14 @@
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from signalmesh.llm.suffix_dedup import drop_repeated, op6_suffix_dedup, regions, sort_shard
+from signalmesh.session import tables_folder
 from tests.llm.fixtures import SF, documents, odd_documents
 
 
@@ -68,3 +71,25 @@ def test_odd_rows(spark, tmp_path):
     want = sorted(((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], 40))), key=repr)
     assert got(*drop_repeated(docs, length=40, k=8)) == want
     assert got(*drop_repeated(docs.limit(0))) == []
+
+
+def on_disk(spark):
+    """Tables written by name, and shuffle files."""
+    tables = Path(tables_folder(spark).removeprefix("file:"))
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return set(tables.glob("*")), {f for d in local for f in Path(d).rglob("shuffle_*")}
+
+
+def test_steps_leave_only_what_is_read_later(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(hard_texts(7))), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    tables, shuffles = on_disk(spark)
+    keys = ["spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.parquet.compression.codec"]
+    before = [spark.conf.get(key) for key in keys]
+    drop_repeated(spark.read.parquet(str(tmp_path / "d")), length=40, k=8)
+    assert [spark.conf.get(key) for key in keys] == before
+    until = time.time() + 5  # executors delete shuffles without being waited for
+    while on_disk(spark)[1] - shuffles and time.time() < until:
+        time.sleep(0.1)
+    made = on_disk(spark)
+    assert sorted(t.name.rsplit("-", 1)[0] for t in made[0] - tables) == ["numbered", "suffix-regions", "suffix-spans"]
+    assert not made[1] - shuffles
