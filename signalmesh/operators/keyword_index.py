@@ -2,10 +2,15 @@
 
 A catalogue edited by people compiles into predicates (``themes.py``).  One of
 tens of thousands of keywords does not: the plan would grow with it and every text would be
-tested for every keyword.  Here the catalogue is a table and texts meet it by
-an equi-join on words, so that the plan is the same for any catalogue.
+tested for every keyword.  Here the catalogue is a table that texts meet, so that the plan
+is the same for any catalogue.
 
-Every keyword hangs on one of its parts, its anchor; a word is a run of ``[A-Za-z0-9_]``:
+A word is a run of ``[A-Za-z0-9_]``.  Keywords that are one word (``whole``) or two with
+a space between (``pair``) are most of a large catalogue: they are told by
+:mod:`~signalmesh.operators.word_tables`, which are sent to where texts are read.  A table holds
+``TABLE`` index rows (some 30 bytes each), and texts are read and cut once for each table.
+
+The others are met by an equi-join; each hangs on one of its parts, its anchor:
 
 * a keyword without a space matches between word boundaries, so each of its words
   is a whole word of the text (``exact``);
@@ -18,31 +23,32 @@ Every keyword hangs on one of its parts, its anchor; a word is a run of ``[A-Za-
 
 Exact anchors are preferred, then long ones, which are rare.  A text so offers
 its distinct words, their heads and tails of the lengths that anchors have, the
-signs, and its pairs of words with one space between.  A keyword that is its anchor is
-found by the join alone, and one that is a pair of words is confirmed on the pair that
-offered the joint.  The others are confirmed on the texts of the rows that the join left.
+signs, and its pairs of words with one space between.  What the join leaves is confirmed
+on the texts of its rows.
 
 A text offers many times its own size and common keywords hit nearly every text, so
-neither is shuffled: the index is dealt into slices of at most about ``SLICE`` keywords, each
-of which is broadcast and met where the texts are read, and a task ships each
-theme of a row once.  One slice is in memory at a time, whatever the catalogue.
+neither is shuffled: the index of these keywords is dealt into slices of at most about ``SLICE``, each
+of which is broadcast and met where the texts are read.  One table or slice is in memory at a
+time, whatever the catalogue.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from signalmesh.functions.pii import WORD
 from signalmesh.functions.text import B_LEFT, B_RIGHT
-from signalmesh.session import materialize
+from signalmesh.operators import word_tables
+from signalmesh.session import materialize, ship
 
 EXACT, HEAD, TAIL, SIGN, JOINT = "=<>?|"
 WORDS = f"[{WORD}]+"
 #: Two words and the space between, from every word of a text.
 PAIRS = rf"(?<![{WORD}])(?=([{WORD}]+ [{WORD}]+))"
-#: Letters of a joint on either side; keywords of a slice, about.
-AROUND, SLICE = 4, 1_000_000
+#: Letters of a joint on either side; index rows of a slice and of a table, about.
+AROUND, SLICE, TABLE = 4, 1_000_000, 3_000_000
 # Characters with a meaning in a pattern.
 META = r"([.*+?^${}()|\[\]\\\-/])"
 
@@ -64,7 +70,7 @@ def keyword_index(keywords: DataFrame, theme: str = "theme_idx", keyword: str =
     """``theme, keyword, anchor, whole, pair``: one row per theme and distinct lower-cased keyword; empty ones match nothing.
 
     An anchor is its kind's mark and a string, so that both are one join key.
-    ``whole``: the anchor alone tells; ``pair``: the two words that offer it do.
+    ``whole``: the keyword is one word; ``pair``: two words and the space between.
     """
     k = (keywords.select(F.col(theme).alias("theme"), F.lower(F.col(keyword)).alias("keyword")).distinct()
          .filter(F.coalesce(F.length("keyword"), F.lit(0)) > 0).withColumn("words", _words(F.col("keyword"))))
@@ -138,42 +144,71 @@ def confirmed(text: Column, keyword: Column) -> Column:
 
 
 def _hits(tokens: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct ``key..., theme, keyword``; a keyword is named where it is still to be confirmed."""
+    """Distinct ``key..., theme, keyword`` whose anchor a text offers, still to be confirmed."""
     # a keyword's themes (no more than there are, a null one among them) ride on one row
-    at = (index.withColumn("keyword", F.when(~F.col("whole"), F.col("keyword"))).groupBy("anchor", "keyword", "pair")
+    at = (index.groupBy("anchor", "keyword")
           .agg(F.transform(F.collect_list(F.struct("theme")), lambda x: x["theme"]).alias("themes")))
-    whole = F.col("keyword").isNull()
     known = F.lit(True)
     for c in key:  # confirming joins by key, which a null one never meets
         known = known & F.col(c).isNotNull()
-    met = tokens.join(F.broadcast(at), "anchor").filter(whole | (known & (~F.col("pair") | F.contains("token", F.col("keyword")))))
-    return met.select(*key, F.explode("themes").alias("theme"), F.when(~F.col("pair"), F.col("keyword")).alias("keyword")).distinct()
+    met = tokens.join(F.broadcast(at), "anchor").filter(known)
+    return met.select(*key, F.explode("themes").alias("theme"), "keyword").distinct()
+
+
+def _slices(index: DataFrame, n: int) -> list[DataFrame]:
+    """The index dealt by keyword, so that a common anchor is dealt too."""
+    of = F.pmod(F.xxhash64("keyword"), F.lit(n))
+    return [index.filter(of == i) for i in range(n)] if n > 1 else [index]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _in_tables(rows: DataFrame, index: DataFrame, key: list[str], text: str, n: int) -> DataFrame:
+    """``key..., theme`` of the keywords that are a word or a pair, by ``n`` tables; a theme may come more than once."""
+    spark = rows.sparkSession
+    ship(spark)
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    given = rows.select(*key, F.coalesce(F.col(text), F.lit("")).alias("__text"), (~known).alias("__whole_only"))
+    result = StructType([*given.select(*key).schema.fields, StructField("__themes", ArrayType(index.schema["theme"].dataType))])
+
+    def met(part: DataFrame):
+        words = part.select("theme", F.substring_index("keyword", " ", 1).alias("first"), F.when(F.col("pair"), F.substring_index("keyword", " ", -1)).alias("last"))
+        held = spark.sparkContext.broadcast(word_tables.tables(words.toArrow()))
+        return held, given.mapInArrow(lambda b: word_tables.matched(b, held.value), result).select(*key, F.explode("__themes").alias("theme"))
+
+    if n == 1:
+        return met(index)[1]
+    parts = []
+    for part in _slices(index, n):  # each written before the next is sent out
+        held, found = met(part)
+        parts.append(materialize(found, "keyword-hits"))
+        held.destroy()
+    return _all(parts)
 
 
-def match_by_index(rows: DataFrame, index: DataFrame, key: list[str], text: str = "text", slice_size: int = SLICE) -> DataFrame:
+def match_by_index(rows: DataFrame, index: DataFrame, key: list[str], text: str = "text", slice_size: int | None = None) -> DataFrame:
     """Distinct ``key..., theme`` of the rows whose lower-case ``text`` hits a keyword of the theme.
 
     ``key`` tells rows apart (rows that share one count as one row with all
-    their hits).  Null texts match nothing.
+    their hits).  Null texts match nothing.  ``slice_size``: index rows of a table or slice, about.
     """
-    lengths = _lengths(index)
-    size = index.agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("whole") & ~F.col("pair")).alias("open")).first()
-    tokens = with_anchors(rows.select(*key, F.explode(offered(F.coalesce(F.col(text), F.lit("")), lengths)).alias("token")), lengths)
-    slices = -(-size.n // slice_size) or 1
-    if slices == 1:
-        hits = _hits(tokens, index, key)
-    else:  # each written before the next is broadcast; dealt by keyword, so that a common anchor is dealt too
-        of = F.pmod(F.xxhash64("keyword"), F.lit(slices))
-        parts = [materialize(_hits(tokens, index.filter(of == i), key), "keyword-hits") for i in range(slices)]
-        hits = parts[0]
-        for part in parts[1:]:
-            hits = hits.unionByName(part)
-    if not size.open:
-        return hits.select(*key, "theme") if slices == 1 else hits.select(*key, "theme").distinct()
-    if slices == 1:
-        hits = materialize(hits, "keyword-hits")
-    sure = hits.filter("keyword is null").select(*key, "theme")
-    # texts are joined to candidates afterwards, so that no word carries its text
-    maybe = hits.filter("keyword is not null")
-    told = maybe.join(rows.select(*key, F.col(text).alias("__text")), key).filter(confirmed(F.col("__text"), F.col("keyword"))).select(*key, "theme")
-    return sure.unionByName(told).distinct()
+    told = F.col("whole") | F.col("pair")
+    size = index.agg(F.count_if(told).alias("told"), F.count_if(~told).alias("open")).first()
+    hits = []
+    if size.told or not size.open:
+        hits.append(_in_tables(rows, index.filter(told), key, text, -(-size.told // (slice_size or TABLE)) or 1))
+    if size.open:
+        index = index.filter(~told)
+        lengths = _lengths(index)
+        tokens = with_anchors(rows.select(*key, F.explode(offered(F.coalesce(F.col(text), F.lit("")), lengths)).alias("token")), lengths)
+        # texts are joined to candidates afterwards, so that no word carries its text; each slice is written before the next is broadcast
+        maybe = _all([materialize(_hits(tokens, part, key), "keyword-hits") for part in _slices(index, -(-size.open // (slice_size or SLICE)))])
+        hits.append(maybe.join(rows.select(*key, F.col(text).alias("__text")), key).filter(confirmed(F.col("__text"), F.col("keyword"))).select(*key, "theme"))
+    return _all(hits).distinct()

@@ -13,6 +13,7 @@ from signalmesh.operators import normalize as nz
 from signalmesh.operators import themes as th
 from signalmesh.params import Params
 from signalmesh.plans.analysis import analyze
+from signalmesh.session import materialize
 
 SF = "/root/testdata/sf0.001"
 STRANGE = ("api", "make.com", "opt-in", "c++", ".net", "double opt", "time slot", " lead", "trail ", "a b c", "++", "→", "e-mail us", "API", "é t", "x_1",
@@ -113,3 +114,21 @@ def test_offered_words_are_not_shuffled(spark, capsys):
         assert {tuple(r) for r in hits.collect()} == {(1, 0), (1, 1)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_text_is_read_once_for_more_than_a_million_keywords(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    n = 700_000
+    words = spark.range(n).select((F.col("id") % 9).cast("int").alias("theme_idx"), F.concat(F.lit("word"), "id").alias("keyword"))
+    pairs = spark.range(n).select(F.lit(9).alias("theme_idx"), F.concat(F.lit("word"), "id", F.lit(" word"), F.col("id") + 1).alias("keyword"))
+    index = materialize(ki.keyword_index(words.unionByName(pairs)), "keyword-index")
+    df = spark.createDataFrame([(1, "word77, aword5 word66"), (2, "word699999"), (3, "a word"), (4, None)], "id long, text string")
+    hits = ki.match_by_index(df.mapInArrow(counted, df.schema), index, ["id"])
+    assert {tuple(r) for r in hits.collect()} == {(1, 77 % 9), (1, 66 % 9), (1, 9), (2, 699999 % 9)}
+    assert reads.value == 4
