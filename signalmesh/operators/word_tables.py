@@ -25,7 +25,7 @@ WORD_BYTE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 #: What is left of eight bytes when a string ends among them.
 LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 MIX, SPREAD, BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
-#: Pairs of numbers looked up at a time.
+#: Pairs of numbers looked up, and blocks of themes gathered, at a time.
 AT_ONCE = 1 << 20
 
 
@@ -207,6 +207,11 @@ def ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + start[which], which
 
 
+def portions(count: np.ndarray) -> list[np.ndarray]:
+    """The numbers of ``count`` in runs whose counts come to about ``AT_ONCE``."""
+    return np.split(np.arange(len(count)), np.flatnonzero(np.diff(np.cumsum(count) // AT_ONCE)) + 1)
+
+
 @dataclass
 class Words:
     """The words of texts: where they lie, whose they are, and which distinct word each is."""
@@ -279,8 +284,12 @@ def hits(t: Tables, data: np.ndarray, offsets: np.ndarray, whole_only: np.ndarra
     w = cut(data, offsets, t.longest)
 
     def cells(text, keyword):
-        entry, of = ranges(t.of[keyword], t.of[keyword + 1] - t.of[keyword])
-        return merged(text[of] * n_blocks + t.block[entry], t.mask[entry])
+        count = t.of[keyword + 1] - t.of[keyword]
+        found = []
+        for part in portions(count):
+            entry, of = ranges(t.of[keyword[part]], count[part])
+            found.append(merged(text[part][of] * n_blocks + t.block[entry], t.mask[entry]))
+        return merged(*(np.concatenate(x) for x in zip(*found)))
 
     fits = w.size[w.one] <= t.longest
     number = np.full(len(w.one), -1, np.int64)
@@ -298,7 +307,7 @@ def hits(t: Tables, data: np.ndarray, offsets: np.ndarray, whole_only: np.ndarra
         count = a_count[a] * b_count[b]
         i, a, b, count = (x[count > 0] for x in (i, a, b, count))
         found = [(cell, mask)]
-        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(count) // AT_ONCE)) + 1):
+        for part in portions(count):
             k, of = ranges(np.zeros(len(part), np.int64), count[part])
             x, y = a[part][of], b[part][of]
             keyword = t.found_pairs(pair_key(a_number[a_at[x] + k // b_count[y]], b_number[b_at[y] + k % b_count[y]]))
